@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .mixing import mix_digest
 from .packing import pack_documents
+from .quality_rules import quality_rules
 from .token_files import token_files
 from .tokens import default_path
 
@@ -15,6 +16,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), default_path())
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(table(spark, sf_dir, "documents"))
 
@@ -23,5 +28,5 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), default_path())
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op6_source_mixing, op8_token_files)}
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op5_quality_rules, op6_source_mixing, op8_token_files)}
 ORACLES: dict[str, str] = {}
