@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .html_crf import extract_main_text
 from .mixing import mix_digest
 from .packing import pack_documents
 from .quality_rules import quality_rules
@@ -12,6 +13,10 @@ from .token_files import token_files
 from .tokens import default_path
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), default_path())
 
@@ -28,5 +33,5 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), default_path())
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op5_quality_rules, op6_source_mixing, op8_token_files)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op3_best_fit_packing, op5_quality_rules, op6_source_mixing, op8_token_files)}
 ORACLES: dict[str, str] = {}
