@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .cotraining import classify
 from .html_crf import extract_main_text
+from .language_id import identify
 from .mixing import mix_digest
 from .packing import pack_documents
 from .quality_rules import quality_rules
@@ -33,5 +35,13 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), default_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op3_best_fit_packing, op5_quality_rules, op6_source_mixing, op8_token_files)}
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), passed=["doc_id"])
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op3_best_fit_packing, op5_quality_rules, op6_source_mixing, op8_token_files, op9_quality_classifier, op10_language_id)}
 ORACLES: dict[str, str] = {}
