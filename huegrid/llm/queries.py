@@ -9,6 +9,7 @@ from .cotraining import classify
 from .html_crf import extract_main_text
 from .language_id import identify
 from .mixing import mix_digest
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality_rules import quality_rules
 from .token_files import token_files
@@ -31,6 +32,10 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), default_path())
 
@@ -43,5 +48,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op3_best_fit_packing, op5_quality_rules, op6_source_mixing, op8_token_files, op9_quality_classifier, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op3_best_fit_packing, op5_quality_rules, op6_source_mixing, op7_minhash_near_dedup, op8_token_files, op9_quality_classifier, op10_language_id)}
 ORACLES: dict[str, str] = {}
