@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .cotraining import classify
+from .embedding_dedup import embedding_links
 from .html_crf import extract_main_text
 from .language_id import identify
 from .mixing import mix_digest
@@ -24,6 +25,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), default_path())
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,5 +53,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op3_best_fit_packing, op5_quality_rules, op6_source_mixing, op7_minhash_near_dedup, op8_token_files, op9_quality_classifier, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op3_best_fit_packing, op4_embedding_near_dedup, op5_quality_rules, op6_source_mixing, op7_minhash_near_dedup, op8_token_files, op9_quality_classifier, op10_language_id)}
 ORACLES: dict[str, str] = {}
