@@ -202,7 +202,7 @@ def mix_digest(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: flo
     spark = docs.sparkSession
     sized = staged(_sized(docs.select(F.col("doc_id").cast("long"), "text", "source")).drop("text"), "sizes")
     sources = sources_of(sized, weights, share, most, block, seed)
-    got = block_parts(offsets(sized, sources), block).join(takes(slot_blocks(spark, sources, seed)), ["sid", "block"], "left")
+    got = block_parts(offsets(sized, sources), block).join(takes(slot_blocks(spark, sources, seed)).hint("merge"), ["sid", "block"], "left")
     words = F.coalesce(F.col("times") * (F.col("z") - F.col("a")) + F.greatest(F.least("z", "part") - F.col("a"), F.lit(0)), F.lit(0))
     some = got.groupBy("sid", "start", "doc_id", "size", "source_size", "target").agg(F.sum(words).alias("taken"))
     dim = spark.createDataFrame([(s["source"], s["source_size"], s["target"]) for s in sources], "_source string, source_size long, target double")
@@ -217,7 +217,7 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most:
     sized = _sized(docs)
     sources = sources_of(sized.select("source", "size"), weights, share, most, block, seed)
     slots = takes(slot_blocks(docs.sparkSession, sources, seed))
-    got = block_texts(offsets(sized, sources), block).join(slots, ["sid", "block"])
+    got = block_texts(offsets(sized, sources), block).join(slots.hint("merge"), ["sid", "block"])
     whole = got.where("times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     words = F.slice(F.split("text", " "), 1, (F.least("z", "part") - F.col("a")).cast("int"))
     out = whole.drop("_copy").unionByName(got.where("part > a").withColumn("text", F.array_join(words, " ")))
