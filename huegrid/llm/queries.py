@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .cotraining import classify
@@ -13,6 +14,7 @@ from .mixing import mix_digest
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality_rules import quality_rules
+from .substring_dedup import remove_repeats
 from .token_files import token_files
 from .tokens import default_path
 
@@ -21,6 +23,11 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), default_path())
 
@@ -53,5 +60,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op3_best_fit_packing, op4_embedding_near_dedup, op5_quality_rules, op6_source_mixing, op7_minhash_near_dedup, op8_token_files, op9_quality_classifier, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_substring_dedup, op3_best_fit_packing, op4_embedding_near_dedup, op5_quality_rules, op6_source_mixing, op7_minhash_near_dedup, op8_token_files, op9_quality_classifier, op10_language_id)}
 ORACLES: dict[str, str] = {}
