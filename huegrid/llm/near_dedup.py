@@ -185,7 +185,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = member.join(first, "root").select("node", "component_id")
     out = sets.withColumn("node", F.xxhash64("key")).join(named, "node", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """docs with one document of each group; of repeated rows with one doc_id and text, one."""
+    found = staged(near_duplicates(docs).select(F.col("doc_id").alias("_id"), "kept"), "near")
+    kept = found.where("kept").select("_id").distinct()
+    out = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    if not found.groupBy("_id").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", "text"])
+    return out
 
 
 def _sets_key(docs: DataFrame) -> DataFrame:

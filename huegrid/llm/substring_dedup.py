@@ -38,6 +38,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Words, mix, need, ngrams, staged, text_chunks
 from .suffix_automaton import SuffixAutomaton
@@ -166,13 +167,13 @@ def _shard_spans(window: int):
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows doc_id, text, key, spans: the kept words of those whose key is the text's own."""
+    """Adds n_words, n_removed and kept_text to the rows whose key is their text's own; key and spans go."""
     for b in batches:
         for i, j, data, offsets in text_chunks(b.column("text")):
-            words, out = Words(data, offsets), []
-            ids, keys, spans = (b.column(c).slice(i, j - i).to_pylist() for c in ("doc_id", "key", "spans"))
+            words, out, rows = Words(data, offsets), [], []
+            keys, spans = (b.column(c).slice(i, j - i).to_pylist() for c in ("key", "spans"))
             raw = data.tobytes()
-            for k, (doc, key, some) in enumerate(zip(ids, keys, spans)):
+            for k, (key, some) in enumerate(zip(keys, spans)):
                 a, z = words.first[k], words.first[k + 1]
                 if _identity(words.hashes[a:z]) != key:
                     continue
@@ -181,20 +182,24 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     gone[s["a"]] += 1
                     gone[s["z"]] -= 1
                 gone = np.cumsum(gone[:-1]) > 0
-                text = raw[offsets[k] : offsets[k + 1]]
-                kept = text.split()
+                kept = raw[offsets[k] : offsets[k + 1]].split()
                 if gone.any():
                     kept = [w for w, g in zip(kept, gone.tolist()) if not g]
-                out.append((doc, int(z - a), int(gone.sum()), b" ".join(kept).decode()))
-            columns = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["doc_id", "n_words", "n_removed", "kept_text"])
+                rows.append(i + k)
+                out.append((int(z - a), int(gone.sum()), b" ".join(kept).decode()))
+            columns = list(zip(*out)) or [()] * 3
+            had = b.select([n for n in b.schema.names if n not in ("key", "spans")]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*had.columns, *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string())))], [*had.schema.names, "n_words", "n_removed", "kept_text"])
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_text (kept words joined by one space) of every document."""
+_NULL = -(1 << 63)
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, passed: list[str] | None = None) -> DataFrame:
+    """doc_id, text and the other columns in passed, with n_words, n_removed and kept_text (kept words joined by one space)."""
     need(docs, "doc_id", "text")
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    docs = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))  # a null doc_id joins with itself
+    full = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), "text", *(F.col(c).alias(f"_{k}") for k, c in enumerate(passed or [])))
+    docs = full.select("doc_id", "text")
     found = staged(_found(docs, window), "segments")
     classes = staged(found.groupBy("key").agg(F.count("*").alias("mult"), F.min("doc_id").alias("doc_id")), "classes")
     each = found.select("key", F.explode("segments").alias("s")).select("key", "s.*")
@@ -213,8 +218,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     more = hot.join(again, ["h1", "h2"]).select("key", F.col("start").alias("a"), (F.col("start") + window).alias("z"))
     covered = spans.unionByName(more).groupBy("key").agg(F.collect_set(F.struct("a", "z")).alias("spans"))
     named = found.select("doc_id", "key").distinct().join(covered, "key", "left")
-    out = docs.join(named, "doc_id").select("doc_id", "text", "key", "spans").mapInArrow(_keep, "doc_id long, n_words long, n_removed long, kept_text string")
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(-(1 << 63))))
+    joined = full.join(named, "doc_id")
+    made = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
+    out = joined.mapInArrow(_keep, T.StructType([*full.schema.fields, *made]))
+    others = [F.col(f"_{k}").alias(c) for k, c in enumerate(passed or [])]
+    return out.select(F.nullif("doc_id", F.lit(_NULL)).alias("doc_id"), "text", *others, "n_words", "n_removed", "kept_text")
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs with repeated passages taken out of text and n_chars following; texts without any stay as they are."""
+    out = remove_repeats(docs, window, [c for c in docs.columns if c not in ("doc_id", "text")])
+    out = out.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
 
 
 def remove_reference_spans(docs: DataFrame, reference: list[str], window: int = WINDOW, most_words: int = SHARD_WORDS) -> DataFrame:
