@@ -11,14 +11,15 @@ skipped unless a class consists mostly of them (prefix and skip merging).
 Lists of up to SMALL_LIST classes give all their pairs.  Longer lists give the
 pairs with one member each, chosen by the token's hash; after the first round
 of confirmed links, members that are still apart from a long list's largest
-component are paired with all members of other components.  Links are
-confirmed on full sets from whole texts: first the best candidate of each
+component are compared with all members of other components.  That happens in
+groups of at most two blocks of BLOCK members, and only a forest of confirmed
+links leaves a group.  Links are confirmed on full sets from whole texts: first the best candidate of each
 class, then all candidates whose ends are still in different components.  So
 no link between components is lost among the candidates, and copies are not
 expanded into all pairs.
 
 Agreement of coordinates is a binomial count: at the similarity of 0.75 a pair
-has fewer than 32 of 64 agreements with a probability of about 1e-5.
+has fewer than 52 of 96 agreements with a probability of about 3e-6.
 
 Defined results: null texts and texts without words have an empty set and no
 links; fewer than 5 words make one shingle of the whole sequence; repeated
@@ -32,14 +33,15 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, mix, need, ngrams, staged, text_chunks
-from .components import components
+from .components import components, forest
 
-SHINGLE, COORDINATES, MATCHES, SMALL_LIST, MOST_FREQUENT = 5, 64, 32, 64, 100_000
+SHINGLE, COORDINATES, MATCHES, SMALL_LIST, BLOCK, MOST_FREQUENT = 5, 96, 52, 64, 4096, 1_000_000
 _PREFIX = COORDINATES - MATCHES + 1
 _U = np.uint64
 _A = np.random.default_rng(7).integers(1, (1 << 64) - 1, COORDINATES, dtype=np.uint64) | _U(1)
@@ -88,7 +90,7 @@ def _postings(classes: DataFrame) -> DataFrame:
     total = classes.count() * COORDINATES
     often = max(SMALL_LIST, total // MOST_FREQUENT)
     listed = classes.select(F.explode(tokens).alias("token")).groupBy("token").count().where(F.col("count") > often)
-    # at most MOST_FREQUENT tokens can have more than total / MOST_FREQUENT postings: 0.8 MB
+    # at most MOST_FREQUENT tokens can have more than total / MOST_FREQUENT postings: 8 MB
     frequent = np.array(sorted(r["token"] for r in listed.collect()), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,6 +136,98 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _coordinates(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Bit masks of 48 coordinates each, as flags."""
+    bits = np.arange(48, dtype=np.int64)
+    return np.hstack([low[:, None] >> bits & 1, high[:, None] >> bits & 1]).astype(bool)[:, :COORDINATES]
+
+
+def _linked(f: pd.DataFrame) -> pd.DataFrame:
+    """Confirmed links of one pair of blocks of a list, as stars: strays with members of other components.
+
+    A pair is looked at in the list of the first coordinate that makes both its
+    ends members of a common list, so once in all.  Pairs with enough equal
+    coordinates are confirmed on the full sets: their intersections are the
+    product of 0-1 matrices over the shingles that occur twice here.
+    """
+    i, j, k = (int(f[c].iloc[0]) for c in ("i", "j", "coordinate"))
+    node, root, block, size, stray = (f[c].to_numpy() for c in ("node", "rnode", "block", "n_shingles", "stray"))
+    sig = np.frombuffer(b"".join(f["data"]), np.uint16).reshape(len(f), -1)
+    member = _coordinates(f["low"].to_numpy(), f["high"].to_numpy())
+    at, wanted = np.flatnonzero(stray), []
+    for a in range(0, len(at), 256):
+        x = at[a : a + 256]
+        new = (root[x, None] != root[None, :]) & (100 * np.minimum(size[x, None], size[None, :]) >= 75 * np.maximum(size[x, None], size[None, :]))
+        if i != j:
+            new &= block[x, None] != block[None, :]
+        for c in range(k):
+            if not new.any():
+                break
+            new &= ~((sig[x, None, c] == sig[None, :, c]) & member[x, None, c] & member[None, :, c])
+        p, q = np.nonzero(new)
+        for z in range(0, len(p), 1 << 16):
+            u, v = x[p[z : z + (1 << 16)]], q[z : z + (1 << 16)]
+            good = (sig[u] == sig[v]).sum(axis=1) >= MATCHES
+            wanted.append(np.column_stack([u[good], v[good]]))
+    pairs = np.concatenate(wanted) if wanted else np.zeros((0, 2), np.int64)
+    if not len(pairs):
+        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    used, at = np.unique(pairs, return_inverse=True)
+    pairs = at.reshape(-1, 2)
+    sets = list(shingle_sets(pa.array(f["text"].iloc[used].tolist(), pa.large_string())))
+    sizes = np.array([len(s) for s in sets])
+    keys, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    twice = np.flatnonzero(np.bincount(column, minlength=len(keys)) > 1)
+    place = np.full(len(keys), -1)
+    place[twice] = np.arange(len(twice))
+    column = place[column]
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    firsts = np.unique(pairs[:, 0])
+    out: list[tuple[int, int]] = []
+    for a in range(0, len(firsts), 512):
+        some = firsts[a : a + 512]
+        common = np.zeros((len(some), len(sets)), np.float32)
+        for z in range(0, len(twice), 1024):
+            lo, hi = np.searchsorted(column, [z, z + 1024])
+            flags = np.zeros((len(sets), 1024), np.float32)
+            flags[row[lo:hi], column[lo:hi] - z] = 1
+            common += flags[some] @ flags.T
+        mine = pairs[np.isin(pairs[:, 0], some)]
+        both = common[np.searchsorted(some, mine[:, 0]), mine[:, 1]].astype(np.int64)
+        mine = mine[100 * both >= 75 * (sizes[mine[:, 0]] + sizes[mine[:, 1]] - both)]
+        out += zip(node[used[mine[:, 0]]].tolist(), node[used[mine[:, 1]]].tolist())
+        out = list(forest(out).items())
+    return pd.DataFrame([(x, r) for x, r in out if x != r], columns=["a", "b"], dtype=np.int64)
+
+
+def _stray_links(members: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """members: token, node, rnode, main, blocks of long lists with several components."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = [np.array(v, np.int64).astype(np.uint16).tobytes() for v in b.column("sig").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("n_shingles"), pa.array(data, pa.binary())], ["node", "n_shingles", "data"])
+
+    members = members.withColumn("coordinate", F.shiftright("token", 32).cast("int"))
+    bit = lambda a, z: F.coalesce(F.bit_or(F.when(F.col("coordinate").between(a, z), F.expr(f"shiftleft(1L, coordinate - {a})"))), F.lit(0))
+    own = members.groupBy("node").agg(bit(0, 47).cast("long").alias("low"), bit(48, 95).cast("long").alias("high"))
+    packed = classes.join(own, "node").select("node", "n_shingles", "sig").mapInArrow(pack, "node long, n_shingles long, data binary")
+    m = members.join(staged(packed.join(own, "node").join(texts, "node"), "packed"), "node")
+    m = m.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("stray", F.col("rnode") != F.col("main"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
+    m = m.withColumn("p", F.explode(pair)).select("*", "p.i", "p.j").drop("p", "main", "blocks")
+    return m.groupBy("token", "i", "j").applyInPandas(_linked, "a long, b long")
+
+
+def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, text of classes (node, doc_id), from the documents that stand for them."""
+    own = _sets_key(docs.join(nodes.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id") == F.col("_id")))
+    return own.join(nodes.select("node"), "node").dropDuplicates(["node"])
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     need(docs, "doc_id", "text")
@@ -151,11 +245,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = pairs.unionByName(long.where("node != pivot").select(*_ordered("node", "pivot"))).distinct()
     candidates = staged(_matching(pairs, classes), "candidates")
 
-    # whole texts of the classes that have a candidate; one document stands for its class
-    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    some = classes.join(ends(candidates), "node", "left_semi").select("node", "doc_id")
-    own = _sets_key(docs.join(some.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id") == F.col("_id")))
-    texts = staged(own.join(some.select("node"), "node").dropDuplicates(["node"]), "texts")
+    # whole texts of the classes that have a candidate or are in a long list; one document stands for its class
+    ends = candidates.select(F.explode(F.array("a", "b")).alias("node")).unionByName(long.select("node")).distinct()
+    texts = staged(_texts_of(docs, classes.join(ends, "node", "left_semi").select("node", "doc_id")), "texts")
 
     # first the best candidate of each class
     by = candidates.select(F.explode(F.array(F.struct(F.col("a").alias("node"), "matches", "a", "b"), F.struct(F.col("b").alias("node"), "matches", "a", "b"))).alias("e")).select("e.*")
@@ -166,19 +258,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # then whatever still joins two components
     label = lambda df, c: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
     apart = label(long, "node").select("token", "node", "rnode")
-    counts = apart.groupBy("token", "rnode").count().groupBy("token").agg(F.count("*").alias("n"), F.max(F.struct("count", "rnode")).alias("top")).where("n > 1")
-    apart = staged(apart.join(counts.select("token", F.col("top.rnode").alias("main")), "token"), "apart")
-    strays = apart.where("rnode != main").select("token", F.col("node").alias("x"), F.col("rnode").alias("rx"))
-    more = strays.join(apart.select("token", "node", "rnode"), "token").where("rx != rnode").select(*_ordered("x", "node")).distinct()
-    more = _matching(more, classes).select("a", "b")
-    rest = label(label(candidates.select("a", "b"), "a"), "b").where("ra != rb").select("a", "b")
-    rest = staged(rest.unionByName(more).distinct().join(best, ["a", "b"], "left_anti"), "rest")
-    new = ends(rest).join(texts.select("node"), "node", "left_anti")
-    others = classes.join(new, "node", "left_semi").select("node", "doc_id")
-    late = _sets_key(docs.join(others.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id") == F.col("_id")))
-    late = late.join(others.select("node"), "node").dropDuplicates(["node"])
-    links = staged(links.unionByName(_confirmed(rest, texts.unionByName(late))), "links")
-    roots = components(links)
+    counts = apart.groupBy("token", "rnode").count().groupBy("token").agg(F.count("*").alias("n"), F.sum("count").alias("m"), F.max(F.struct("count", "rnode")).alias("top")).where("n > 1")
+    counts = staged(counts.select("token", F.col("top.rnode").alias("main"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "apart")
+    late = _stray_links(apart.join(counts, "token"), classes, texts)
+    rest = label(label(candidates.select("a", "b"), "a"), "b").where("ra != rb").select("a", "b").join(best, ["a", "b"], "left_anti")
+    roots = components(links.unionByName(_confirmed(rest, texts)).unionByName(late))
 
     member = classes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
