@@ -108,25 +108,33 @@ _CUT = "key long, hot boolean, start int, anchor long, data binary, h1 long, h2
 def _cut(needed: DataFrame, docs: DataFrame, window: int) -> DataFrame:
     """The words of segments; for hot anchors, the two hashes of every window."""
 
+    names = ["key", "hot", "start", "anchor", "data", "h1", "h2", "mult"]
+    kinds = (pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, data, offsets in text_chunks(b.column("text")):
-                words, out = Words(data, offsets), []
+            for i, j, data, offsets in text_chunks(b.column("text"), 1 << 20):
+                words, cold, hot = Words(data, offsets), [], []
                 keys, mults, wanted = (b.column(c).slice(i, j - i).to_pylist() for c in ("key", "mult", "wanted"))
                 for k, (key, mult, some) in enumerate(zip(keys, mults, wanted)):
                     h = words.hashes[words.first[k] : words.first[k + 1]]
                     if _identity(h) != key:  # another text under a repeated doc_id
                         continue
+                    one = two = None
                     for s in some:
-                        part = h[s["start"] : s["start"] + s["n"] + window - 1]
                         if not s["hot"]:
-                            out.append((key, False, s["start"], s["anchor"], part.tobytes(), None, None, mult))
+                            cold.append((key, False, s["start"], s["anchor"], h[s["start"] : s["start"] + s["n"] + window - 1].tobytes(), None, None, mult))
                             continue
-                        one, two = ngrams(part, window).astype(np.int64).tolist(), ngrams(mix(part + _U(99)), window).astype(np.int64).tolist()
-                        out += [(key, True, s["start"] + x, None, None, p, q, mult) for x, (p, q) in enumerate(zip(one, two))]
-                columns = list(zip(*out)) or [()] * 8
-                kinds = (pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["key", "hot", "start", "anchor", "data", "h1", "h2", "mult"])
+                        if one is None:
+                            one, two = ngrams(h, window), ngrams(mix(h + _U(99)), window)
+                        at = np.arange(s["start"], s["start"] + s["n"])
+                        hot.append((np.full(len(at), key), at, one[at], two[at], np.full(len(at), mult)))
+                if cold:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cold), kinds)], names)
+                if hot:
+                    key, at, one, two, mult = (np.concatenate(c) for c in zip(*hot))
+                    n = len(key)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.ones(n, bool)), pa.array(at.astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(one.astype(np.int64)), pa.array(two.astype(np.int64)), pa.array(mult)], names)
 
     return docs.join(needed, "doc_id").select("key", "mult", "wanted", "text").mapInArrow(run, _CUT)
 
