@@ -24,7 +24,7 @@ _LOWER[65:91] += 32
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 #: Bytes of text that one vectorised step handles at once; a longer text is a step of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
