@@ -148,7 +148,7 @@ def index_floyd_steinberg(px: DataFrame, palette: list[RGB]) -> DataFrame:
     kinds = {k: t for k, t in px.dtypes}
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"x {kinds['x']}", f"y {kinds['y']}", "idx int"])
     lab = C.with_lab(px).select(*keys, "x", "y", "l", "a", "b_")
-    return lab.groupBy(*(keys or [F.lit(0)])).applyInPandas(run, schema)
+    return lab.groupBy(*(keys or [F.lit(0).alias("_all")])).applyInPandas(run, schema)
 
 
 def manual_paint(px: DataFrame, width: int, height: int, pixels: bytes | None) -> Column:

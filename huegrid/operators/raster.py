@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.color import shape_curve
 from .extract import bayer_matrix, keys_of
@@ -141,14 +142,10 @@ def white_noise_states(ordinals: np.ndarray) -> np.ndarray:
     return state
 
 
-@F.pandas_udf("int")
-def _white_threshold(ordinal: pd.Series) -> pd.Series:
-    return pd.Series((white_noise_states(ordinal.to_numpy()) & np.uint32(255)).astype(np.int32))
-
-
 def white_noise(df: DataFrame, width: int) -> DataFrame:
     """Thresholds follow the scan order of an image of the given width."""
-    return df.withColumn("d", _cut(_white_threshold((F.col("y") * width + F.col("x")).cast("long"))))
+    threshold = F.pandas_udf(lambda n: pd.Series((white_noise_states(n.to_numpy()) & np.uint32(255)).astype(np.int32)), T.IntegerType(), F.PandasUDFType.SCALAR)
+    return df.withColumn("d", _cut(threshold((F.col("y") * width + F.col("x")).cast("long"))))
 
 
 def floyd_steinberg(df: DataFrame) -> DataFrame:
@@ -175,7 +172,7 @@ def floyd_steinberg(df: DataFrame) -> DataFrame:
                         below[x + ahead] += e / 16
         return f.assign(d=np.array(rows, np.int32).ravel())
 
-    return df.groupBy(*(keys or [F.lit(0)])).applyInPandas(run, df.withColumn("d", F.col("d").cast("int")).schema)
+    return df.groupBy(*(keys or [F.lit(0).alias("_all")])).applyInPandas(run, df.withColumn("d", F.col("d").cast("int")).schema)
 
 
 def halftone(df: DataFrame, width: int, height: int, lpi: float = 55.0, angle_deg: float = 22.5, dot: str = "round", curve: str = "linear", supersample: int = SUPERSAMPLE) -> DataFrame:

@@ -239,8 +239,8 @@ def _halftone(dot: str, shape: str) -> str:
 g AS (SELECT w, h, greatest(greatest(greatest(w, h) / 13e0, 72) / 20e0, 1) AS cell FROM dim), g2 AS (SELECT *, cell * 3 AS big, cell * 1.5e0 AS half, w * 1.5e0 AS cx, h * 1.5e0 AS cy, greatest(CAST(floor(cell * 0.5e0) AS BIGINT), 1) AS hs FROM g),
 n AS (SELECT *, unnest(range(-CAST(ceil(greatest(w, h) * 3 / big) AS BIGINT) - 2, CAST(ceil(greatest(w, h) * 3 / big) AS BIGINT) + 3)) AS ci FROM g2),
 cells AS (SELECT n.*, q.ci AS cj, cx + (n.ci + 0.5e0) * big * {cos} - (q.ci + 0.5e0) * big * {sin} AS sx, cy + (n.ci + 0.5e0) * big * {sin} + (q.ci + 0.5e0) * big * {cos} AS sy FROM n, (SELECT ci FROM n) q),
-at AS (SELECT *, CAST(trunc(sx / 3) AS BIGINT) AS px0, CAST(trunc(sy / 3) AS BIGINT) AS py0 FROM cells),
-mean AS (SELECT at.ci, at.cj, sx, sy, half, w, h, sum(m.d) // count(*) AS av FROM at JOIN m ON m.x BETWEEN px0 - hs AND px0 + hs AND m.y BETWEEN py0 - hs AND py0 + hs WHERE px0 BETWEEN 0 AND w - 1 AND py0 BETWEEN 0 AND h - 1 GROUP BY ALL),
+cat AS (SELECT *, CAST(trunc(sx / 3) AS BIGINT) AS px0, CAST(trunc(sy / 3) AS BIGINT) AS py0 FROM cells),
+mean AS (SELECT cat.ci, cat.cj, sx, sy, half, w, h, sum(m.d) // count(*) AS av FROM cat JOIN m ON m.x BETWEEN px0 - hs AND px0 + hs AND m.y BETWEEN py0 - hs AND py0 + hs WHERE px0 BETWEEN 0 AND w - 1 AND py0 BETWEEN 0 AND h - 1 GROUP BY ALL),
 cov AS (SELECT *, 1 - av / 255e0 AS z FROM mean WHERE av < 248), dots AS (SELECT *, {shape} AS c FROM cov), d2 AS (SELECT *, half * sqrt(4 * c / pi()) AS rr FROM dots WHERE c > 0.01),
 ys AS (SELECT *, unnest(range(greatest(CAST(floor(sy - half) AS BIGINT), 0), least(CAST(ceil(sy + half) AS BIGINT), h * 3 - 1) + 1)) AS py FROM d2),
 xs AS (SELECT *, unnest(range(greatest(CAST(floor(sx - half) AS BIGINT), 0), least(CAST(ceil(sx + half) AS BIGINT), w * 3 - 1) + 1)) AS px_ FROM ys),
@@ -263,7 +263,7 @@ ORACLES |= {
     "hist_buckets": f"WITH {DETECT} SELECT n_colors, round(peak, 6) AS peak FROM hs",
     "p95_chroma": f"WITH {DETECT} SELECT round(p95, 4) AS p95 FROM pc",
     "workflow_detect": f"WITH {DETECT} SELECT CASE WHEN p95 < 8 THEN 'single_halftone' WHEN n_colors < 12 AND peak > 0.08 THEN 'spot' WHEN n_colors < 50 THEN 'cel_shaded' WHEN w * h < 200000 AND n_colors < 64 THEN 'index_bayer' ELSE 'simprocess_dark' END AS workflow FROM hs, pc, dim",
-    "kmeans_step": f"WITH {LAB}, {_colors(BASE, 't')}, e AS (SELECT i, l, a, b_, idx, row_number() OVER (PARTITION BY i ORDER BY {_de94('l', 'a', 'b_', 'tl', 'ta', 'tb')}, idx) AS rn FROM lab, t) SELECT CAST(idx AS BIGINT) AS k, count(*) AS n, round(avg(l), 4) AS l, round(avg(a), 4) AS a, round(avg(b_), 4) AS b FROM e WHERE rn = 1 GROUP BY 1",
+    "kmeans_step": f"WITH {LAB}, {_colors(BASE, 't')}, e AS (SELECT i, l, a, b_, idx, row_number() OVER (PARTITION BY i ORDER BY {_de94('l', 'a', 'b_', 'tl', 'ta', 'tb')}, idx) AS rn FROM lab, t) SELECT CAST(idx AS BIGINT) AS k, count(*) AS n, round(avg(l), 4) + 0e0 AS l, round(avg(a), 4) + 0e0 AS a, round(avg(b_), 4) + 0e0 AS b FROM e WHERE rn = 1 GROUP BY 1",
     "label_means": "WITH e AS (SELECT label, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT CAST(label AS BIGINT) AS label, dim, round(avg(v), 5) AS mean FROM e GROUP BY 1, 2",
     "palette_snap": f"WITH px AS (SELECT p_partkey, p_partkey % 256 AS r, p_partkey % 256 AS g, p_partkey % 256 AS b FROM part),{_lab('px', 'lab')} SELECT p_partkey, " + ", ".join(f"CASE WHEN sqrt(a * a + b_ * b_) < 10 AND l < 15 THEN 0 WHEN sqrt(a * a + b_ * b_) < 10 AND l > 92 THEN 255 ELSE {c} END AS {c}" for c in "rgb") + " FROM lab",
     "requantized": f"WITH {LAB}, {_colors(BASE, 't')}, e AS (SELECT i, x, y, idx, row_number() OVER (PARTITION BY i ORDER BY {_de94('l', 'a', 'b_', 'tl', 'ta', 'tb')}, idx) AS rn FROM lab, t) SELECT i, x, y, CAST(v.r AS BIGINT) AS r, CAST(v.g AS BIGINT) AS g, CAST(v.b AS BIGINT) AS b FROM e JOIN t_v v USING (idx) WHERE rn = 1",

@@ -277,7 +277,7 @@ def layer_coverage(spark, sf_dir):
 @query
 def kmeans_step(spark, sf_dir):
     out = P.kmeans_step(C.with_lab(X.px(spark, sf_dir)), [C.lab_of(t) for t in X.BASE])
-    return out.select("k", "n", *(F.round(c, 4).alias(n) for c, n in (("l", "l"), ("a", "a"), ("b_", "b"))))
+    return out.select("k", "n", *((F.round(c, 4) + 0.0).alias(n) for c, n in (("l", "l"), ("a", "a"), ("b_", "b"))))
 
 
 @query
