@@ -19,7 +19,7 @@ no link between components is lost among the candidates, and copies are not
 expanded into all pairs.
 
 Agreement of coordinates is a binomial count: at the similarity of 0.75 a pair
-has fewer than 52 of 96 agreements with a probability of about 3e-6.
+has fewer than 43 of 80 agreements with a probability of about 1e-5.
 
 Defined results: null texts and texts without words have an empty set and no
 links; fewer than 5 words make one shingle of the whole sequence; repeated
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import Words, mix, need, ngrams, staged, text_chunks
 from .components import components, forest
 
-SHINGLE, COORDINATES, MATCHES, SMALL_LIST, BLOCK, MOST_FREQUENT = 5, 96, 52, 64, 4096, 1_000_000
+SHINGLE, COORDINATES, MATCHES, SMALL_LIST, BLOCK, MOST_FREQUENT = 5, 80, 43, 64, 4096, 1_000_000
 _PREFIX = COORDINATES - MATCHES + 1
 _U = np.uint64
 _A = np.random.default_rng(7).integers(1, (1 << 64) - 1, COORDINATES, dtype=np.uint64) | _U(1)
@@ -231,7 +231,7 @@ def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     need(docs, "doc_id", "text")
-    # identity of a row: repeated doc_ids with other texts have other sets
+    docs = docs.select("doc_id", "text")
     sets = staged(_sets(docs), "sets")
     full = sets.where("key is not null")
     classes = full.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles")).alias("m"), F.first("sig").alias("sig"))
@@ -274,10 +274,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one document of each group; of repeated rows with one doc_id and text, one."""
-    found = staged(near_duplicates(docs).select(F.col("doc_id").alias("_id"), "kept"), "near")
-    kept = found.where("kept").select("_id").distinct()
-    out = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    if not found.groupBy("_id").count().where("count > 1").isEmpty():
+    found = staged(near_duplicates(docs).select(F.col("doc_id").alias("_near_id"), "kept"), "near")
+    kept = found.where("kept").select("_near_id").distinct()
+    out = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_near_id")), "left_semi")
+    if not found.groupBy("_near_id").count().where("count > 1").isEmpty():
         out = out.dropDuplicates(["doc_id", "text"])
     return out
 
