@@ -214,13 +214,15 @@ def mix_digest(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: flo
 def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, seed: int = _SEED) -> DataFrame:
     """The mix itself as documents: a row for each take of a document's part of a block, with docs' columns; text is that part, n_chars its length."""
     need(docs, "doc_id", "text", "source")
-    sized = _sized(docs)
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
+    sized = _sized(docs.select("doc_id", "text", "source", F.struct(F.lit(0).alias("_"), *others).alias("_rest")))
     sources = sources_of(sized.select("source", "size"), weights, share, most, block, seed)
     slots = takes(slot_blocks(docs.sparkSession, sources, seed))
     got = block_texts(offsets(sized, sources), block).join(slots.hint("merge"), ["sid", "block"])
     whole = got.where("times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     words = F.slice(F.split("text", " "), 1, (F.least("z", "part") - F.col("a")).cast("int"))
     out = whole.drop("_copy").unionByName(got.where("part > a").withColumn("text", F.array_join(words, " ")))
+    out = out.select("doc_id", "text", "source", *(F.col("_rest")[c].alias(c) for c in others))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

@@ -235,11 +235,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, passed: list[str] | No
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with repeated passages taken out of text and n_chars following; texts without any stay as they are."""
-    out = remove_repeats(docs, window, [c for c in docs.columns if c not in ("doc_id", "text")])
-    out = out.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *others).alias("_rest"))
+    out = remove_repeats(packed, window, ["_rest"]).withColumn("_gone", F.col("n_removed") > 0)
+    text = F.when(F.col("_gone"), F.col("kept_text")).otherwise(F.col("text"))
+    columns = {c: F.col("_rest")[c] for c in others} | {"doc_id": F.col("doc_id"), "text": text}
+    if "n_chars" in others:
+        columns["n_chars"] = F.when(F.col("_gone"), F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    return out.select(*(columns[c].alias(c) for c in docs.columns))
 
 
 def remove_reference_spans(docs: DataFrame, reference: list[str], window: int = WINDOW, most_words: int = SHARD_WORDS) -> DataFrame:
@@ -249,6 +252,7 @@ def remove_reference_spans(docs: DataFrame, reference: list[str], window: int =
     """
     need(docs, "text")
     spark, rest = docs.sparkSession, [t.encode().split() for t in reference if t]
+    found = docs.withColumn("_spans", F.lit(b""))
     while rest:
         automaton, n = SuffixAutomaton(), 0
         while rest and (n == 0 or n + len(rest[-1]) <= most_words):
@@ -256,22 +260,34 @@ def remove_reference_spans(docs: DataFrame, reference: list[str], window: int =
             automaton.add(rest.pop())
         shard = spark.sparkContext.broadcast((automaton.next, automaton.link, automaton.length))
 
-        def run(frames: Iterator[pd.DataFrame], shard=shard) -> Iterator[pd.DataFrame]:
+        def match(frames: Iterator[pd.DataFrame], shard=shard) -> Iterator[pd.DataFrame]:
             a = SuffixAutomaton()
             a.next, a.link, a.length = shard.value
             a.count = [0] * len(a.length)
             for f in frames:
-                texts = []
-                for t in f["text"]:
+                spans = []
+                for t, before in zip(f["text"], f["_spans"]):
                     words = t.encode().split() if t is not None else []
                     mask = [long == window for long, _ in a.matching(words, window)][window - 1 :]
-                    if any(mask):
-                        spans = _runs(mask, window)
-                        words = [w for k, w in enumerate(words) if not any(x <= k < z for x, z in spans)]
-                        t = b" ".join(words).decode()
-                    texts.append(t)
-                f["text"] = texts
+                    spans.append(bytes(before) + np.array(_runs(mask, window), np.int64).tobytes())
+                f["_spans"] = spans
                 yield f
 
-        docs = docs.mapInPandas(run, docs.schema)
-    return docs
+        found = found.mapInPandas(match, found.schema)
+
+    def remove(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            texts = []
+            for t, spans in zip(f["text"], f["_spans"]):
+                if spans:
+                    words = t.encode().split()
+                    gone = np.zeros(len(words) + 1, np.int64)
+                    for x, z in np.frombuffer(spans, np.int64).reshape(-1, 2):
+                        gone[x] += 1
+                        gone[z] -= 1
+                    t = b" ".join(w for w, g in zip(words, np.cumsum(gone[:-1]) > 0) if not g).decode()
+                texts.append(t)
+            f["text"] = texts
+            yield f.drop(columns="_spans")
+
+    return found.mapInPandas(remove, docs.schema)
