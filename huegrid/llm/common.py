@@ -60,7 +60,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one Arrow batch where texts go through Python: the default of 10,000 would hold tens of MB several times over.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> None:
+    """Lower the session's Arrow batch size to BATCH_ROWS, unless it is lower."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+
+
 def need(df: DataFrame, *columns: str) -> None:
+    """Check an operator's input; texts will go through Python in small batches."""
+    if "text" in columns or "html" in columns:
+        small_batches(df)
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
