@@ -229,28 +229,74 @@ SELECT n + 1, (WITH a AS (SELECT xor(v, (v << 13) & 4294967295) AS v1), b AS (SE
 SELECT x, y, CAST(CASE WHEN d > v & 255 THEN 255 ELSE 0 END AS BIGINT) AS d FROM m JOIN s ON n = y * 100 + x"""
 
 
-def _halftone(dot: str, shape: str) -> str:
-    sin, cos = repr(math.sin(math.radians(22.5))), repr(math.cos(math.radians(22.5)))
+def _screen(p: str, mask: str, lpi: float, angle: float, dot: str = "round", shape: str = "z") -> str:
+    """CTEs that end with p_out: the dots of every cell drawn forward, then averaged over 3 x 3 subpixels."""
+    sin, cos = repr(math.sin(math.radians(angle))), repr(math.cos(math.radians(angle)))
     inside = {
         "round": "ux * ux + uy * uy <= rr * rr", "square": "abs(ux) <= half * sqrt(c) AND abs(uy) <= half * sqrt(c)",
         "ellipse": "pow(ux / rr, 2) + pow(uy / (0.6e0 * rr), 2) <= 1", "line": "abs(uy) <= half * c * 2 AND abs(ux) <= half",
     }[dot]
-    return f"""WITH {GRAY}, {DIM},
-g AS (SELECT w, h, greatest(greatest(greatest(w, h) / 13e0, 72) / 20e0, 1) AS cell FROM dim), g2 AS (SELECT *, cell * 3 AS big, cell * 1.5e0 AS half, w * 1.5e0 AS cx, h * 1.5e0 AS cy, greatest(CAST(floor(cell * 0.5e0) AS BIGINT), 1) AS hs FROM g),
-n AS (SELECT *, unnest(range(-CAST(ceil(greatest(w, h) * 3 / big) AS BIGINT) - 2, CAST(ceil(greatest(w, h) * 3 / big) AS BIGINT) + 3)) AS ci FROM g2),
-cells AS (SELECT n.*, q.ci AS cj, cx + (n.ci + 0.5e0) * big * {cos} - (q.ci + 0.5e0) * big * {sin} AS sx, cy + (n.ci + 0.5e0) * big * {sin} + (q.ci + 0.5e0) * big * {cos} AS sy FROM n, (SELECT ci FROM n) q),
-cat AS (SELECT *, CAST(trunc(sx / 3) AS BIGINT) AS px0, CAST(trunc(sy / 3) AS BIGINT) AS py0 FROM cells),
-mean AS (SELECT cat.ci, cat.cj, sx, sy, half, w, h, sum(m.d) // count(*) AS av FROM cat JOIN m ON m.x BETWEEN px0 - hs AND px0 + hs AND m.y BETWEEN py0 - hs AND py0 + hs WHERE px0 BETWEEN 0 AND w - 1 AND py0 BETWEEN 0 AND h - 1 GROUP BY ALL),
-cov AS (SELECT *, 1 - av / 255e0 AS z FROM mean WHERE av < 248), dots AS (SELECT *, {shape} AS c FROM cov), d2 AS (SELECT *, half * sqrt(4 * c / pi()) AS rr FROM dots WHERE c > 0.01),
-ys AS (SELECT *, unnest(range(greatest(CAST(floor(sy - half) AS BIGINT), 0), least(CAST(ceil(sy + half) AS BIGINT), h * 3 - 1) + 1)) AS py FROM d2),
-xs AS (SELECT *, unnest(range(greatest(CAST(floor(sx - half) AS BIGINT), 0), least(CAST(ceil(sx + half) AS BIGINT), w * 3 - 1) + 1)) AS px_ FROM ys),
-lo AS (SELECT *, (px_ + 0.5e0 - sx) * {cos} + (py + 0.5e0 - sy) * {sin} AS ux, -(px_ + 0.5e0 - sx) * {sin} + (py + 0.5e0 - sy) * {cos} AS uy FROM xs),
-ink AS (SELECT px_ // 3 AS x, py // 3 AS y, count(DISTINCT (px_, py)) AS n FROM lo WHERE {inside} GROUP BY 1, 2)
-SELECT m.x, m.y, CAST((9 - coalesce(n, 0)) * 255 // 9 AS BIGINT) AS d FROM m LEFT JOIN ink ON ink.x = m.x AND ink.y = m.y"""
+    return f"""
+{p}_g AS (SELECT w, h, greatest(greatest(greatest(w, h) / 13e0, 72) / {lpi}e0, 1) AS cell FROM dim),
+{p}_g2 AS (SELECT *, cell * 3 AS big, cell * 1.5e0 AS half, w * 1.5e0 AS cx, h * 1.5e0 AS cy, greatest(CAST(floor(cell * 0.5e0) AS BIGINT), 1) AS hs FROM {p}_g),
+{p}_n AS (SELECT *, unnest(range(-CAST(ceil(greatest(w, h) * 3 / big) AS BIGINT) - 2, CAST(ceil(greatest(w, h) * 3 / big) AS BIGINT) + 3)) AS ci FROM {p}_g2),
+{p}_cells AS (SELECT n.*, q.ci AS cj, cx + (n.ci + 0.5e0) * big * {cos} - (q.ci + 0.5e0) * big * {sin} AS sx, cy + (n.ci + 0.5e0) * big * {sin} + (q.ci + 0.5e0) * big * {cos} AS sy FROM {p}_n n, (SELECT ci FROM {p}_n) q),
+{p}_cat AS (SELECT *, CAST(trunc(sx / 3) AS BIGINT) AS px0, CAST(trunc(sy / 3) AS BIGINT) AS py0 FROM {p}_cells),
+{p}_mean AS (SELECT cat.ci, cat.cj, sx, sy, half, w, h, sum(m.d) // count(*) AS av FROM {p}_cat cat JOIN {mask} m ON m.x BETWEEN px0 - hs AND px0 + hs AND m.y BETWEEN py0 - hs AND py0 + hs WHERE px0 BETWEEN 0 AND w - 1 AND py0 BETWEEN 0 AND h - 1 GROUP BY ALL),
+{p}_cov AS (SELECT *, 1 - av / 255e0 AS z FROM {p}_mean WHERE av < 248), {p}_dots AS (SELECT *, {shape} AS c FROM {p}_cov), {p}_d2 AS (SELECT *, half * sqrt(4 * c / pi()) AS rr FROM {p}_dots WHERE c > 0.01),
+{p}_ys AS (SELECT *, unnest(range(greatest(CAST(floor(sy - half) AS BIGINT), 0), least(CAST(ceil(sy + half) AS BIGINT), h * 3 - 1) + 1)) AS py FROM {p}_d2),
+{p}_xs AS (SELECT *, unnest(range(greatest(CAST(floor(sx - half) AS BIGINT), 0), least(CAST(ceil(sx + half) AS BIGINT), w * 3 - 1) + 1)) AS px_ FROM {p}_ys),
+{p}_lo AS (SELECT *, (px_ + 0.5e0 - sx) * {cos} + (py + 0.5e0 - sy) * {sin} AS ux, -(px_ + 0.5e0 - sx) * {sin} + (py + 0.5e0 - sy) * {cos} AS uy FROM {p}_xs),
+{p}_ink AS (SELECT px_ // 3 AS x, py // 3 AS y, count(DISTINCT (px_, py)) AS n FROM {p}_lo WHERE {inside} GROUP BY 1, 2),
+{p}_out AS (SELECT m.x, m.y, CAST((9 - coalesce(n, 0)) * 255 // 9 AS BIGINT) AS d FROM {mask} m LEFT JOIN {p}_ink ink ON ink.x = m.x AND ink.y = m.y)"""
 
 
 for _d, _s in (("round", "z"), ("square", "z * z * (3 - 2 * z)"), ("ellipse", "CASE WHEN z < 0.5 THEN z * 0.2e0 ELSE least(0.1e0 + (z - 0.5e0) * 1.8e0, 1) END"), ("line", "z")):
-    ORACLES[f"halftone_{_d}"] = _halftone(_d, _s)
+    ORACLES[f"halftone_{_d}"] = f"WITH {GRAY}, {DIM},{_screen('s', 'm', 20, 22.5, _d, _s)} SELECT x, y, d FROM s_out"
+
+# whole jobs: coverage of every plate
+
+SOURCE = f"{PX}, {DIM}, src AS (SELECT x, y, " + ", ".join(f"CASE WHEN {TOP} < 50 THEN 0 ELSE {c} END AS {c}" for c in "rgb") + f" FROM px),{_lab('src', 'lab')}"
+
+
+def _blurred(source: str, out: str) -> str:
+    """sigma 1.5, then cut at 128."""
+    return f"""{out}_h AS (SELECT p.x, p.y, sum(w_ * q.d) AS d FROM {source} p, tap, dim JOIN {source} q ON q.y = p.y AND q.x = least(greatest(p.x + k, 0), w - 1) GROUP BY 1, 2),
+{out}_v AS (SELECT p.x, p.y, sum(w_ * q.d) AS d FROM {out}_h p, tap, dim JOIN {out}_h q ON q.x = p.x AND q.y = least(greatest(p.y + k, 0), h - 1) GROUP BY 1, 2),
+{out} AS (SELECT x, y, CASE WHEN {_byte('d')} < 128 THEN 0 ELSE 255 END AS d FROM {out}_v)"""
+
+
+def _total(plates: list[tuple[int, str]]) -> str:
+    return " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS layer_idx, round(avg(CASE WHEN d < 128 THEN 1e0 ELSE 0e0 END), 6) AS coverage FROM {p}" for i, p in plates)
+
+
+def _screened(plates: list[tuple[str, float, float]], first: int = 0) -> str:
+    """plates: density over lab, screen frequency and angle."""
+    ctes = "".join(f", l{i} AS (SELECT x, y, CAST({d} AS BIGINT) AS d FROM lab),{_screen(f'k{i}', f'l{i}', lpi, angle)}" for i, (d, lpi, angle) in enumerate(plates, first))
+    return SOURCE + ctes
+
+
+def _calc_density(v: str) -> str:
+    return _byte(f"255 * (1 - least(greatest({v}, 0), 1))")
+
+
+HIGH = _curve(CURVES["highlight_white"], "(255 - least(r, g, b))")
+DARK = _curve(CURVES["black_plate"], TOP)
+PROCESS = [(_curve(CURVES["cmyk_channel"], _byte(f"255 * (1 - {v})")), 65, a) for v, a in ((f"greatest({C_} - {K_}, 0)", 15), (f"greatest({M_} - {K_}, 0)", 75), (f"greatest({Y_} - {K_}, 0)", 0), (K_, 45))]
+JOBS = {
+    "single_halftone": [(_calc_density(f"1 - {LN}"), 45, 22.5)],
+    "duotone": [(HIGH, 65, 15), (DARK, 65, 75)],
+    "tritone": [(_calc_density(f"least(greatest({v}, 0), 1)"), 65, a) for v, a in ((f"({LN} - 0.7e0) * 3.3e0", 15), (f"1 - abs({LN} - 0.5e0) * 3.3e0", 75), (f"(0.3e0 - {LN}) * 3.3e0", 45))],
+    "cmyk_process_light": PROCESS + [(HIGH, 65, ANGLES[4])],
+}
+for _n, _plates_ in JOBS.items():
+    ORACLES[f"full_{_n}"] = f"WITH {_screened(_plates_)} {_total([(i, f'k{i}_out') for i in range(len(_plates_))])}"
+for _n in ("black_only", "stencil"):
+    ORACLES[f"full_{_n}"] = f"WITH {SOURCE}, tap(k, w_) AS (VALUES {TAPS}), l0 AS (SELECT x, y, CASE WHEN {LUMA} < 128 THEN 0 ELSE 255 END AS d FROM src), {_blurred('l0', 'k0')} {_total([(0, 'k0')])}"
+_UNION = " UNION ALL ".join(f"SELECT * FROM l{i}" for i in (1, 2, 3, 5))  # not the black plate
+ORACLES["full_cmyk_process_dark"] = f"""WITH {_screened(PROCESS + [(HIGH, 65, ANGLES[5])], 1)}, tap(k, w_) AS (VALUES {TAPS}), u AS (SELECT x, y, min(d) AS d FROM ({_UNION}) GROUP BY 1, 2),
+ug AS (SELECT u.x, u.y, CASE WHEN {TOP} < 50 THEN 255 ELSE u.d END AS v FROM u JOIN src ON src.x = u.x AND src.y = u.y), uc AS (SELECT x, y, {_curve(CURVES["underbase_composite"], "v")} AS d FROM ug), {_blurred('uc', 'ub')},
+{_disk('ub', 'c1', 2, 'max')}, {_disk('c1', 'c2', 2, 'max')}, {_disk('c2', 'c3', 2, 'min')}, {_disk('c3', 'c4', 2, 'min')}, {_disk('c4', 'c5', 2, 'max')} {_total([(0, 'c5')] + [(i, f'k{i}_out') for i in range(1, 6)])}"""
 
 # aggregates and palettes
 
