@@ -60,16 +60,51 @@ def process_layer(px: DataFrame, layer: Layer, size: tuple[int, int], job: Job =
     return preview, render(preview, layer, size, job, fg)
 
 
+def _groups(plan: list[tuple[int, Layer]]) -> list[list[tuple[int, Layer]]]:
+    """Solid layers that read one assignment of pixels and are shaped alike go together, others alone."""
+    found: dict = {}
+    for i, x in plan:
+        kind = x.extractor["kind"]
+        shared = {"spot_aa": ("targets", "others", "target_weights"), "index_assignment": ("palette", "dither")}.get(kind)
+        one = not shared or x.render_mode != "solid" or (kind == "spot_aa" and not x.extractor["targets"])
+        key = i if one else (kind, str([x.extractor.get(k) for k in shared]), x.tone, x.mask)
+        found.setdefault(key, []).append((i, x))
+    return list(found.values())
+
+
+def _extract_together(src: DataFrame, group: list[tuple[int, Layer]]) -> DataFrame:
+    """keys, layer_idx, x, y, d of all layers of a group: distances or assignments are computed once."""
+    keys, spec = E.keys_of(src), group[0][1].extractor
+    if spec["kind"] == "spot_aa":
+        targets = [tuple(t) for t in spec["targets"]]
+        at = [targets.index(x.ink) if x.ink in targets else 0 for _, x in group]
+        out = E.spot_plates(C.with_lab(src), targets, [tuple(o) for o in spec.get("others", ())], spec.get("target_weights")).select(*keys, "x", "y", "plates")
+        d = F.element_at("plates", F.col("o.at") + 1)
+    else:
+        palette = [tuple(t) for t in spec["palette"]]
+        at = [x.extractor["index"] for _, x in group]
+        if spec.get("dither", "bayer") == "bayer":
+            out = C.with_lab(src).select(*keys, "x", "y", E.index_bayer(palette).alias("idx"))
+        else:
+            out = E.index_floyd_steinberg(src, palette)
+        d = F.when(F.col("idx") == F.col("o.at"), 0).otherwise(255)
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("layer_idx"), F.lit(k).alias("at")) for (i, _), k in zip(group, at))))
+    return out.select("*", each.alias("o")).select(*keys, "o.layer_idx", "x", "y", d.cast("int").alias("d"))
+
+
 def separate(px: DataFrame, layers: list[Layer], size: tuple[int, int], job: Job = Job(), fg: DataFrame | None = None, clamp: int = foreground.NEAR_BLACK, processed: bool = True, only_visible: bool = False) -> DataFrame:
     """All plates of a job: layer_idx, x, y, d.  Layers that union others run after those."""
     src = foreground.clamp_near_black(px, clamp) if clamp else px
     plan = [(i, x) for i, x in enumerate(layers) if not only_visible or (x.visible and x.include_in_export)]
     plates, previews = [], []
-    for i, x in plan:
-        if x.extractor["kind"] != "composite_union":
-            preview, final = process_layer(src, x, size, job, fg)
-            previews.append(preview.withColumn("layer_idx", F.lit(i)))
-            plates.append((final if processed else preview).withColumn("layer_idx", F.lit(i)))
+    for group in _groups([(i, x) for i, x in plan if x.extractor["kind"] != "composite_union"]):
+        i, x = group[0]
+        if len(group) > 1:
+            preview, final = process_layer(src, x, size, job, fg, extracted=_extract_together(src, group))
+        else:
+            preview, final = (p.withColumn("layer_idx", F.lit(i)) for p in process_layer(src, x, size, job, fg))
+        previews.append(preview)
+        plates.append(final if processed else preview)
     for i, x in plan:
         if x.extractor["kind"] == "composite_union":
             if previews:

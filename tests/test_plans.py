@@ -47,6 +47,18 @@ def test_identity_layer_is_its_extraction(spark):
     assert preview.exceptAll(want).isEmpty() and final.exceptAll(want).isEmpty()
 
 
+@pytest.mark.parametrize("workflow", ["spot", "index_bayer"])
+def test_layers_carried_out_together_equal_those_alone(spark, workflow):
+    px, size = fixtures.px(spark, SF), fixtures.size(spark, SF)
+    layers = workflows.plan(workflow, px, workflows.Options(max_colors=3))
+    together = pipeline.separate(px, layers, size).select("layer_idx", "x", "y", "d")
+    src = pipeline.foreground.clamp_near_black(px)
+    for i in (0, len(layers) - 1):
+        alone = pipeline.process_layer(src, layers[i], size)[1].select("x", "y", "d")
+        own = together.where(F.col("layer_idx") == i).select("x", "y", "d")
+        assert own.exceptAll(alone).isEmpty() and alone.exceptAll(own).isEmpty()
+
+
 def test_png_round_trip_and_resolution(spark, tmp_path):
     a = np.random.default_rng(0).integers(0, 256, (5, 7), np.uint8)
     data = images.encode_png(a, 300)
