@@ -53,7 +53,8 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), passed=["doc_id"])
+    found = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), passed=["doc_id"])
+    return found.withColumnsRenamed({"quality_text": "text_score", "quality_meta": "meta_score", "quality_score": "score", "quality_kept": "kept"})
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
