@@ -388,7 +388,7 @@ def brush_dabs(spark, sf_dir):
 
 @query
 def flood_fill(spark, sf_dir):
-    return G.flood_background(X.px(spark, sf_dir).where("y < 60"), 12.0)
+    return G.flood_background(X.px(spark, sf_dir), 12.0)
 
 
 # edit streams
