@@ -97,10 +97,10 @@ def box_mean(df: DataFrame, half: int) -> DataFrame:
 
 
 def downsample(df: DataFrame, factor: int) -> DataFrame:
-    """Integer mean of factor x factor blocks."""
+    """Integer mean of factor x factor blocks; at the right and lower edge, of the pixels that a block has."""
     keys = keys_of(df)
     grouped = df.groupBy(*keys, F.floor(F.col("x") / factor).alias("x"), F.floor(F.col("y") / factor).alias("y"))
-    return grouped.agg(F.floor(F.sum("d") / (factor * factor)).cast("int").alias("d"))
+    return grouped.agg(F.floor(F.sum("d") / F.count("d")).cast("int").alias("d"))
 
 
 def apply_offsets(df: DataFrame, offsets: list[tuple[int, int]], biggest: bool) -> DataFrame:

@@ -228,7 +228,7 @@ _masked("open_r2", lambda m: M.open_ink(m, 2))
 _masked("close_r2", lambda m: M.close_ink(m, 2))
 _masked("gaussian_15", lambda m: M.smooth_mask(m, 1.5))
 _masked("box_mean_2", lambda m: M.box_mean(m, 2))
-_masked("downsample_3", lambda m: M.downsample(m.where(F.col("x") < 99), 3))
+_masked("downsample_3", lambda m: M.downsample(m, 3))
 _masked("offsets_max", lambda m: M.apply_offsets(m, [(0, 0), (2, 0), (0, -1)], True))
 
 # rasters
@@ -342,8 +342,7 @@ def single_over_shirt(spark, sf_dir):
 @query
 def knockout(spark, sf_dir):
     image = X.px(spark, sf_dir)
-    fg = image.where("(x + y) % 7 <> 0").select("x", "y", (F.col("x") >= 4).alias("is_fg"))
-    return G.knockout(X.gray(image), fg)
+    return G.knockout(X.gray(image), image.select("x", "y", (F.col("x") >= 4).alias("is_fg")))
 
 
 @query
@@ -379,7 +378,9 @@ def lanczos_resize(spark, sf_dir):
 
 @query
 def brush_dabs(spark, sf_dir):
-    dabs = X.table(spark, sf_dir, "events").where("event_id < 40").select(F.col("event_id").alias("seq"), (F.col("event_id") * 7 % 100).cast("int").alias("cx"), (F.col("event_id") % 15).cast("int").alias("cy"), F.lit(5).alias("radius"), (F.col("event_id") % 2 == 0).alias("ink"))
+    """A dab of every event, over the whole height."""
+    height = max(1, X.size(spark, sf_dir)[1])
+    dabs = X.table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), (F.col("event_id") * 7 % 100).cast("int").alias("cx"), (F.col("event_id") % height).cast("int").alias("cy"), F.lit(5).alias("radius"), (F.col("event_id") % 2 == 0).alias("ink"))
     return L.brush(X.gray(X.px(spark, sf_dir)), dabs)
 
 
