@@ -13,7 +13,9 @@ from dataclasses import dataclass
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/>=\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_MAY_HIDE = re.compile(r"hidden|display", re.I)
+_REMARK = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 _WORD = re.compile(r"[a-z]+")
 
 RAW = frozenset("script style template textarea iframe noembed noframes xmp title svg math object canvas".split())
@@ -33,13 +35,35 @@ class Block:
     hidden: bool
 
 
+def _displayed(style: str) -> bool:
+    """Whether the display that counts in a style attribute, the last or the last important one, is not none."""
+    counts: dict[bool, str] = {}
+    for declaration in _REMARK.sub("", style).split(";"):
+        name, _, value = declaration.partition(":")
+        if name.strip().lower() == "display":
+            value, important, _ = value.lower().partition("!")
+            counts[bool(important)] = value.strip()
+    return counts.get(True, counts.get(False)) != "none"
+
+
+def hides(attributes: str) -> bool:
+    """Whether a start tag's attributes hide its element: hidden (but until-found), display: none, or aria-hidden=true."""
+    if not _MAY_HIDE.search(attributes):
+        return False
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        found.setdefault(m[1].lower(), _html.unescape(m[2] or m[3] or m[4] or ""))
+    hidden = found.get("hidden")
+    return (hidden is not None and hidden.strip().lower() != "until-found") or not _displayed(found.get("style", "")) or found.get("aria-hidden", "").strip().lower() == "true"
+
+
 class _Element:
     __slots__ = ("tag", "names", "hidden")
 
     def __init__(self, tag: str, attributes: str):
         self.tag = tag
         self.names = [w for m in _NAMES.findall(attributes) for w in _WORD.findall("".join(m).lower())] if attributes else []
-        self.hidden = bool(attributes and _HIDDEN.search(attributes))
+        self.hidden = bool(attributes) and hides(attributes)
 
 
 def leaf_blocks(page: str | None) -> list[Block]:
