@@ -1,8 +1,11 @@
 """Leaf blocks of a page: runs of text under the same block-level element, with their ancestors.
 
 A tolerant scan: comments, declarations and the contents of scripts, styles
-and the like are dropped; end tags that are missing are implied; a br is white
-space; character references are decoded and white space becomes one space.
+and the like are dropped, to the end of the page if no end tag follows; those of
+templates, drawings, form fields and titles only up to an end tag, without one
+the start tag alone goes.  Formulas and the fallback of objects and canvases are
+text.  End tags that are missing are implied; a br is white space; character
+references are decoded and white space becomes one space.
 """
 
 from __future__ import annotations
@@ -18,9 +21,12 @@ _MAY_HIDE = re.compile(r"hidden|display", re.I)
 _REMARK = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 _WORD = re.compile(r"[a-z]+")
 
-RAW = frozenset("script style template textarea iframe noembed noframes xmp title svg math object canvas".split())
+RAW = frozenset("script style iframe noembed noframes xmp".split())
+DROPPED = frozenset("template textarea title svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var button select option optgroup".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var button select option optgroup object canvas".split())
+#: Formulas stand in the line, each element of theirs too.
+INLINE |= frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mlabeledtr mtd maction semantics annotation annotation-xml".split())
 #: A start tag of a key closes an open element of its values, up to the listed fences.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "body": ({"head"}, set())}
 
@@ -73,6 +79,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
     parts: list[str] = []
     owner: list[_Element] = []
     linked = 0
+    unclosed: set[str] = set()  # without an end tag in the rest of the page
 
     def flush() -> None:
         nonlocal linked
@@ -118,7 +125,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag in RAW or tag in VOID:
+            if tag in RAW or tag in DROPPED or tag in VOID:
                 if tag == "br":
                     say(" ")
                 continue
@@ -134,10 +141,12 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if tag == "br" or tag == "wbr":
             say(" " if tag == "br" else "")
             continue
-        if tag in RAW:
+        if tag in RAW or tag in DROPPED:
             if not m[3].endswith("/"):
-                found = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = found.end() if found else end
+                found = None if tag in unclosed else re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+                if not found:
+                    unclosed.add(tag)
+                at = found.end() if found else end if tag in RAW else at
             continue
         if tag not in INLINE:
             flush()

@@ -57,7 +57,7 @@ def block_features(blocks: list[Block]) -> list[list[str]]:
         f.append("ends:" + ("stop" if text[-1] in ".!?…\"”»:" else "other"))
         if "©" in text or "(c)" in text.lower():
             f.append("copyright")
-        if sum(map(str.isdigit, text[:200])) * 5 > min(n, 200):
+        if sum(map(str.isdigit, text)) * 5 > n:
             f.append("digits")
         if "|" in text or "»" in text or "·" in text:
             f.append("bars")

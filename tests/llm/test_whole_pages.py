@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import pytest
 
-from huegrid.llm.html_blocks import leaf_blocks
-from huegrid.llm.html_crf import main_text, trained
+from huegrid.llm.html_blocks import Block, leaf_blocks
+from huegrid.llm.html_crf import block_features, main_text, trained
 
 SHOWN = ['style="overflow:hidden"', 'class="overflow-hidden"', 'data-title="The hidden valley"', 'aria-hidden="false"', "data-hidden", 'title="display: none"', 'style="display:none;display:block"', 'style="--display:none"', 'hidden="until-found"']
 HIDDEN = ["hidden", 'class="a" hidden=""', "HIDDEN=hidden", 'style="color:red; Display : NONE"', "style='display:none !important; display:block'", "style=display:none", 'aria-hidden="true"', "aria-hidden=TRUE"]
@@ -23,3 +23,23 @@ def test_shown(attributes):
 def test_hidden(attributes):
     page = f"<html><body><div {attributes}>{ARTICLE}</div></body></html>"
     assert all(b.hidden for b in leaf_blocks(page)) and main_text(page, trained()) == ""
+
+
+@pytest.mark.parametrize("tag", ["svg", "math", "object", "canvas", "textarea", "template", "title"])
+def test_an_unclosed_tag_drops_no_text_after_it(tag):
+    assert [b.text for b in leaf_blocks(f"<body><p>one</p><{tag}><p>two</p><p>three</p>")] == ["one", "two", "three"]
+
+
+@pytest.mark.parametrize("tag", ["script", "style", "xmp"])
+def test_an_unclosed_raw_text_runs_to_the_end(tag):
+    assert [b.text for b in leaf_blocks(f"<body><p>one</p><{tag}><p>two</p>")] == ["one"]
+
+
+def test_formulas_and_fallbacks_are_text():
+    page = "<p>so <math><mrow><mi>e</mi><mo>=</mo><msup><mi>c</mi><mn>2</mn></msup></mrow></math> holds</p><object data=x><p>a film</p></object><canvas>a chart</canvas><svg><path/></svg><p>end</p>"
+    assert [b.text for b in leaf_blocks(page)] == ["so e=c2 holds", "a film", "a chart", "end"]
+
+
+def test_digits_count_over_the_whole_block():
+    digits = lambda text: "digits" in block_features([Block(text, ["p"], [[]], 0, False)])[0]
+    assert digits("a" * 200 + "1" * 300) and not digits("1" * 200 + "a" * 2000)
