@@ -152,7 +152,7 @@ def _linked(f: pd.DataFrame) -> pd.DataFrame:
     """
     i, j, k = (int(f[c].iloc[0]) for c in ("i", "j", "coordinate"))
     node, root, block, size, stray = (f[c].to_numpy() for c in ("node", "rnode", "block", "n_shingles", "stray"))
-    sig = np.frombuffer(b"".join(f["data"]), np.uint16).reshape(len(f), -1)
+    sig = np.frombuffer(b"".join(f["data"]), f"u{len(f['data'].iloc[0]) // COORDINATES}").reshape(len(f), -1)
     member = _coordinates(f["low"].to_numpy(), f["high"].to_numpy())
     at, wanted = np.flatnonzero(stray), []
     for a in range(0, len(at), 256):
@@ -165,8 +165,8 @@ def _linked(f: pd.DataFrame) -> pd.DataFrame:
                 break
             new &= ~((sig[x, None, c] == sig[None, :, c]) & member[x, None, c] & member[None, :, c])
         p, q = np.nonzero(new)
-        for z in range(0, len(p), 1 << 16):
-            u, v = x[p[z : z + (1 << 16)]], q[z : z + (1 << 16)]
+        for z in range(0, len(p), 1 << 15):
+            u, v = x[p[z : z + (1 << 15)]], q[z : z + (1 << 15)]
             good = (sig[u] == sig[v]).sum(axis=1) >= MATCHES
             wanted.append(np.column_stack([u[good], v[good]]))
     pairs = np.concatenate(wanted) if wanted else np.zeros((0, 2), np.int64)
@@ -208,7 +208,7 @@ def _stray_links(members: DataFrame, classes: DataFrame, texts: DataFrame) -> Da
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data = [np.array(v, np.int64).astype(np.uint16).tobytes() for v in b.column("sig").to_pylist()]
+            data = [np.array(v, np.int32).tobytes() for v in b.column("sig").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("n_shingles"), pa.array(data, pa.binary())], ["node", "n_shingles", "data"])
 
     members = members.withColumn("coordinate", F.shiftright("token", 32).cast("int"))
