@@ -27,3 +27,9 @@ def test_lists_that_agree_in_16_bits_alone_are_two(spark):
     members = spark.createDataFrame([(token, node, node, 1, 1) for token, node in lists], "token long, node long, rnode long, main long, blocks int")
     found = near_dedup._stray_links(members, classes, spark.createDataFrame(list(enumerate(texts, 1)), "node long, text string")).collect()
     assert {frozenset(r) for r in found} == {frozenset((1, 2))}
+
+
+def test_few_pairs_are_missed():
+    n, m = near_dedup.COORDINATES, near_dedup.MATCHES
+    miss = lambda s: sum(comb(n, k) * s**k * (1 - s) ** (n - k) for k in range(m))
+    assert miss(0.75) < 3e-6 and miss(0.8) < 3e-9
