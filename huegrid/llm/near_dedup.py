@@ -24,7 +24,9 @@ has fewer than 52 of 96 agreements with a probability of about 3e-6.
 Defined results: null texts and texts without words have an empty set and no
 links; fewer than 5 words make one shingle of the whole sequence; repeated
 rows and doc_ids are documents each; ties go to the smallest doc_id; further
-columns are ignored.
+columns are ignored.  Rows with a null doc_id take part like others and are not
+kept in a component that has a doc_id; a component without any has a null
+component_id, and its rows are all kept.
 """
 
 from __future__ import annotations
@@ -223,9 +225,10 @@ def _stray_links(members: DataFrame, classes: DataFrame, texts: DataFrame) -> Da
 
 
 def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, text of classes (node, doc_id), from the documents that stand for them."""
-    own = _sets_key(docs.join(nodes.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id") == F.col("_id")))
-    return own.join(nodes.select("node"), "node").dropDuplicates(["node"])
+    """node, text of classes (node, doc_id), from the documents that stand for them; a null doc_id stands for all rows without one."""
+    named = docs.join(nodes.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id") == F.col("_id")).select("text")
+    own = _sets_key(named.unionByName(docs.where("doc_id is null").select("text")))
+    return own.dropDuplicates(["node"]).join(nodes.select("node"), "node")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -234,8 +237,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     sets = staged(_sets(docs), "sets")
     full = sets.where("key is not null")
-    classes = full.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles")).alias("m"), F.first("sig").alias("sig"))
-    classes = staged(classes.select(F.xxhash64("key").alias("node"), "m.doc_id", "m.n_shingles", "sig"), "classes")
+    classes = full.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    classes = staged(classes.select(F.xxhash64("key").alias("node"), "doc_id", "n_shingles", "sig"), "classes")
     postings = staged(_postings(classes), "postings")
     lists = postings.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("token", "node").alias("h"), "node")).alias("p")).where("m > 1")
     lists = staged(lists.select("token", "m", F.col("p.node").alias("pivot")), "lists")

@@ -33,3 +33,12 @@ def test_few_pairs_are_missed():
     n, m = near_dedup.COORDINATES, near_dedup.MATCHES
     miss = lambda s: sum(comb(n, k) * s**k * (1 - s) ** (n - k) for k in range(m))
     assert miss(0.75) < 3e-6 and miss(0.8) < 3e-9
+
+
+def test_null_ids_beside_copies(spark):
+    a, b, c = near_copies(3)
+    alone = "a text without a copy of its own kind"
+    rows = [(None, a), (7, a), (9, a), (3, b), (None, c), (None, alone), (20, alone), (None, "none of these words has an id"), (None, None)]
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    size = {t: len(s) for t, s in zip((a, b, c, alone, rows[7][1]), near_dedup.shingle_sets(pa.array([a, b, c, alone, rows[7][1]])))}
+    assert got == {(None, size[a], 3, False), (7, size[a], 3, False), (9, size[a], 3, False), (3, size[b], 3, True), (None, size[c], 3, False), (None, size[alone], 20, False), (20, size[alone], 20, True), (None, size[rows[7][1]], None, True), (None, 0, None, True)}
