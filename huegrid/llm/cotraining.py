@@ -8,19 +8,22 @@ gave.  At the end each view is calibrated (Platt scaling) on labelled rows
 kept apart, a logistic regression of the two calibrated log-odds combines
 them, and every document is scored; those below the threshold are rejected.
 
-Fitting uses bounded samples: the LABELLED labelled and the POOL unlabelled
-documents with the smallest hashes of doc_id.
+The labelled rows for fitting are a bounded sample, the LABELLED documents with
+the smallest hashes of doc_id.  The unlabelled side is no sample: views are
+made once and kept, each round scores every document without a label, and the
+PER_ROUND surest are found among all; ties go by hash of doc_id.
 
 Defined results: null and empty texts have an empty text view; null metadata
 is a value of its own; null or conflicting labels are not used; with labels
 of one class or none all documents are kept; repeated doc_ids are scored each;
-columns of the input are kept and clash with nothing.
+columns of the input are kept and clash with nothing; rows with a null doc_id
+are scored but name no pseudo-label.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import need, text_chunks
+from .common import need, staged, text_chunks
 from .stats import FEATURES, features, text_counts
 
-LABELLED, POOL, ROUNDS, SURE, PER_ROUND, THRESHOLD = 4000, 4000, 4, 0.97, 200, 0.5
+LABELLED, ROUNDS, SURE, PER_ROUND, THRESHOLD = 4000, 4, 0.97, 200, 0.5
 BINS, SOURCES, LANGS, SIZES = 1024, 256, 64, 24
 _U = np.uint64
 
@@ -100,66 +103,112 @@ class CoTrained:
         return self.joint.margin(self.views(xt, xm))
 
 
-def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, pool_t: np.ndarray, pool_m: np.ndarray, rounds: int = ROUNDS) -> CoTrained | None:
+#: The surest documents of each view under its model, but for those named before: (doc_ids, text views, metadata views, labels).
+Surest = Callable[[dict[str, Logistic], dict[str, set[int]]], dict[str, tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]]
+
+
+def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, surest: Surest, rounds: int = ROUNDS) -> CoTrained | None:
     """y: 0 or 1 for the labelled rows, every fourth of which only calibrates; None with a class missing."""
     kept = np.arange(len(y)) % 4 == 0
     if min((y[kept] == 1).sum(), (y[kept] == 0).sum(), (y[~kept] == 1).sum(), (y[~kept] == 0).sum()) < 2:
         return None
-    views = {"text": (xt, pool_t), "meta": (xm, pool_m)}
-    given = {k: (np.zeros(0, int), np.zeros(0)) for k in views}  # pool rows and labels from the other view
+    views = {"text": xt, "meta": xm}
+    given = {k: (x[:0], np.zeros(0)) for k, x in views.items()}  # rows and labels from the other view
+    named: dict[str, set[int]] = {k: set() for k in views}
 
     def fitted(k: str) -> Logistic:
-        x, pool = views[k]
         rows, labels = given[k]
-        return Logistic(np.vstack([x[~kept], pool[rows]]), np.append(y[~kept], labels), np.append(np.ones((~kept).sum()), np.full(len(rows), 0.5)))
+        return Logistic(np.vstack([views[k][~kept], rows]), np.append(y[~kept], labels), np.append(np.ones((~kept).sum()), np.full(len(rows), 0.5)))
 
     models = {k: fitted(k) for k in views}
-    for _ in range(rounds if len(pool_t) else 0):
+    for _ in range(rounds):
+        found = surest(models, named)
         for k, other in (("text", "meta"), ("meta", "text")):
-            p = 1 / (1 + np.exp(-models[k].margin(views[k][1])))
-            p[given[other][0]] = 0.5  # given already
-            sure = np.argsort(-np.maximum(p, 1 - p), kind="stable")[:PER_ROUND]
-            sure = sure[np.maximum(p[sure], 1 - p[sure]) >= SURE]
-            given[other] = np.append(given[other][0], sure), np.append(given[other][1], (p[sure] > 0.5).astype(float))
+            ids, t, m, labels = found[k]
+            named[k] |= set(ids)
+            given[other] = np.vstack([given[other][0], m if other == "meta" else t]), np.append(given[other][1], labels)
+        if not any(len(found[k][0]) for k in views):
+            break
         models = {k: fitted(k) for k in views}
-    platt = {k: Logistic(models[k].margin(views[k][0][kept])[:, None].astype(np.float32), y[kept], penalty=1e-4) for k in views}
-    both = np.column_stack([platt[k].margin(models[k].margin(views[k][0][kept])[:, None]) for k in views])
+    platt = {k: Logistic(models[k].margin(views[k][kept])[:, None].astype(np.float32), y[kept], penalty=1e-4) for k in views}
+    both = np.column_stack([platt[k].margin(models[k].margin(views[k][kept])[:, None]) for k in views])
     return CoTrained(models["text"], models["meta"], platt["text"], platt["meta"], Logistic(both.astype(np.float32), y[kept], penalty=1e-4))
 
 
 _NEEDED = ("doc_id", "text", "source", "lang", "n_chars")
+_NT, _NM = len(FEATURES) + BINS, SOURCES + LANGS + SIZES
 
 
-def _sample(docs: DataFrame, labels: DataFrame, labelled: int, pool: int) -> tuple:
-    """Views and labels of the labelled rows, views of the pool."""
-    agreed = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").alias("_q"), F.max("quality").alias("_r")).where("_q = _r").drop("_r")
-    chosen = agreed.orderBy(F.xxhash64("_id"), "_id").limit(labelled)
-    others = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(pool)
-    known = labels.select(F.col("doc_id").cast("long").alias("_id")).join(F.broadcast(others), "_id", "left_semi").distinct()
-    others = others.join(F.broadcast(known), "_id", "left_anti").withColumn("_q", F.lit(None).cast("int"))
-    ids = F.broadcast(chosen.withColumn("_q", F.col("_q").cast("int")).unionByName(others))
-    got = docs.select(*_NEEDED).join(ids, F.col("doc_id") == F.col("_id"))
+def _views(docs: DataFrame) -> DataFrame:
+    """_id, t, m: both views of every document that has a doc_id, as bytes."""
 
     def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             t = text_view(b.column("text"))
             m = metadata_view(*(b.column(c).to_pylist() for c in _NEEDED[2:]))
-            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_q"), pa.array([r.tobytes() for r in t], pa.binary()), pa.array([r.tobytes() for r in m], pa.binary())], ["_id", "_q", "t", "m"])
+            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array([r.tobytes() for r in t], pa.binary()), pa.array([r.tobytes() for r in m], pa.binary())], ["_id", "t", "m"])
 
-    rows = got.mapInArrow(see, "_id long, _q int, t binary, m binary").toArrow().sort_by("_id").to_pylist()
-    rows = list({r["_id"]: r for r in rows}.values())
-    view = lambda some, k, n: np.frombuffer(b"".join(r[k] for r in some), np.float32).reshape(-1, n)
-    have, free = [r for r in rows if r["_q"] is not None], [r for r in rows if r["_q"] is None]
-    have.sort(key=lambda r: zlib.crc32(str(r["_id"]).encode()))
-    nt, nm = len(FEATURES) + BINS, SOURCES + LANGS + SIZES
-    return view(have, "t", nt), view(have, "m", nm), np.array([float(r["_q"]) for r in have]), view(free, "t", nt), view(free, "m", nm)
+    some = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_id"), *_NEEDED[1:])
+    return staged(some.mapInArrow(see, "_id long, t binary, m binary"), "views")
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, labelled: int = LABELLED, pool: int = POOL, passed: list[str] | None = None) -> DataFrame:
+def _dense(column: list[bytes] | pa.Array, n: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column if isinstance(column, list) else column.to_pylist()), np.float32).reshape(-1, n)
+
+
+def _sample(views: DataFrame, labels: DataFrame, labelled: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Views and labels of the labelled rows."""
+    agreed = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").alias("_q"), F.max("quality").alias("_r")).where("_q = _r").drop("_r")
+    chosen = agreed.orderBy(F.xxhash64("_id"), "_id").limit(labelled)
+    rows = views.join(F.broadcast(chosen.withColumn("_q", F.col("_q").cast("int"))), "_id").toArrow().sort_by("_id").to_pylist()
+    rows = list({r["_id"]: r for r in rows}.values())
+    rows.sort(key=lambda r: zlib.crc32(str(r["_id"]).encode()))
+    return _dense([r["t"] for r in rows], _NT), _dense([r["m"] for r in rows], _NM), np.array([float(r["_q"]) for r in rows])
+
+
+def _surest(views: DataFrame, labels: DataFrame) -> Surest:
+    """Over all documents without a label; repeated doc_ids count once, by their surest row."""
+    known = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_id")).distinct()
+
+    def find(models: dict[str, Logistic], named: dict[str, set[int]]) -> dict:
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                p = [1 / (1 + np.exp(-np.clip(models[k].margin(_dense(b.column(c), n)).astype(float), -30, 30))) for k, c, n in (("text", "t", _NT), ("meta", "m", _NM))]
+                yield pa.RecordBatch.from_arrays([b.column("_id"), *(pa.array(x, pa.float64()) for x in p)], ["_id", "text", "meta"])
+
+        sure = lambda k: F.greatest(F.col(k), 1 - F.col(k))
+        scored = views.mapInArrow(score, "_id long, text double, meta double").where((sure("text") >= SURE) | (sure("meta") >= SURE))
+        best = [F.max_by(k, F.struct(sure(k), k)).alias(k) for k in models]
+        scored = staged(scored.join(known, "_id", "left_anti").groupBy("_id").agg(*best), "scored")
+        spark = views.sparkSession
+        picked = {}
+        for k in models:
+            free = scored.where(sure(k) >= SURE).join(F.broadcast(spark.createDataFrame([(x,) for x in named[k]], "_id long")), "_id", "left_anti")
+            picked[k] = {r["_id"]: r[k] for r in free.orderBy(sure(k).desc(), F.xxhash64("_id"), "_id").limit(PER_ROUND).select("_id", k).collect()}
+        ids = sorted(set().union(*picked.values()))
+        rows = views.join(F.broadcast(spark.createDataFrame([(x,) for x in ids], "_id long")), "_id").toArrow().to_pylist() if ids else []
+        t, m = _dense([r["t"] for r in rows], _NT), _dense([r["m"] for r in rows], _NM)
+        out = {}
+        for k, x in (("text", t), ("meta", m)):
+            odds = np.abs(models[k].margin(x)) if len(rows) else np.zeros(0)
+            at: dict[int, int] = {}
+            for i, r in enumerate(rows):
+                if r["_id"] in picked[k] and (r["_id"] not in at or odds[i] > odds[at[r["_id"]]]):
+                    at[r["_id"]] = i
+            mine = list(picked[k])
+            place = [at[x] for x in mine]
+            out[k] = mine, t[place], m[place], np.array([float(picked[k][x] > 0.5) for x in mine])
+        return out
+
+    return find
+
+
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, labelled: int = LABELLED, passed: list[str] | None = None) -> DataFrame:
     """docs (or its columns in passed) with quality_text, quality_meta, quality_score (probabilities) and quality_kept."""
     need(docs, *_NEEDED)
     need(labels, "doc_id", "quality")
-    model = co_train(*_sample(docs, labels, labelled, pool))
+    views = _views(docs)
+    model = co_train(*_sample(views, labels, labelled), _surest(views, labels))
     least = float(np.log(threshold / (1 - threshold)))
     made = ["quality_text", "quality_meta", "quality_score", "quality_kept"]
     passed = [c for c in passed or docs.columns if c not in made]
