@@ -6,22 +6,27 @@ Words are maximal runs of bytes other than ASCII white space
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import hashlib
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .._stage import checkpoint_dir
+
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_TABLE = np.random.default_rng(20240611).integers(1 << 32, (1 << 64) - 1, 256, dtype=np.uint64) | _U(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
+#: A random value for each place in a word and byte there (tabulation hashing); white space adds nothing.  Longer words are hashed by blake2b.
+_PLACES = 48
+_VALUES = np.random.default_rng(20240611).integers(0, (1 << 64) - 1, (_PLACES, 256), dtype=np.uint64)
+_VALUES[:, _SPACE] = 0
+_VALUES = _VALUES.ravel()
 
 #: Bytes of text that one vectorised step handles at once; a longer text is a step of its own.
 CHUNK_BYTES = 1 << 20
@@ -32,11 +37,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own where that is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's; a folder of our own only where all runs in one process."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        java = spark.sparkContext._jsc.sc().getCheckpointDir()
-        top = java.get() if java.isDefined() else "file://" + tempfile.mkdtemp(prefix="huegrid-")
+        top = checkpoint_dir(spark)
         spark.conf.set("spark.checkpoint.dir", top)
     return top.rstrip("/")
 
@@ -49,33 +53,90 @@ def new_path(spark: SparkSession, name: str) -> str:
     fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(place)
     fs.deleteOnExit(place)
+    for x in _scratch:
+        x.paths.append(path)
     return path
 
 
+class scratch:
+    """Within it, keep() removes all staged tables made since but the given one, whose source has been written out."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> "scratch":
+        _scratch.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _scratch.remove(self)
+
+    def keep(self, table: DataFrame) -> None:
+        for p in self.paths:
+            if not table._staged_at.startswith(p):
+                remove(self.spark, p)
+        self.paths = [p for p in self.paths if table._staged_at.startswith(p)]
+
+
+_scratch: list[scratch] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{new_path(spark, name)}/t"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more."""
+    for df in tables:
+        remove(df.sparkSession, df._staged_at)
 
 
-#: Rows of one Arrow batch where texts go through Python: the default of 10,000 would hold tens of MB several times over.
-BATCH_ROWS = 1000
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def small_batches(df: DataFrame) -> None:
-    """Lower the session's Arrow batch size to BATCH_ROWS, unless it is lower."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(key, "10000"))
-    if now <= 0 or now > BATCH_ROWS:
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+#: Bytes of one Arrow batch where texts go through Python; Spark's own limit is 64 MB, of which a task holds several copies.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by BATCH_BYTES, unless they are smaller.  Queries and stages call this; operators leave the session alone."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).strip().lower().rstrip("b")
+    unit = {"k": 10, "m": 20, "g": 30, "t": 40}.get(now[-1:])
+    if not 0 < (int(now[:-1]) << unit if unit else int(now)) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run: Callable) -> Callable:
+    """run over a task's batches, giving free memory back to the system at the end, since Python workers outlive their tasks."""
+
+    def ran(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return ran
 
 
 def need(df: DataFrame, *columns: str) -> None:
-    """Check an operator's input; texts will go through Python in small batches."""
-    if "text" in columns or "html" in columns:
-        small_batches(df)
+    """Check an operator's input."""
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
@@ -90,18 +151,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        made = []
-        for base in (_BASE, _BASE_INV):
-            a = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
-            a[0] = 1
-            made.append(np.multiply.accumulate(a))
-        _powers = made[0], made[1]
-    return _powers[0][:n], _powers[1][:n]
-
-
 class Words:
     """The words of some texts: byte bounds, 64-bit hashes and the index of the text each belongs to."""
 
@@ -122,13 +171,19 @@ class Words:
         self.ends = np.flatnonzero(end)
         self.first = np.searchsorted(self.starts, offsets)  # words of text i: first[i]..first[i + 1]
         self.counts = np.diff(self.first)
-        if hashes and len(self.starts):
-            up, down = _power_tables(n)
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(_TABLE[_LOWER[data] if lower else data] * up, out=total[1:])
-            self.hashes = mix((total[self.ends] - total[self.starts]) * down[self.starts])
-        else:
-            self.hashes = np.zeros(0, np.uint64)
+        self.hashes = self._hashed(_LOWER[data] if lower else data) if hashes and len(self.starts) else np.zeros(0, np.uint64)
+
+    def _hashed(self, data: np.ndarray) -> np.ndarray:
+        at = np.arange(len(data), dtype=np.int32 if len(data) < 1 << 31 else np.int64)
+        at[self.starts[0] :] -= np.repeat(self.starts.astype(at.dtype), np.diff(self.starts, append=len(data)))
+        at[: self.starts[0]] = 0
+        np.minimum(at, _PLACES - 1, out=at)
+        at <<= 8
+        at |= data
+        out = np.add.reduceat(_VALUES[at], self.starts)
+        for k in np.flatnonzero(self.ends - self.starts > _PLACES).tolist():
+            out[k] = int.from_bytes(hashlib.blake2b(data[self.starts[k] : self.ends[k]].tobytes(), digest_size=8).digest(), "little")
+        return mix(out)
 
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)

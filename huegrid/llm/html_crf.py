@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need
+from .common import lean, need
 from .html_blocks import Block, leaf_blocks
 
 TRAIN_PAGES, STEPS, RATE, PENALTY, SEED = 480, 160, 0.08, 0.02, 4711
@@ -258,4 +258,4 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
             texts = [main_text(h.as_py(), crf) for h in b.column("html")]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need
+from .common import lean, need
 from .stats import COUNTS, MONOTONE, features, text_counts
 
 TRAIN_ROWS, TREES, DEPTH, RATE, BINS, L2, LEAST_HESSIAN = 4000, 60, 3, 0.2, 64, 1.0, 2.0
@@ -107,7 +107,7 @@ def labelled_counts(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
         for b in batches:
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "quality": b.column("_q").cast(pa.int32()), **text_counts(b.column("text"))})
 
-    found = got.mapInArrow(count, "doc_id long, quality int, " + ", ".join(f"{c} long" for c in COUNTS)).toPandas()
+    found = got.mapInArrow(lean(count), "doc_id long, quality int, " + ", ".join(f"{c} long" for c in COUNTS)).toPandas()
     found = found.sort_values(list(found.columns)).drop_duplicates("doc_id")
     return features({c: found[c].to_numpy() for c in COUNTS}), found["quality"].to_numpy().astype(float)
 
@@ -128,4 +128,4 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, ro
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), **{n: c[n] for n in names}, "base_failed": failed, "score": 1 / (1 + np.exp(-margin)), "kept": ~failed & (margin >= least)})
 
     schema = "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, score double, kept boolean"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(score), schema)

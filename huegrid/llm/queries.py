@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, table
 from .cotraining import classify
 from .embedding_dedup import embedding_links
 from .html_crf import extract_main_text
@@ -19,46 +19,51 @@ from .token_files import token_files
 from .tokens import default_path
 
 
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
+    return table(spark, sf_dir, name)
+
+
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_main_text(table(spark, sf_dir, "pages"))
+    return extract_main_text(_read(spark, sf_dir, "pages"))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = remove_repeats(table(spark, sf_dir, "documents"))
+    found = remove_repeats(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), default_path())
+    return pack_documents(_read(spark, sf_dir, "documents"), default_path())
 
 
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_links(table(spark, sf_dir, "embeddings"))
+    return embedding_links(_read(spark, sf_dir, "embeddings"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_rules(_read(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_digest(table(spark, sf_dir, "documents"))
+    return mix_digest(_read(spark, sf_dir, "documents"))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files(table(spark, sf_dir, "documents"), default_path())
+    return token_files(_read(spark, sf_dir, "documents"), default_path())
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), passed=["doc_id"])
+    found = classify(_read(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), passed=["doc_id"])
     return found.withColumnsRenamed({"quality_text": "text_score", "quality_meta": "meta_score", "quality_score": "score", "quality_kept": "kept"})
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify(table(spark, sf_dir, "documents"))
+    return identify(_read(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_substring_dedup, op3_best_fit_packing, op4_embedding_near_dedup, op5_quality_rules, op6_source_mixing, op7_minhash_near_dedup, op8_token_files, op9_quality_classifier, op10_language_id)}

@@ -1,7 +1,8 @@
 """Statistics of whole texts, computed for many documents at once on their bytes.
 
-Counts are exact but for 64-bit hashes standing for lines and windows within
-one document.  Null and empty texts have every count 0.
+Lines are compared by their bytes; words and windows within one document by
+64-bit hashes, so two of n different ones pass for equal with a probability of
+about n * n / 2**65.  Null and empty texts have every count 0.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from .common import _TABLE, Words, _power_tables, mix, ngrams, text_chunks
+from .common import Words, mix, ngrams, text_chunks
 
 _U = np.uint64
 _SYMBOL = np.zeros(256, bool)
@@ -59,14 +60,15 @@ def _chunk_counts(data: np.ndarray, offsets: np.ndarray, window: int = 5) -> dic
     full = np.searchsorted(words.starts, ends) > np.searchsorted(words.starts, starts)
     starts, ends = starts[full], ends[full]
     line_owner = np.searchsorted(offsets, starts, "right") - 1
-    if len(starts):
-        up, down = _power_tables(len(data))
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_TABLE[data] * up, out=total[1:])
-        _, later = _repeated(line_owner, mix((total[ends] - total[starts]) * down[starts]))
-        out["n_dup_lines"] = np.bincount(line_owner[later], minlength=n)
-    else:
-        out["n_dup_lines"] = np.zeros(n, np.int64)
+    raw, seen, of = data.tobytes(), set(), -1
+    later = np.zeros(len(starts), bool)
+    for k, (i, a, z) in enumerate(zip(line_owner.tolist(), starts.tolist(), ends.tolist())):
+        if i != of:
+            seen, of = set(), i
+        line = raw[a:z]
+        later[k] = line in seen
+        seen.add(line)
+    out["n_dup_lines"] = np.bincount(line_owner[later], minlength=n)
     out["n_lines"] = np.bincount(line_owner, minlength=n)
     # words in windows found twice or more in their text
     keys = ngrams(words.hashes, window)
