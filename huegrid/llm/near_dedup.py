@@ -12,8 +12,9 @@ Lists of up to SMALL_LIST classes give all their pairs.  Longer lists give the
 pairs with one member each, chosen by the token's hash; after the first round
 of confirmed links, members that are still apart from a long list's largest
 component are compared with all members of other components.  That happens in
-groups of at most two blocks of BLOCK members, and only a forest of confirmed
-links leaves a group.  Links are confirmed on full sets from whole texts: first the best candidate of each
+groups of two blocks of at most about BLOCK members and BLOCK_SHINGLES
+shingles, and only a forest of confirmed links leaves a group.  Links are
+confirmed on full sets from whole texts: first the best candidate of each
 class, then all candidates whose ends are still in different components.  So
 no link between components is lost among the candidates, and copies are not
 expanded into all pairs.
@@ -26,7 +27,9 @@ links; fewer than 5 words make one shingle of the whole sequence; repeated
 rows and doc_ids are documents each; ties go to the smallest doc_id; further
 columns are ignored.  Rows with a null doc_id take part like others and are not
 kept in a component that has a doc_id; a component without any has a null
-component_id, and its rows are all kept.
+component_id, and its rows are all kept.  without_near_duplicates goes by rows:
+of the smallest doc_id's rows in a component it keeps one.  A class's text is
+found again by doc_id and 64-bit text hash.
 """
 
 from __future__ import annotations
@@ -40,10 +43,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, need, ngrams, staged, text_chunks
+from .common import Words, discard, lean, mix, need, ngrams, staged, text_chunks
 from .components import components, forest
 
-SHINGLE, COORDINATES, MATCHES, SMALL_LIST, BLOCK, MOST_FREQUENT = 5, 96, 52, 64, 4096, 1_000_000
+SHINGLE, COORDINATES, MATCHES, SMALL_LIST, BLOCK, BLOCK_SHINGLES, MOST_FREQUENT = 5, 96, 52, 64, 4096, 3_000_000, 1_000_000
 _PREFIX = COORDINATES - MATCHES + 1
 _U = np.uint64
 _A = np.random.default_rng(7).integers(1, (1 << 64) - 1, COORDINATES, dtype=np.uint64) | _U(1)
@@ -81,9 +84,9 @@ def _sets(docs: DataFrame) -> DataFrame:
                 size.append(len(s))
                 key.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
                 sig.append(signature(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "key", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t"), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.list_(pa.int32()))], ["doc_id", "t", "n_shingles", "key", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, key binary, sig array<int>")
+    return docs.mapInArrow(lean(run), "doc_id long, t long, n_shingles long, key binary, sig array<int>")
 
 
 def _postings(classes: DataFrame) -> DataFrame:
@@ -108,7 +111,7 @@ def _postings(classes: DataFrame) -> DataFrame:
             first = np.take_along_axis(t, np.argsort(rank, axis=1, kind="stable")[:, :_PREFIX], 1)
             yield pa.RecordBatch.from_arrays([pa.array(first.ravel()), pa.array(np.repeat(b.column("node").to_numpy(), _PREFIX))], ["token", "node"])
 
-    return classes.select("node", "sig").mapInArrow(run, "token long, node long")
+    return classes.select("node", "sig").mapInArrow(lean(run), "token long, node long")
 
 
 def _matching(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -135,7 +138,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda n: texts.select(F.col("node").alias(n), F.col("text").alias(f"t{n}"))
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(lean(run), "a long, b long")
 
 
 def _coordinates(low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -144,21 +147,47 @@ def _coordinates(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.hstack([low[:, None] >> bits & 1, high[:, None] >> bits & 1]).astype(bool)[:, :COORDINATES]
 
 
+def _agreeing(pairs: np.ndarray, sets: dict[int, np.ndarray]) -> np.ndarray:
+    """The pairs whose sets link; intersections are the product of 0-1 matrices over the shingles that occur twice here."""
+    used, at = np.unique(pairs, return_inverse=True)
+    at = at.reshape(-1, 2)
+    sizes = np.array([len(sets[k]) for k in used])
+    keys, column = np.unique(np.concatenate([sets[k] for k in used]), return_inverse=True)
+    row = np.repeat(np.arange(len(used), dtype=np.int32), sizes)
+    twice = np.flatnonzero(np.bincount(column, minlength=len(keys)) > 1)
+    place = np.full(len(keys), -1, np.int32)
+    place[twice] = np.arange(len(twice), dtype=np.int32)
+    column = place[column]
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    firsts, first = np.unique(at[:, 0], return_inverse=True)
+    common = np.zeros((len(firsts), len(used)), np.float32)
+    for z in range(0, len(twice), 512):
+        lo, hi = np.searchsorted(column, [z, z + 512])
+        flags = np.zeros((len(used), 512), np.float32)
+        flags[row[lo:hi], column[lo:hi] - z] = 1
+        common += flags[firsts] @ flags.T
+    both = common[first, at[:, 1]].astype(np.int64)
+    return pairs[100 * both >= 75 * (sizes[at[:, 0]] + sizes[at[:, 1]] - both)]
+
+
 def _linked(f: pd.DataFrame) -> pd.DataFrame:
     """Confirmed links of one pair of blocks of a list, as stars: strays with members of other components.
 
     A pair is looked at in the list of the first coordinate that makes both its
-    ends members of a common list, so once in all.  Pairs with enough equal
-    coordinates are confirmed on the full sets: their intersections are the
-    product of 0-1 matrices over the shingles that occur twice here.
+    ends members of a common list, so once in all; pairs with enough equal
+    coordinates are confirmed on the full sets.  Ends that links found here have
+    joined already are not looked at again.
     """
     i, j, k = (int(f[c].iloc[0]) for c in ("i", "j", "coordinate"))
-    node, root, block, size, stray = (f[c].to_numpy() for c in ("node", "rnode", "block", "n_shingles", "stray"))
+    node, block, size, stray = (f[c].to_numpy() for c in ("node", "block", "n_shingles", "stray"))
+    root = f["rnode"].to_numpy().copy()
     sig = np.frombuffer(b"".join(f["data"]), f"u{len(f['data'].iloc[0]) // COORDINATES}").reshape(len(f), -1)
     member = _coordinates(f["low"].to_numpy(), f["high"].to_numpy())
-    at, wanted = np.flatnonzero(stray), []
-    for a in range(0, len(at), 256):
-        x = at[a : a + 256]
+    at, out, sets = np.flatnonzero(stray), [], {}
+    for a in range(0, len(at), 128):
+        x = at[a : a + 128]
         new = (root[x, None] != root[None, :]) & (100 * np.minimum(size[x, None], size[None, :]) >= 75 * np.maximum(size[x, None], size[None, :]))
         if i != j:
             new &= block[x, None] != block[None, :]
@@ -167,41 +196,22 @@ def _linked(f: pd.DataFrame) -> pd.DataFrame:
                 break
             new &= ~((sig[x, None, c] == sig[None, :, c]) & member[x, None, c] & member[None, :, c])
         p, q = np.nonzero(new)
+        wanted = []
         for z in range(0, len(p), 1 << 15):
             u, v = x[p[z : z + (1 << 15)]], q[z : z + (1 << 15)]
             good = (sig[u] == sig[v]).sum(axis=1) >= MATCHES
             wanted.append(np.column_stack([u[good], v[good]]))
-    pairs = np.concatenate(wanted) if wanted else np.zeros((0, 2), np.int64)
-    if not len(pairs):
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    used, at = np.unique(pairs, return_inverse=True)
-    pairs = at.reshape(-1, 2)
-    sets = list(shingle_sets(pa.array(f["text"].iloc[used].tolist(), pa.large_string())))
-    sizes = np.array([len(s) for s in sets])
-    keys, column = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), sizes)
-    twice = np.flatnonzero(np.bincount(column, minlength=len(keys)) > 1)
-    place = np.full(len(keys), -1)
-    place[twice] = np.arange(len(twice))
-    column = place[column]
-    row, column = row[column >= 0], column[column >= 0]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    firsts = np.unique(pairs[:, 0])
-    out: list[tuple[int, int]] = []
-    for a in range(0, len(firsts), 512):
-        some = firsts[a : a + 512]
-        common = np.zeros((len(some), len(sets)), np.float32)
-        for z in range(0, len(twice), 1024):
-            lo, hi = np.searchsorted(column, [z, z + 1024])
-            flags = np.zeros((len(sets), 1024), np.float32)
-            flags[row[lo:hi], column[lo:hi] - z] = 1
-            common += flags[some] @ flags.T
-        mine = pairs[np.isin(pairs[:, 0], some)]
-        both = common[np.searchsorted(some, mine[:, 0]), mine[:, 1]].astype(np.int64)
-        mine = mine[100 * both >= 75 * (sizes[mine[:, 0]] + sizes[mine[:, 1]] - both)]
-        out += zip(node[used[mine[:, 0]]].tolist(), node[used[mine[:, 1]]].tolist())
-        out = list(forest(out).items())
+        pairs = np.concatenate(wanted) if wanted else np.zeros((0, 2), np.int64)
+        if not len(pairs):
+            continue
+        fresh = [n for n in np.unique(pairs).tolist() if n not in sets]
+        sets.update(zip(fresh, shingle_sets(pa.array(f["text"].iloc[fresh].tolist(), pa.large_string()))))
+        pairs = _agreeing(pairs, sets)
+        if len(pairs):
+            out = list(forest([*out, *zip(node[pairs[:, 0]].tolist(), node[pairs[:, 1]].tolist())]).items())
+            joined = forest(zip(root[pairs[:, 0]].tolist(), root[pairs[:, 1]].tolist()))
+            names, which = np.unique(root, return_inverse=True)
+            root = np.array([joined.get(r, r) for r in names.tolist()], np.int64)[which]
     return pd.DataFrame([(x, r) for x, r in out if x != r], columns=["a", "b"], dtype=np.int64)
 
 
@@ -225,20 +235,24 @@ def _stray_links(members: DataFrame, classes: DataFrame, texts: DataFrame) -> Da
 
 
 def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, text of classes (node, doc_id), from the documents that stand for them; a null doc_id stands for all rows without one."""
-    named = docs.join(nodes.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id") == F.col("_id")).select("text")
-    own = _sets_key(named.unionByName(docs.where("doc_id is null").select("text")))
-    return own.dropDuplicates(["node"]).join(nodes.select("node"), "node")
+    """node, text of classes (node, doc_id, t), from the document that stands for each."""
+    named = nodes.select("node", F.col("doc_id").alias("_id"), F.col("t").alias("_t"))
+    got = docs.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t")))
+    return got.groupBy("node").agg(F.first("text").alias("text"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
-    need(docs, "doc_id", "text")
-    docs = docs.select("doc_id", "text")
+def _hashed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("t"))
+
+
+def _labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, t, n_shingles and c of every document: c is (no, doc_id, t) of the row that stands for its component, null without words."""
+    docs = _hashed(docs)
     sets = staged(_sets(docs), "sets")
     full = sets.where("key is not null")
-    classes = full.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    classes = staged(classes.select(F.xxhash64("key").alias("node"), "doc_id", "n_shingles", "sig"), "classes")
+    stands = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "t")
+    classes = full.groupBy("key").agg(F.min(stands).alias("c"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    classes = staged(classes.select(F.xxhash64("key").alias("node"), "c.doc_id", "c.t", "n_shingles", "sig"), "classes")
     postings = staged(_postings(classes), "postings")
     lists = postings.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("token", "node").alias("h"), "node")).alias("p")).where("m > 1")
     lists = staged(lists.select("token", "m", F.col("p.node").alias("pivot")), "lists")
@@ -247,10 +261,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     long = staged(postings.join(lists.where(F.col("m") > SMALL_LIST), "token").select("token", "node", "pivot"), "long")
     pairs = pairs.unionByName(long.where("node != pivot").select(*_ordered("node", "pivot"))).distinct()
     candidates = staged(_matching(pairs, classes), "candidates")
+    discard(postings, lists)
 
     # whole texts of the classes that have a candidate or are in a long list; one document stands for its class
     ends = candidates.select(F.explode(F.array("a", "b")).alias("node")).unionByName(long.select("node")).distinct()
-    texts = staged(_texts_of(docs, classes.join(ends, "node", "left_semi").select("node", "doc_id")), "texts")
+    texts = staged(_texts_of(docs, classes.join(ends, "node", "left_semi")), "texts")
 
     # first the best candidate of each class
     by = candidates.select(F.explode(F.array(F.struct(F.col("a").alias("node"), "matches", "a", "b"), F.struct(F.col("b").alias("node"), "matches", "a", "b"))).alias("e")).select("e.*")
@@ -260,36 +275,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # then whatever still joins two components
     label = lambda df, c: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
-    apart = label(long, "node").select("token", "node", "rnode")
-    counts = apart.groupBy("token", "rnode").count().groupBy("token").agg(F.count("*").alias("n"), F.sum("count").alias("m"), F.max(F.struct("count", "rnode")).alias("top")).where("n > 1")
-    counts = staged(counts.select("token", F.col("top.rnode").alias("main"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "apart")
-    late = _stray_links(apart.join(counts, "token"), classes, texts)
+    apart = label(long, "node").join(classes.select("node", "n_shingles"), "node").select("token", "node", "rnode", "n_shingles")
+    counts = apart.groupBy("token", "rnode").agg(F.count("*").alias("count"), F.sum("n_shingles").alias("w"))
+    counts = counts.groupBy("token").agg(F.count("*").alias("n"), F.sum("count").alias("m"), F.sum("w").alias("w"), F.max(F.struct("count", "rnode")).alias("top")).where("n > 1")
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int")
+    counts = staged(counts.select("token", F.col("top.rnode").alias("main"), blocks.alias("blocks")), "apart")
+    late = _stray_links(apart.drop("n_shingles").join(counts, "token"), classes, texts)
     rest = label(label(candidates.select("a", "b"), "a"), "b").where("ra != rb").select("a", "b").join(best, ["a", "b"], "left_anti")
-    roots = components(links.unionByName(_confirmed(rest, texts)).unionByName(late))
+    more = staged(_confirmed(rest, texts).unionByName(late), "late")
+    first = roots
+    roots = components(links.unionByName(more))
+    discard(candidates, long, texts, links, first, counts, more)
 
-    member = classes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = member.join(first, "root").select("node", "component_id")
-    out = sets.withColumn("node", F.xxhash64("key")).join(named, "node", "left")
-    component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
-
-
-def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group; of repeated rows with one doc_id and text, one."""
-    found = staged(near_duplicates(docs).select(F.col("doc_id").alias("_near_id"), "kept"), "near")
-    kept = found.where("kept").select("_near_id").distinct()
-    out = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_near_id")), "left_semi")
-    if not found.groupBy("_near_id").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", "text"])
-    return out
+    member = classes.select("node", stands.alias("c")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = member.groupBy("root").agg(F.min("c").alias("c"))
+    named = member.select("node", "root").join(least, "root").select("node", "c")
+    return sets.withColumn("node", F.xxhash64("key")).join(named, "node", "left").select("doc_id", "t", "n_shingles", F.when(F.col("key").isNotNull(), F.col("c")).alias("c"))
 
 
-def _sets_key(docs: DataFrame) -> DataFrame:
-    """node and text of documents, the node from the text's own set."""
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document."""
+    need(docs, "doc_id", "text")
+    component = F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("c.doc_id"))
+    return _labelled(docs).select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(s.tobytes()).digest() if len(s) else None for s in shingle_sets(b.column("text"))], pa.binary()), b.column("text")], ["key", "text"])
 
-    return docs.select("text").mapInArrow(run, "key binary, text string").where("key is not null").select(F.xxhash64("key").alias("node"), "text")
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group: that of the smallest doc_id (of several texts under it, the one with the least hash); of rows without words with one doc_id and text, one."""
+    need(docs, "doc_id", "text")
+    stands = F.col("c").isNull() | (F.col("doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("t") == F.col("c.t")))
+    kept = _labelled(docs).where(stands).groupBy(F.col("doc_id").alias("_near_id"), F.col("t").alias("_near_t")).agg(F.count("*").alias("_near_n"))
+    kept = staged(kept, "near")
+    own = F.xxhash64("text")
+    match = lambda k: F.col("doc_id").cast("long").eqNullSafe(F.col("_near_id")) & (own == F.col("_near_t"))
+    out = docs.join(kept.where("_near_n = 1"), match(kept), "left_semi")
+    again = kept.where("_near_n > 1")
+    if again.isEmpty():
+        return out
+    return out.unionByName(docs.join(again, match(again), "left_semi").dropDuplicates(["doc_id", "text"]))
