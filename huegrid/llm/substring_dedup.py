@@ -22,9 +22,14 @@ one class whose windows weigh as many as the class has documents.
 With a given reference table (`remove_reference_spans`), its automata are
 broadcast, one bounded shard at a time, and documents stream through them.
 
+Texts are found again by doc_id and a 64-bit hash, and their word sequence is
+checked, so repeated and null doc_ids cost no more than others.  Words are
+compared by 64-bit hashes.
+
 Defined results: null and empty texts have no words; repeated rows and
-doc_ids are documents each, whose texts repeat each other; overlapping
-repeats of a text within itself count; further columns are ignored.
+doc_ids are documents each, whose texts repeat each other, and so are rows with
+a null doc_id; overlapping repeats of a text within itself count; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, mix, need, ngrams, staged, text_chunks
+from .common import Words, discard, lean, mix, need, ngrams, staged, text_chunks
 from .suffix_automaton import SuffixAutomaton
 
 WINDOW, ANCHOR, HOT, SHARD_WORDS = 35, 12, 256, 50_000
@@ -83,7 +88,7 @@ def segments(words: Words, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[
     return owner[pos[first]], pos[first] - words.first[owner[pos[first]]], upto - first, value[first].astype(np.int64), moved[upto] - moved[first] + 1
 
 
-_FOUND = "doc_id long, key long, n_words long, segments array<struct<start:int,n:int,anchor:long,places:int>>"
+_FOUND = "doc_id long, t long, key long, n_words long, segments array<struct<start:int,n:int,anchor:long,places:int>>"
 
 
 def _found(docs: DataFrame, window: int) -> DataFrame:
@@ -97,9 +102,9 @@ def _found(docs: DataFrame, window: int) -> DataFrame:
                 bounds = np.searchsorted(owner, np.arange(j - i + 1))
                 inner = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor), pa.array(places.astype(np.int32))], ["start", "n", "anchor", "places"])
                 key = [_identity(words.hashes[a:z]) for a, z in zip(words.first[:-1], words.first[1:])]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(key, pa.int64()), pa.array(words.counts.astype(np.int64)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), inner).cast(kind)], ["doc_id", "key", "n_words", "segments"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("t").slice(i, j - i), pa.array(key, pa.int64()), pa.array(words.counts.astype(np.int64)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), inner).cast(kind)], ["doc_id", "t", "key", "n_words", "segments"])
 
-    return docs.mapInArrow(run, _FOUND)
+    return docs.mapInArrow(lean(run), _FOUND)
 
 
 _CUT = "key long, hot boolean, start int, anchor long, data binary, h1 long, h2 long, mult long"
@@ -136,7 +141,8 @@ def _cut(needed: DataFrame, docs: DataFrame, window: int) -> DataFrame:
                     n = len(key)
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.ones(n, bool)), pa.array(at.astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(one.astype(np.int64)), pa.array(two.astype(np.int64)), pa.array(mult)], names)
 
-    return docs.join(needed, "doc_id").select("key", "mult", "wanted", "text").mapInArrow(run, _CUT)
+    one = docs.join(needed, ["doc_id", "t"]).dropDuplicates(["doc_id", "t"])  # of equal rows
+    return one.select("key", "mult", "wanted", "text").mapInArrow(lean(run), _CUT)
 
 
 def _runs(mask: list[bool], window: int) -> list[tuple[int, int]]:
@@ -206,10 +212,10 @@ _NULL = -(1 << 63)
 def remove_repeats(docs: DataFrame, window: int = WINDOW, passed: list[str] | None = None) -> DataFrame:
     """doc_id, text and the other columns in passed, with n_words, n_removed and kept_text (kept words joined by one space)."""
     need(docs, "doc_id", "text")
-    full = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), "text", *(F.col(c).alias(f"_{k}") for k, c in enumerate(passed or [])))
-    docs = full.select("doc_id", "text")
+    full = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), F.xxhash64("text").alias("t"), "text", *(F.col(c).alias(f"_{k}") for k, c in enumerate(passed or [])))
+    docs = full.select("doc_id", "t", "text")
     found = staged(_found(docs, window), "segments")
-    classes = staged(found.groupBy("key").agg(F.count("*").alias("mult"), F.min("doc_id").alias("doc_id")), "classes")
+    classes = staged(found.groupBy("key").agg(F.count("*").alias("mult"), F.min(F.struct("doc_id", "t")).alias("c")).select("key", "mult", "c.*"), "classes")
     each = found.select("key", F.explode("segments").alias("s")).select("key", "s.*")
     counts = staged(each.groupBy("anchor").agg(F.sum("places").alias("total")).where("total > 1"), "anchors")
     some = each.join(counts, "anchor").select("key", F.struct("start", "n", "anchor", (F.col("total") > HOT).alias("hot")).alias("s"))
@@ -225,10 +231,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, passed: list[str] | No
     again = staged(hot.groupBy("h1", "h2").agg(F.sum("mult").alias("total")).where("total > 1").select("h1", "h2"), "again")
     more = hot.join(again, ["h1", "h2"]).select("key", F.col("start").alias("a"), (F.col("start") + window).alias("z"))
     covered = spans.unionByName(more).groupBy("key").agg(F.collect_set(F.struct("a", "z")).alias("spans"))
-    named = found.select("doc_id", "key").distinct().join(covered, "key", "left")
-    joined = full.join(named, "doc_id")
+    covered = staged(covered, "covered")
+    discard(classes, counts, needed, cut, again)
+    named = found.select("doc_id", "t", "key").distinct().join(covered, "key", "left")
+    joined = full.join(named, ["doc_id", "t"]).drop("t")
     made = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
-    out = joined.mapInArrow(_keep, T.StructType([*full.schema.fields, *made]))
+    out = joined.mapInArrow(lean(_keep), T.StructType([*(f for f in full.schema.fields if f.name != "t"), *made]))
     others = [F.col(f"_{k}").alias(c) for k, c in enumerate(passed or [])]
     return out.select(F.nullif("doc_id", F.lit(_NULL)).alias("doc_id"), "text", *others, "n_words", "n_removed", "kept_text")
 
