@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import need
+from .common import lean, need
 
 TRAIN_ROWS, SIZE, SEED = 4000, 1024, 90210
-#: Letters of text handled at once; trigram vectors a worker remembers.
-CHUNK_CHARS, REMEMBERED = 2 << 20, 60_000
+#: Letters of text handled at once; trigram and letter vectors a worker remembers; distinct trigrams handled at once.
+CHUNK_CHARS, REMEMBERED, LETTERS, SLICE = 2 << 20, 40_000, 20_000, 4096
 
 _letters: np.ndarray | None = None
 
@@ -55,22 +55,31 @@ class Space:
 
     def letter(self, code: int) -> np.ndarray:
         if code not in self.letters:
+            if len(self.letters) >= LETTERS:
+                self.letters.clear()
             self.letters[code] = np.random.default_rng([self.seed, code]).integers(0, 2, self.size, np.int8) * 2 - 1
         return self.letters[code]
 
+    def _made(self, keys: np.ndarray) -> np.ndarray:
+        mask = (1 << 21) - 1
+        codes = np.stack([keys >> 42, keys >> 21 & mask, keys & mask])
+        found, at = np.unique(codes, return_inverse=True)
+        letters = np.stack([self.letter(c) for c in found.tolist()])
+        first, second, third = at.reshape(3, -1)
+        return np.roll(letters, 2, 1)[first] * np.roll(letters, 1, 1)[second] * letters[third]
+
     def trigrams(self, keys: np.ndarray) -> np.ndarray:
-        """The vectors of distinct trigram keys."""
+        """The vectors of distinct trigram keys, at most SLICE of them."""
         new = [k for k in keys.tolist() if k not in self.rows]
+        if len(new) > len(keys) // 2 and len(self.rows) + len(new) > REMEMBERED:
+            return self._made(keys)  # a run of rare ones
         if new:
             if len(self.rows) + len(new) > REMEMBERED:
                 self.rows.clear()
-                self.letters.clear()
                 self.vectors = self.vectors[:0]
                 new = keys.tolist()
-            mask = (1 << 21) - 1
-            made = np.stack([np.roll(self.letter(k >> 42), 2) * np.roll(self.letter(k >> 21 & mask), 1) * self.letter(k & mask) for k in new])
             self.rows.update(zip(new, range(len(self.vectors), len(self.vectors) + len(new))))
-            self.vectors = np.concatenate([self.vectors, made])
+            self.vectors = np.concatenate([self.vectors, self._made(np.array(new, np.int64))])
         return self.vectors[[self.rows[k] for k in keys.tolist()]]
 
     def bundles(self, texts: list[str | None]) -> np.ndarray:
@@ -93,14 +102,15 @@ class Space:
         if not len(key):
             return out
         found, at = np.unique(key, return_inverse=True)
-        vectors = self.trigrams(found).astype(np.float32)
-        step = max(1, (4 << 20) // len(found))
-        whose = owner[letter]
-        for a in range(0, len(texts), step):
-            z = min(len(texts), a + step)
-            i, j = np.searchsorted(whose, [a, z])
-            counts = np.bincount((whose[i:j] - a) * len(found) + at[i:j], minlength=(z - a) * len(found)).reshape(z - a, -1)
-            out[a:z] = counts.astype(np.float32) @ vectors
+        order, whose = np.argsort(at, kind="stable"), owner[letter]
+        at, whose = at[order], whose[order]
+        most = min(SLICE, max(64, (2 << 20) // len(texts)))
+        for a in range(0, len(found), most):  # a bounded run of distinct trigrams, over the texts that hold any
+            z = min(len(found), a + most)
+            i, j = np.searchsorted(at, [a, z])
+            rows, row = np.unique(whose[i:j], return_inverse=True)
+            counts = np.bincount(row * (z - a) + at[i:j] - a, minlength=len(rows) * (z - a)).reshape(len(rows), -1)
+            out[rows] += counts.astype(np.float32) @ self.trigrams(found[a:z]).astype(np.float32)
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.maximum(length, 1e-12)
 
@@ -144,7 +154,7 @@ def prototypes(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.n
         yield pa.RecordBatch.from_pydict({"lang": pa.array(list(sums), pa.string()), "sum": pa.array([s.tobytes() for s in sums.values()], pa.binary())})
 
     total: dict[str, np.ndarray] = {}
-    for r in got.mapInArrow(bundle, "lang string, sum binary").collect():  # a row for each language and task of a bounded sample
+    for r in got.mapInArrow(lean(bundle), "lang string, sum binary").collect():  # a row for each language and task of a bounded sample
         total[r["lang"]] = total.get(r["lang"], 0) + np.frombuffer(r["sum"], np.int64)
     names = sorted(k for k, v in total.items() if v.any())
     matrix = np.array([total[k] for k in names], float).reshape(-1, SIZE)
@@ -174,4 +184,4 @@ def identify(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows_in = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows_in.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows_in.mapInArrow(lean(predict), "doc_id long, held_out boolean, lang_pred string, score double")
