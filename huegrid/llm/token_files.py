@@ -4,15 +4,16 @@ Layout under one folder: ``part-NNNNN.bin`` holds the ids of a range of
 documents in ascending doc_id order (uint16, or uint32 for vocabularies above
 65,536), ``part-NNNNN.idx`` int64 offsets (one more than documents) and
 ``part-NNNNN.doc`` the int64 doc_ids.  Bases of the parts, that is the ids in
-all earlier parts, come from prefix sums of the part totals.
+all earlier parts, come from prefix sums of the part totals, over buckets of
+parts.
 
-A task writes under a name of its own and then renames, so a repeated task
-leaves the same files.
+A task streams its documents into files of its own names and then renames them,
+so it holds one batch at a time, and a repeated task leaves the same files.
 
 Defined results: null text is an empty document (its end id alone); null
 doc_id sorts first and reads back as null; repeated doc_ids keep one document
-each, ordered by text; an empty table has no parts; columns besides doc_id and
-text are ignored.
+each, ordered by a hash of the text, and may lie in several parts; an empty
+table has no parts; columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -24,14 +25,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import need, new_path
+from .common import lean, need, new_path
 from .tokens import encoder
 
-#: Bytes of text for one part.
-PART_BYTES = 24 << 20
+#: Bytes of text for one part; parts of a bucket of bases.
+PART_BYTES, BUCKET_PARTS = 24 << 20, 4096
 _NULL_ID = np.iinfo(np.int64).min
 _MANIFEST = "part int, docs long, tokens long, width int"
 
@@ -41,13 +42,23 @@ def _place(folder: str) -> tuple[pafs.FileSystem, str]:
     return fs, path.rstrip("/")
 
 
-def _put(folder: str, name: str, data: np.ndarray | list[np.ndarray]) -> None:
-    fs, top = _place(folder)
-    trial = f"{top}/.{name}-{uuid.uuid4().hex}"
-    with fs.open_output_stream(trial) as out:
-        for a in data if isinstance(data, list) else [data]:
-            out.write(a.tobytes())
-    fs.move(trial, f"{top}/{name}")
+class _Files:
+    """The three files of a part, under trial names until all are whole."""
+
+    def __init__(self, folder: str, part: int):
+        self.fs, self.top = _place(folder)
+        self.names = [f"part-{part:05d}.{kind}" for kind in ("bin", "idx", "doc")]
+        self.trials = [f"{self.top}/.{n}-{uuid.uuid4().hex}" for n in self.names]
+        self.open = [self.fs.open_output_stream(t) for t in self.trials]
+
+    def write(self, *arrays: np.ndarray) -> None:
+        for out, a in zip(self.open, arrays):
+            out.write(np.ascontiguousarray(a).tobytes())
+
+    def done(self) -> None:
+        for out, trial, name in zip(self.open, self.trials, self.names):
+            out.close()
+            self.fs.move(trial, f"{self.top}/{name}")
 
 
 def _get(folder: str, name: str, kind: type) -> np.ndarray:
@@ -76,31 +87,31 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         from pyspark import TaskContext
 
         part, e = TaskContext.get().partitionId(), encoder(tokenizer)
-        ids, lengths, names = [], [], []
+        files, n, total = None, 0, 0
         for b in batches:
-            names.append(np.array(b.column(0).fill_null(_NULL_ID)))
-            for text in b.column(1):
-                ids.append(e.encode(text.as_py(), end_id))
-                lengths.append(len(ids[-1]))
-            ids = [np.concatenate(ids)] if ids else []
-        if not lengths:
+            if not b.num_rows:
+                continue
+            if files is None:
+                files = _Files(folder, part)
+                files.write(np.zeros(0, e.width), np.zeros(1, np.int64), np.zeros(0, np.int64))
+            ids = [e.encode(text.as_py(), end_id) for text in b.column(1)]
+            ends = total + np.cumsum([len(x) for x in ids], dtype=np.int64)
+            files.write(np.concatenate(ids), ends, np.array(b.column(0).fill_null(_NULL_ID)))
+            n, total = n + len(ids), int(ends[-1])
+        if files is None:
             return
-        offsets = np.zeros(len(lengths) + 1, np.int64)
-        np.cumsum(lengths, out=offsets[1:])
-        _put(folder, f"part-{part:05d}.bin", ids)
-        _put(folder, f"part-{part:05d}.idx", offsets)
-        _put(folder, f"part-{part:05d}.doc", np.concatenate(names))
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "docs": pa.array([len(lengths)], pa.int64()), "tokens": pa.array([int(offsets[-1])], pa.int64()), "width": pa.array([e.width().itemsize], pa.int32())})
-
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+        files.done()
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "docs": pa.array([n], pa.int64()), "tokens": pa.array([total], pa.int64()), "width": pa.array([e.width().itemsize], pa.int32())})
+
+    order = ["doc_id", "_t"]  # the hash deals the texts of one doc_id to several parts
+    ordered = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("_t"), "text").repartitionByRange(parts, *order).sortWithinPartitions(*order)
     manifest = f"{folder}/manifest"
-    ordered.mapInArrow(write, _MANIFEST).write.mode("overwrite").parquet(manifest)
-    rows = sorted(spark.read.schema(_MANIFEST).parquet(manifest).collect())  # one row a part
-    base, out = 0, []
-    for r in rows:
-        out.append((*r, base))
-        base += r["tokens"]
-    return spark.createDataFrame(out, _MANIFEST + ", base long")
+    ordered.select("doc_id", "text").mapInArrow(lean(write), _MANIFEST).write.mode("overwrite").parquet(manifest)
+    rows = spark.read.schema(_MANIFEST).parquet(manifest).withColumn("_bucket", F.expr(f"part div {BUCKET_PARTS}"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("_bucket").agg(F.sum("tokens").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(earlier(Window.orderBy("_bucket"))), F.lit(0))).drop("_n")
+    inside = F.coalesce(F.sum("tokens").over(earlier(Window.partitionBy("_bucket").orderBy("part"))), F.lit(0))
+    return rows.withColumn("_in", inside).join(sums, "_bucket").withColumn("base", F.col("_base") + F.col("_in")).drop("_bucket", "_base", "_in")
 
 
 def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
@@ -116,7 +127,7 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(names, pa.int64(), mask=names == _NULL_ID), "start": pa.array(offsets[:-1] + base), "n_tokens": pa.array(np.diff(offsets)), "ids_crc32": pa.array(crc, pa.int64())})
 
     n = max(1, manifest.count())
-    return manifest.repartition(n, "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.repartition(n, "part").mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer: str) -> DataFrame:
