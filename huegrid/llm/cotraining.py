@@ -5,8 +5,9 @@ classes; the metadata view sees source, lang and n_chars.  Both are logistic
 regressions.  In each round every view names the unlabelled documents it is
 surest of, and these join the other view's training rows under the labels it
 gave.  At the end each view is calibrated (Platt scaling) on labelled rows
-kept apart, a logistic regression of the two calibrated log-odds combines
-them, and every document is scored; those below the threshold are rejected.
+kept apart, a logistic regression of the two calibrated log-odds, on other
+labelled rows kept apart, combines them, and every document is scored; those
+below the threshold are rejected.
 
 The labelled rows for fitting are a bounded sample, the LABELLED documents with
 the smallest hashes of doc_id.  The unlabelled side is no sample: views are
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import need, staged, text_chunks
+from .common import discard, lean, need, staged, text_chunks
 from .stats import FEATURES, features, text_counts
 
 LABELLED, ROUNDS, SURE, PER_ROUND, THRESHOLD = 4000, 4, 0.97, 200, 0.5
@@ -80,8 +81,8 @@ class Logistic:
         w, b = np.zeros(x.shape[1]), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
         m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
         for t in range(1, steps + 1):
-            r = share * (1 / (1 + np.exp(-np.clip(z @ w + b, -30, 30))) - y)
-            g = np.append(z.T @ r + penalty * w, r.sum())
+            r = share * (1 / (1 + np.exp(-np.clip(z @ w.astype(z.dtype) + b, -30, 30))) - y)
+            g = np.append(z.T @ r.astype(z.dtype) + penalty * w, r.sum())
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
             w, b = w - step[:-1], b - step[-1]
@@ -108,7 +109,7 @@ Surest = Callable[[dict[str, Logistic], dict[str, set[int]]], dict[str, tuple[li
 
 
 def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, surest: Surest, rounds: int = ROUNDS) -> CoTrained | None:
-    """y: 0 or 1 for the labelled rows, every fourth of which only calibrates; None with a class missing."""
+    """y: 0 or 1 for the labelled rows; every eighth only calibrates the views, every eighth only weighs them (where one of these lacks a class, both serve both ends); None with a class missing."""
     kept = np.arange(len(y)) % 4 == 0
     if min((y[kept] == 1).sum(), (y[kept] == 0).sum(), (y[~kept] == 1).sum(), (y[~kept] == 0).sum()) < 2:
         return None
@@ -130,9 +131,13 @@ def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, surest: Surest, roun
         if not any(len(found[k][0]) for k in views):
             break
         models = {k: fitted(k) for k in views}
-    platt = {k: Logistic(models[k].margin(views[k][kept])[:, None].astype(np.float32), y[kept], penalty=1e-4) for k in views}
-    both = np.column_stack([platt[k].margin(models[k].margin(views[k][kept])[:, None]) for k in views])
-    return CoTrained(models["text"], models["meta"], platt["text"], platt["meta"], Logistic(both.astype(np.float32), y[kept], penalty=1e-4))
+    own = kept & (np.arange(len(y)) % 8 == 0)
+    ends = (own, kept & ~own)
+    if min(np.bincount(y[e].astype(int), minlength=2).min() for e in ends) < 2:
+        ends = (kept, kept)
+    platt = {k: Logistic(models[k].margin(views[k][ends[0]])[:, None].astype(np.float32), y[ends[0]], penalty=1e-4) for k in views}
+    both = np.column_stack([platt[k].margin(models[k].margin(views[k][ends[1]])[:, None]) for k in views])
+    return CoTrained(models["text"], models["meta"], platt["text"], platt["meta"], Logistic(both.astype(np.float32), y[ends[1]], penalty=1e-4))
 
 
 _NEEDED = ("doc_id", "text", "source", "lang", "n_chars")
@@ -149,7 +154,7 @@ def _views(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array([r.tobytes() for r in t], pa.binary()), pa.array([r.tobytes() for r in m], pa.binary())], ["_id", "t", "m"])
 
     some = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_id"), *_NEEDED[1:])
-    return staged(some.mapInArrow(see, "_id long, t binary, m binary"), "views")
+    return staged(some.mapInArrow(lean(see), "_id long, t binary, m binary"), "views")
 
 
 def _dense(column: list[bytes] | pa.Array, n: int) -> np.ndarray:
@@ -177,7 +182,7 @@ def _surest(views: DataFrame, labels: DataFrame) -> Surest:
                 yield pa.RecordBatch.from_arrays([b.column("_id"), *(pa.array(x, pa.float64()) for x in p)], ["_id", "text", "meta"])
 
         sure = lambda k: F.greatest(F.col(k), 1 - F.col(k))
-        scored = views.mapInArrow(score, "_id long, text double, meta double").where((sure("text") >= SURE) | (sure("meta") >= SURE))
+        scored = views.mapInArrow(lean(score), "_id long, text double, meta double").where((sure("text") >= SURE) | (sure("meta") >= SURE))
         best = [F.max_by(k, F.struct(sure(k), k)).alias(k) for k in models]
         scored = staged(scored.join(known, "_id", "left_anti").groupBy("_id").agg(*best), "scored")
         spark = views.sparkSession
@@ -185,6 +190,7 @@ def _surest(views: DataFrame, labels: DataFrame) -> Surest:
         for k in models:
             free = scored.where(sure(k) >= SURE).join(F.broadcast(spark.createDataFrame([(x,) for x in named[k]], "_id long")), "_id", "left_anti")
             picked[k] = {r["_id"]: r[k] for r in free.orderBy(sure(k).desc(), F.xxhash64("_id"), "_id").limit(PER_ROUND).select("_id", k).collect()}
+        discard(scored)
         ids = sorted(set().union(*picked.values()))
         rows = views.join(F.broadcast(spark.createDataFrame([(x,) for x in ids], "_id long")), "_id").toArrow().to_pylist() if ids else []
         t, m = _dense([r["t"] for r in rows], _NT), _dense([r["m"] for r in rows], _NM)
@@ -209,6 +215,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, l
     need(labels, "doc_id", "quality")
     views = _views(docs)
     model = co_train(*_sample(views, labels, labelled), _surest(views, labels))
+    discard(views)
     least = float(np.log(threshold / (1 - threshold)))
     made = ["quality_text", "quality_meta", "quality_score", "quality_kept"]
     passed = [c for c in passed or docs.columns if c not in made]
@@ -230,4 +237,4 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, l
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in passed), p(odds[:, 0]), p(odds[:, 1]), p(total), pa.array(total >= least)], [*passed, *made])
 
     schema = T.StructType([*(docs.schema[c] for c in passed), *(T.StructField(c, T.DoubleType()) for c in made[:3]), T.StructField(made[3], T.BooleanType())])
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(lean(score), schema)
