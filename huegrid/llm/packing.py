@@ -7,7 +7,9 @@ when there are too many open bins, the fullest closes first.
 
 Documents are encoded where they are read, cut into pieces of at most the
 capacity, and only the pieces' lengths move.  Each packing task takes about
-PIECES_PER_TASK pieces, dealt by hash, in an order fixed by that hash.
+PIECES_PER_TASK pieces, dealt by hash and in an order fixed by that hash, but
+for runs of RUN pieces, within which the longest come first: small pieces then
+fill what large ones leave.
 
 Defined results: null or empty text is one piece with the end id alone; null
 doc_ids are packed like others; repeated doc_ids are separate documents; an
@@ -24,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, staged
+from .common import lean, need, staged
 from .tokens import encoder
 
-CAPACITY, OPEN_BINS, PIECES_PER_TASK = 2048, 1024, 100_000
+CAPACITY, OPEN_BINS, PIECES_PER_TASK, RUN = 2048, 1024, 100_000, 2500
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = _PIECES + ", sequence_id long, offset long"
 
@@ -82,7 +84,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int =
             columns = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pieces, _PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(pieces), _PIECES)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
@@ -93,14 +95,29 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
         from pyspark import TaskContext
 
         fit, first = BestFit(capacity, open_bins), TaskContext.get().partitionId() << 40
+        def placed(run: pa.Table) -> Iterator[pa.RecordBatch]:
+            lengths = run.column("length").to_numpy()
+            where = np.zeros((len(lengths), 2), np.int64)
+            for k in np.argsort(-lengths, kind="stable").tolist():
+                where[k] = fit.add(int(lengths[k]))
+            run = run.append_column("sequence_id", pa.array(where[:, 0] + first))
+            yield from run.append_column("offset", pa.array(np.ascontiguousarray(where[:, 1]))).to_batches()
+
+        held, n = [], 0
         for b in batches:
-            placed = [fit.add(n) for n in b.column("length").to_pylist()]
-            t = pa.table(b).drop_columns("_h")
-            t = t.append_column("sequence_id", pa.array([first + s for s, _ in placed], pa.int64()))
-            yield from t.append_column("offset", pa.array([o for _, o in placed], pa.int64())).to_batches()
+            b = b.select([c for c in b.schema.names if c != "_h"])
+            while b.num_rows:
+                part, b = b.slice(0, RUN - n), b.slice(RUN - n)
+                held.append(part)
+                n += part.num_rows
+                if n == RUN:
+                    yield from placed(pa.Table.from_batches(held))
+                    held, n = [], 0
+        if n:
+            yield from placed(pa.Table.from_batches(held))
 
     dealt = pieces.withColumn("_h", F.xxhash64("doc_id", "piece", "ids_crc32")).repartition(tasks, "_h")
-    return dealt.sortWithinPartitions("_h", "doc_id", "piece").mapInArrow(run, PACKED)
+    return dealt.sortWithinPartitions("_h", "doc_id", "piece").mapInArrow(lean(run), PACKED)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, open_bins: int = OPEN_BINS) -> DataFrame:
