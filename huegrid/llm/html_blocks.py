@@ -1,20 +1,31 @@
 """Leaf blocks of a page: runs of text under the same block-level element, with their ancestors.
 
-A tolerant scan: comments, declarations and the contents of scripts, styles
-and the like are dropped, to the end of the page if no end tag follows; those of
-templates, drawings, form fields and titles only up to an end tag, without one
-the start tag alone goes.  Formulas and the fallback of objects and canvases are
-text.  End tags that are missing are implied; a br is white space; character
-references are decoded and white space becomes one space.
+A tolerant scan, linear in the page: comments, declarations and the contents of
+scripts, styles and the like are dropped, to the end of the page if no end tag
+follows; those of templates, drawings, form fields, titles and noscript only up
+to an end tag, without one the start tag alone goes.  Formulas and the fallback
+of objects and canvases are text.  End tags that are missing are implied; a br
+is white space; character references are decoded and white space becomes one
+space.
+
+Broken markup has defined results: a start that no ``>`` ends is text; where
+quotes in a tag never close, that tag and all later ones end at the next ``>``;
+elements nested deeper than DEPTH count as their ancestor at that depth, and
+keep their text.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: The rest of a tag, with quoted values; possessive, so a failure costs one pass.
+_QUOTED = re.compile(r"[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+>")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_REMARK_END = re.compile(r"--!?>")
+DEPTH = 256
 _NAMES = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _ATTRIBUTE = re.compile(r"([^\s/>=\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _MAY_HIDE = re.compile(r"hidden|display", re.I)
@@ -22,7 +33,7 @@ _REMARK = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 _WORD = re.compile(r"[a-z]+")
 
 RAW = frozenset("script style iframe noembed noframes xmp".split())
-DROPPED = frozenset("template textarea title svg".split())
+DROPPED = frozenset("template textarea title svg noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var button select option optgroup object canvas".split())
 #: Formulas stand in the line, each element of theirs too.
@@ -31,16 +42,6 @@ INLINE |= frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "body": ({"head"}, set())}
 
 
-@dataclass(slots=True)
-class Block:
-    text: str
-    #: From the page down: tag names, and words of class, id and role.
-    tags: list[str]
-    names: list[list[str]]
-    linked: int  # characters inside links
-    hidden: bool
-
-
 def _displayed(style: str) -> bool:
     """Whether the display that counts in a style attribute, the last or the last important one, is not none."""
     counts: dict[bool, str] = {}
@@ -63,21 +64,47 @@ def hides(attributes: str) -> bool:
     return (hidden is not None and hidden.strip().lower() != "until-found") or not _displayed(found.get("style", "")) or found.get("aria-hidden", "").strip().lower() == "true"
 
 
-class _Element:
-    __slots__ = ("tag", "names", "hidden")
+#: Elements that hold blocks of one purpose; the nearest one counts on its own.
+_HOLDERS = frozenset("article main section aside nav header footer form div ul ol dl table figure blockquote pre details dialog body".split())
 
-    def __init__(self, tag: str, attributes: str):
-        self.tag = tag
+
+class Element:
+    """An open element: its tag and names, and what holds of it and all its ancestors together."""
+
+    __slots__ = ("tag", "names", "parent", "tags", "all_names", "holder", "hidden", "linked", "headed", "known")
+
+    def __init__(self, tag: str, attributes: str = "", parent: "Element | None" = None):
+        self.tag, self.parent = tag, parent
         self.names = [w for m in _NAMES.findall(attributes) for w in _WORD.findall("".join(m).lower())] if attributes else []
-        self.hidden = bool(attributes) and hides(attributes)
+        none: frozenset[str] = frozenset()
+        tags, names = (parent.tags, parent.all_names) if parent else (none, none)
+        self.tags = tags if not tag or tag in tags else tags | {tag}
+        self.all_names = names if names.issuperset(self.names) else names.union(self.names)
+        self.holder = self if tag in _HOLDERS else parent.holder if parent else None
+        self.hidden = bool(parent and parent.hidden) or (bool(attributes) and hides(attributes))
+        self.linked = tag == "a" or bool(parent and parent.linked)
+        self.headed = tag == "head" or bool(parent and parent.headed)
+        self.known = None  # room for what a model makes of it
+
+
+@dataclass(slots=True)
+class Block:
+    text: str
+    owner: Element  # innermost, with its ancestors
+    linked: int  # characters inside links
+
+    @property
+    def hidden(self) -> bool:
+        return self.owner.hidden
 
 
 def leaf_blocks(page: str | None) -> list[Block]:
     """The blocks of a page in order; none for null, empty or text-free pages."""
     out: list[Block] = []
-    stack: list[_Element] = []
+    stack = [Element("")]
+    deeper: Counter = Counter()  # open elements below DEPTH
     parts: list[str] = []
-    owner: list[_Element] = []
+    owner = stack[0]
     linked = 0
     unclosed: set[str] = set()  # without an end tag in the rest of the page
 
@@ -85,45 +112,66 @@ def leaf_blocks(page: str | None) -> list[Block]:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
-            if text and not any(e.tag == "head" for e in owner):
-                out.append(Block(text, [e.tag for e in owner], [e.names for e in owner], linked, any(e.hidden for e in owner)))
+            if text and not owner.headed:
+                out.append(Block(text, owner, linked))
         parts.clear()
         linked = 0
 
     def say(raw: str) -> None:
-        nonlocal linked
+        nonlocal linked, owner
         text = _html.unescape(raw) if "&" in raw else raw
         if text.isspace():
             if parts:
                 parts.append(" ")
             return
         if not parts:
-            owner[:] = stack
+            owner = stack[-1]
         parts.append(text)
-        if any(e.tag == "a" for e in stack):
+        if stack[-1].linked:
             linked += len(text.strip())
 
+    def cut(i: int) -> None:
+        del stack[i:]
+        deeper.clear()
+
     def close(tags: set[str], fences: set[str]) -> None:
-        for i in range(len(stack) - 1, -1, -1):
+        for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in fences:
                 return
             if stack[i].tag in tags:
-                del stack[i:]
+                cut(i)
                 return
 
-    at, page = 0, page or ""
-    end = len(page)
+    page = page or ""
+    at, end, last, quoted = 0, len(page), page.rfind(">"), True
     while at < end:
-        m = _TOKEN.search(page, at)
-        if not m:
+        start = page.find("<", at)
+        if start < 0:
             say(page[at:])
             break
-        if m.start() > at:
-            say(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        two = page[start + 1 : start + 2]
+        m = _TAG.match(page, start)
+        if not m and two not in ("!", "?") or m and start > last:
+            upto = page.find("<", start + 1)
+            upto = end if upto < 0 or start > last else upto
+            say(page[at:upto])
+            at = upto
+            continue
+        if start > at:
+            say(page[at:start])
+        if not m:
+            if page.startswith("<!--", start):
+                found = _REMARK_END.search(page, start + 4)
+                at = found.end() if found else end
+            else:
+                found = page.find(">", start)
+                at = found + 1 if found >= 0 else end
             continue
-        tag = m[2].lower()
+        whole = _QUOTED.match(page, m.end()) if quoted else None
+        if not whole:
+            quoted = False
+        at = whole.end() if whole else page.find(">", m.end()) + 1
+        tag, attributes = m[2].lower(), page[m.end() : at - 1]
         if m[1]:
             if tag in RAW or tag in DROPPED or tag in VOID:
                 if tag == "br":
@@ -131,9 +179,12 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 continue
             if tag not in INLINE:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
+            if deeper[tag]:
+                deeper[tag] -= 1
+                continue
+            for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    cut(i)
                     break
                 if tag in INLINE and stack[i].tag not in INLINE:
                     break  # a stray inline end tag closes no block
@@ -142,11 +193,12 @@ def leaf_blocks(page: str | None) -> list[Block]:
             say(" " if tag == "br" else "")
             continue
         if tag in RAW or tag in DROPPED:
-            if not m[3].endswith("/"):
-                found = None if tag in unclosed else re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                if not found:
+            if not attributes.endswith("/"):
+                found = None if tag in unclosed else re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+                stop = page.find(">", found.end()) + 1 if found else 0
+                if not stop:
                     unclosed.add(tag)
-                at = found.end() if found else end if tag in RAW else at
+                at = stop or (end if tag in RAW else at)
             continue
         if tag not in INLINE:
             flush()
@@ -155,7 +207,11 @@ def leaf_blocks(page: str | None) -> list[Block]:
             close({"p"}, {"table", "td", "th", "button", "article", "section", "div", "aside", "li", "body"} - {tag} if tag != "p" else {"table", "td", "th", "button"})
         if tag in CLOSES:
             close(*CLOSES[tag])
-        if tag not in VOID:
-            stack.append(_Element(tag, m[3]))
+        if tag in VOID:
+            continue
+        if len(stack) > DEPTH:
+            deeper[tag] += 1
+        else:
+            stack.append(Element(tag, attributes, stack[-1]))
     flush()
     return out

@@ -12,8 +12,9 @@ sidebars, notices, adverts, forms and reader comments.  No page of a table is
 used for fitting, and every page is scored whole.
 
 Defined results: null, empty and text-free pages give no text; blocks of
-hidden elements are not text; repeated pages are extracted each; further
-columns are ignored; an empty table gives no rows.
+hidden elements and noscript are not text; broken and deep pages are scanned
+once (html_blocks); repeated pages are extracted each; further columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,41 +29,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, need
-from .html_blocks import Block, leaf_blocks
+from .html_blocks import Block, Element, leaf_blocks
 
 TRAIN_PAGES, STEPS, RATE, PENALTY, SEED = 480, 160, 0.08, 0.02, 4711
 
 
-#: Elements that hold blocks of one purpose; the nearest one counts on its own.
-_HOLDERS = frozenset("article main section aside nav header footer form div ul ol dl table figure blockquote pre details dialog body".split())
+def element_features(e: Element) -> list[str]:
+    """The features that a block has from the element that owns it."""
+    f = [f"tag:{t}" for t in sorted(e.tags)]
+    if e.tag:
+        f.append(f"near:{e.tag}")
+    held = e.holder
+    f += [f"held:{held.tag if held else ''}", *(f"heldname:{w}" for w in sorted(set(held.names if held else ())))]
+    f += [f"name:{w}" for w in sorted(e.all_names)]
+    near, k = set(), e
+    for _ in range(3):
+        if k is not None:
+            near.update(k.names)
+            k = k.parent
+    return f + [f"nearname:{w}" for w in sorted(near)]
+
+
+def text_features(b: Block) -> list[str]:
+    n, text = len(b.text), b.text
+    words = text.count(" ") + 1
+    share = b.linked / n
+    f = ["bias", f"words:{min(6, words.bit_length())}"]
+    f.append("links:" + ("none" if not b.linked else "all" if share > 0.9 else "many" if share > 0.4 else "few"))
+    f.append("ends:" + ("stop" if text[-1] in ".!?…\"”»:" else "other"))
+    if "©" in text or "(c)" in text.lower():
+        f.append("copyright")
+    if sum(map(str.isdigit, text)) * 5 > n:
+        f.append("digits")
+    if "|" in text or "»" in text or "·" in text:
+        f.append("bars")
+    return f
 
 
 def block_features(blocks: list[Block]) -> list[list[str]]:
     """The names of the features that hold at each block."""
-    out = []
-    for i, b in enumerate(blocks):
-        f = ["bias"]
-        near = list(zip(b.tags, b.names))[-3:]
-        f += [f"tag:{t}" for t in set(b.tags)]
-        f += [f"near:{t}" for t, _ in near[-1:]]
-        held = next(((t, ns) for t, ns in reversed(list(zip(b.tags, b.names))) if t in _HOLDERS), ("", []))
-        f += [f"held:{held[0]}", *(f"heldname:{w}" for w in set(held[1]))]
-        f += [f"name:{w}" for w in {w for ns in b.names for w in ns}]
-        f += [f"nearname:{w}" for w in {w for _, ns in near for w in ns}]
-        n, text = len(b.text), b.text
-        words = text.count(" ") + 1
-        f.append(f"words:{min(6, words.bit_length())}")
-        share = b.linked / n
-        f.append("links:" + ("none" if not b.linked else "all" if share > 0.9 else "many" if share > 0.4 else "few"))
-        f.append("ends:" + ("stop" if text[-1] in ".!?…\"”»:" else "other"))
-        if "©" in text or "(c)" in text.lower():
-            f.append("copyright")
-        if sum(map(str.isdigit, text)) * 5 > n:
-            f.append("digits")
-        if "|" in text or "»" in text or "·" in text:
-            f.append("bars")
-        out.append(f)
-    return out
+    return [text_features(b) + element_features(b.owner) for b in blocks]
 
 
 # ------------------------------------------------------------------ labelled pages
@@ -179,7 +185,12 @@ class Crf:
         if not blocks:
             return []
         at, w = self.names.get, self.weights
-        state = [sum(w[k] for n in f if (k := at(n)) is not None) for f in block_features(blocks)]
+        score = lambda f: sum(w[k] for n in f if (k := at(n)) is not None)
+        state = []
+        for b in blocks:
+            if b.owner.known is None or b.owner.known[0] is not self:  # once for all blocks of an element
+                b.owner.known = self, score(element_features(b.owner))
+            state.append(score(text_features(b)) + b.owner.known[1])
         # label 0 scores 0 at each block, label 1 scores state
         (m00, m01), (m10, m11) = self.moves
         a, b, back = self.begin[0], self.begin[1] + state[0], []

@@ -389,7 +389,7 @@ def test_pages(spark):
 
 def test_viterbi_is_the_best_of_all_paths():
     r = np.random.default_rng(0)
-    blocks = [html_blocks.Block(f"w{k}", ["p"], [[]], 0, False) for k in range(6)]
+    blocks = [html_blocks.Block(f"w{k}", html_blocks.Element("p"), 0) for k in range(6)]
     names = {n: k for k, n in enumerate({n for f in html_crf.block_features(blocks) for n in f})}
     for _ in range(20):
         crf = html_crf.Crf(names, r.normal(size=len(names)), r.normal(size=(2, 2)), r.normal(size=2))
