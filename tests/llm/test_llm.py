@@ -245,6 +245,43 @@ def test_embedding_links(spark):
     assert embedding_dedup.embedding_links(df.where("false")).count() == 0
 
 
+def brute_links(rows, threshold=0.9):
+    x = np.array([v for _, v in rows], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x @ x.T >= threshold
+
+
+def test_recall_with_long_keys(spark):
+    """Keys of 12 bits, as a million vectors have them, on the 2,000 of the table: the share of links found."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    near = brute_links(df.select("vec_id", "embedding").toPandas().itertuples(index=False, name=None))
+    _, tables = embedding_dedup.plan_bits(256 << 12)
+    got = embedding_dedup.embedding_links(df, bits=12, tables=tables).agg(F.sum("n_links")).first()[0]
+    assert 0.999 * (near.sum() - len(near)) <= got <= near.sum() - len(near)
+
+
+def test_null_vec_ids_and_one_bucket(spark, monkeypatch):
+    """All vectors in one bucket of several blocks; copies, a null id beside others and alone, a pair at the threshold itself."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    r = np.random.default_rng(5)
+    base = r.normal(size=8)
+    rows = [(k, (base + 0.1 * r.normal(size=8)).tolist()) for k in range(60)] + [(None, rows_copy) for rows_copy in [(base + 0.1).tolist()]] + [(None, (-base).tolist()), (70, [1.0] + [0.0] * 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    roots = components.forest((int(a), int(b)) for a, b in zip(*np.nonzero(near)))
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[roots[k]] = min(i, least.get(roots[k], 1 << 60))
+    want = Counter((rows[k][0], int(near[k].sum()) - 1, least.get(roots[k]), rows[k][0] == least.get(roots[k])) for k in range(len(rows)))
+    got = embedding_dedup.embedding_links(df, bits=1, tables=20).collect()
+    assert Counter(map(tuple, got)) == want
+    exact = spark.createDataFrame([(1, [1.0, 0.0]), (2, [3.0, 4.0]), (3, [2.9, 4.0])], "vec_id long, embedding array<double>")
+    assert {r["vec_id"]: r["n_links"] for r in embedding_dedup.embedding_links(exact, threshold=0.6).collect()} == {1: 1, 2: 2, 3: 1}
+
+
 def test_estimates_are_unbiased():
     r = np.random.default_rng(0)
     a, b = r.normal(size=(2, 64))
