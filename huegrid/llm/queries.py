@@ -12,6 +12,7 @@ from .html_crf import extract_main_text
 from .language_id import identify
 from .mixing import mix_digest
 from .near_dedup import near_duplicates
+from .oracles import ORACLES  # noqa: F401
 from .packing import pack_documents
 from .quality_rules import quality_rules
 from .substring_dedup import remove_repeats
@@ -66,5 +67,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_substring_dedup, op3_best_fit_packing, op4_embedding_near_dedup, op5_quality_rules, op6_source_mixing, op7_minhash_near_dedup, op8_token_files, op9_quality_classifier, op10_language_id)}
-ORACLES: dict[str, str] = {}
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5's columns that no model decides."""
+    found = op5_quality_rules(spark, sf_dir)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6's columns that no draw decides."""
+    return op6_source_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_html_extraction, op2_substring_dedup, op3_best_fit_packing, op4_embedding_near_dedup, op5_quality_rules, op6_source_mixing, op7_minhash_near_dedup,
+        op8_token_files, op9_quality_classifier, op10_language_id, quality_counts, mix_targets,
+    )
+}
