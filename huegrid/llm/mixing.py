@@ -1,20 +1,29 @@
 """Mixing sources to target weights by drawing fixed-length blocks.
 
 The words of a source, document after document, are packed into blocks of
-BLOCK words.  The mix is a list of slots in output shards: each shard draws a
-multinomial count of slots per source (from what is left of the sources'
-totals, so totals are met exactly), and slot j of a source holds the block
+BLOCK words.  The mix is a list of slots in output shards: a shard has a
+multinomial count of slots per source, and slot j of a source holds the block
 that a pseudorandom permutation of the source's block indexes gives for
 j mod blocks; the permutation changes with j div blocks.  A pass over a source
 thus takes each block once.  The last slot of a source is cut so that the
 words taken are the rounded target.
 
-Sources are a dimension: their sizes (one number each) are on the driver.
-Documents, blocks and slots never are.
+The counts come from a binary tree over the shards: what a node has of each
+source is divided between its halves by a seeded multinomial draw (source
+after source, kept to what is left), so totals are met exactly, and any shard
+finds its counts and its first slots from the root down without the others.
+
+Documents have their texts moved once: sizes, places and takes are narrow
+tables keyed by a row number written with the text, and the takes of a document
+join its text at the end.
+
+Sources are a dimension: their sizes (one number each) are on the driver, and
+more than MOST_SOURCES raise.  Documents, blocks, slots and shards never are.
 
 Defined results: null text has size 0; a null source is a source of its own,
-last in order; repeated doc_ids are separate documents; documents without
-words take 0; an empty table gives no rows.
+last in order; repeated doc_ids are separate documents, and equal rows share
+their places in any order; documents without words take 0; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -22,18 +31,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, need, staged
+from .common import lean, mix, need, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MOST, BLOCK = (5, 2, 1), 1.5, 2, 256
 #: Slots of an output shard; documents of an offset bucket.
-SHARD_SLOTS, BUCKET_DOCS = 16_384, 4_000
+SHARD_SLOTS, BUCKET_DOCS, MOST_SOURCES = 16_384, 4_000, 1_000_000
 _SEED = 1729
 
 
@@ -82,6 +90,8 @@ def _key(sid: np.ndarray, epoch: np.ndarray, seed: int) -> np.ndarray:
 def sources_of(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, seed: int = _SEED) -> list[dict]:
     """One dict a source: source, sid, docs, source_size, target, blocks, slots, last (words of the last slot)."""
     found = sized.groupBy("source").agg(F.count("*").alias("docs"), F.sum("size").alias("source_size")).collect()
+    if len(found) > MOST_SOURCES:
+        raise ValueError(f"{len(found)} sources; at most {MOST_SOURCES} make a mix")
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     goal = targets([r["source_size"] for r in found], [weights[i % len(weights)] for i in range(len(found))], share, most)
     out = []
@@ -103,58 +113,94 @@ def sources_of(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: fl
     return out
 
 
-def shard_counts(slots: list[int], shard_slots: int = SHARD_SLOTS, seed: int = _SEED) -> list[tuple[int, int, int, int]]:
-    """(shard, sid, first slot, slots): multinomial draws from what is left, so that the shards' sums are the totals."""
-    rng, left, done, out = np.random.default_rng(seed), np.array(slots, np.int64), np.zeros(len(slots), np.int64), []
-    shard = 0
-    while (total := int(left.sum())) > 0:
-        n = min(shard_slots, total)
-        drawn = np.zeros(len(left), np.int64)
-        while (short := n - int(drawn.sum())) > 0:
-            rest = left - drawn
-            drawn += np.minimum(rng.multinomial(short, rest / rest.sum()), rest)
-        out += [(shard, i, int(done[i]), int(c)) for i, c in enumerate(drawn) if c]
-        done += drawn
-        left -= drawn
-        shard += 1
-    return out
+class ShardTree:
+    """The slots of each source in each shard; total slots are shard_slots a shard, the last one's the rest."""
+
+    def __init__(self, slots: list[int], shard_slots: int = SHARD_SLOTS, seed: int = _SEED):
+        self.slots, self.shard_slots, self.seed = np.array(slots, np.int64), shard_slots, seed
+        self.total = int(self.slots.sum())
+        self.shards = -(-self.total // shard_slots)
+
+    def _left(self, low: int, high: int, counts: np.ndarray) -> tuple[int, np.ndarray]:
+        """The middle of the shards low..high and the counts of the left half."""
+        middle = (low + high) // 2
+        n, rest = (middle - low) * self.shard_slots, int(counts.sum())
+        rng = np.random.default_rng([self.seed, low, high])
+        out = np.zeros(len(counts), np.int64)
+        for i, c in enumerate(counts.tolist()):
+            if not n:
+                break
+            drawn = int(rng.binomial(n, min(1.0, c / rest))) if c else 0
+            out[i] = min(max(drawn, n - (rest - c)), c, n)
+            n, rest = n - out[i], rest - c
+        return middle, out
+
+    def counts(self, first: int, last: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """shard, first slots and counts of the shards first..last - 1."""
+        nodes = [(0, self.shards, np.zeros(len(self.slots), np.int64), self.slots)] if self.shards else []
+        while nodes:
+            low, high, before, counts = nodes.pop()
+            if high <= first or low >= last:
+                continue
+            if high - low == 1:
+                yield low, before, counts
+                continue
+            middle, left = self._left(low, high, counts)
+            nodes += [(middle, high, before + left, counts - left), (low, middle, before, left)]
 
 
 def slot_blocks(spark, sources: list[dict], seed: int = _SEED, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """The mix: shard, sid, slot, block, part (words of the block that a cut slot takes, else null)."""
-    plan = spark.createDataFrame(
-        [(h, i, a, c, sources[i]["blocks"], sources[i]["slots"], sources[i]["last"]) for h, i, a, c in shard_counts([s["slots"] for s in sources], shard_slots, seed)],
-        "shard int, sid int, first long, n long, blocks long, slots long, last long",
-    )
+    tree = ShardTree([s["slots"] for s in sources], shard_slots, seed)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for r in f.itertuples(index=False):
-                for a in range(r.first, r.first + r.n, 200_000):
-                    j = np.arange(a, min(a + 200_000, r.first + r.n))
-                    sid = np.full(len(j), r.sid)
-                    block = permuted(j % r.blocks, np.full(len(j), r.blocks), _key(sid, j // r.blocks, seed))
-                    part = pd.array([r.last if k == r.slots - 1 else None for k in j] if a + 200_000 >= r.slots else [None] * len(j), "Int64")
-                    yield pd.DataFrame({"shard": r.shard, "sid": sid, "slot": j, "block": block, "part": part})
-
-    n = max(1, -(-sum(s["slots"] for s in sources) // (8 * shard_slots)))
-    return plan.repartition(n, "shard", "sid").mapInPandas(run, "shard int, sid int, slot long, block long, part long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            wanted = np.sort(b.column(0).to_numpy())
+            for part in np.split(wanted, np.flatnonzero(np.diff(wanted) > 1) + 1):
+                for shard, before, counts in tree.counts(int(part[0]), int(part[-1]) + 1):
+                    for sid in np.flatnonzero(counts).tolist():
+                        s = sources[sid]
+                        for a in range(int(before[sid]), int(before[sid] + counts[sid]), 200_000):
+                            j = np.arange(a, min(a + 200_000, int(before[sid] + counts[sid])))
+                            block = permuted(j % s["blocks"], np.full(len(j), s["blocks"]), _key(np.full(len(j), sid), j // s["blocks"], seed))
+                            cut = j == s["slots"] - 1
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), shard)), pa.array(np.full(len(j), sid, np.int32)), pa.array(j), pa.array(block), pa.array(np.full(len(j), s["last"]), mask=~cut)], ["shard", "sid", "slot", "block", "part"])
+
+    return spark.range(0, tree.shards, 1, max(1, -(-tree.shards // 32))).mapInArrow(lean(run), "shard long, sid int, slot long, block long, part long")
 
 
 def offsets(sized: DataFrame, sources: list[dict]) -> DataFrame:
     """Documents with words, with sid, source_size, target and start: the words of their source before them.
 
-    Offsets come from windows over buckets of a source, and a prefix sum over the buckets.
+    sized: _row, doc_id, source, size, _t (hash of the text).  Rows that agree but for _row are a group, which starts
+    where the groups before it end: prefix sums within buckets of groups and over the buckets.  Rows of a group follow
+    one another, numbered within the partitions that _row names and over these.
     """
-    dim = sized.sparkSession.createDataFrame([(s["source"], s["sid"], s["source_size"], s["target"], max(1, -(-s["docs"] // BUCKET_DOCS))) for s in sources], "_source string, sid int, source_size long, target double, _buckets int")
-    keyed = sized.where("size > 0").join(dim, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    keyed = keyed.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "size"), F.col("_buckets")))
-    sums = keyed.groupBy("sid", "_bucket").agg(F.sum("size").alias("_n"))
-    before = Window.partitionBy("sid").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select("sid", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("sid", "_bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(bases, ["sid", "_bucket"])
-    return placed.withColumn("start", F.col("_base") + F.col("_in")).drop("_base", "_in", "_bucket", "_buckets")
+    key = ["sid", "_no", "_id", "size", "_t"]
+    dim = sized.sparkSession.createDataFrame([(s["source"], s["sid"], s["source_size"], s["target"], max(1, -(-s["docs"] // BUCKET_DOCS))) for s in sources], "_source string, sid int, source_size long, target double, _buckets long")
+    named = sized.where("size > 0").join(dim, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    named = named.withColumns({"_no": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))})
+    groups = named.groupBy(*key).agg(F.count("*").alias("_rows"), F.first("_buckets").alias("_buckets"))
+    groups = groups.withColumn("_bucket", F.pmod(F.xxhash64("_id", "size", "_t"), F.col("_buckets"))).withColumn("_words", F.col("size") * F.col("_rows"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda c, w: F.coalesce(F.sum(c).over(earlier(w)), F.lit(0))
+    groups = staged(groups, "groups")
+    sums = groups.groupBy("sid", "_bucket").agg(F.sum("_words").alias("_n"))
+    bases = sums.select("sid", "_bucket", upto("_n", Window.partitionBy("sid").orderBy("_bucket")).alias("_base"))
+    placed = groups.withColumn("_in", upto("_words", Window.partitionBy("sid", "_bucket").orderBy("_no", "_id", "size", "_t"))).join(bases, ["sid", "_bucket"])
+    placed = placed.select(*key, "_rows", (F.col("_base") + F.col("_in")).alias("start"))
+    rows = named.drop("_buckets").join(placed, key)
+    columns = ["_row", "doc_id", "size", "sid", "source_size", "target", "start"]
+    if groups.where("_rows > 1").isEmpty():
+        return rows.select(columns)
+    single, many = rows.where("_rows = 1"), rows.where("_rows > 1").withColumn("_part", F.shiftright("_row", 33))
+    parts = many.groupBy(*key, "_part").agg(F.count("*").alias("_n"))
+    parts = parts.select(*key, "_part", upto("_n", Window.partitionBy(*key).orderBy("_part")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy(*key, "_part").orderBy("_row")) - 1
+    many = many.withColumn("_rank", rank).join(parts, [*key, "_part"]).withColumn("start", F.col("start") + F.col("size") * (F.col("_rank") + F.col("_before")))
+    return single.select(columns).unionByName(many.select(columns))
 
 
 def block_parts(placed: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -163,66 +209,73 @@ def block_parts(placed: DataFrame, block: int = BLOCK) -> DataFrame:
     return ends.withColumn("a", F.greatest(F.col("start") - F.col("block") * block, F.lit(0))).withColumn("z", F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block)))
 
 
-def block_texts(placed: DataFrame, block: int = BLOCK) -> DataFrame:
-    """block_parts with text cut to the document's words in the block, so that whole texts do not move again."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, found = [], []
-            for i, (start, text) in enumerate(zip(b.column("start").to_pylist(), b.column("text"))):
-                words = text.as_py().encode().split()
-                k, end = start // block, start + len(words)
-                while k * block < end:
-                    a, z = max(0, start - k * block), min(block, end - k * block)
-                    shift = k * block - start
-                    found.append((k, a, z, b" ".join(words[a + shift : z + shift]).decode()))
-                    rows.append(i)
-                    k += 1
-            out = b.take(pa.array(rows, pa.int64()))
-            k, a, z, t = zip(*found) if found else ([],) * 4
-            arrays = [pa.array(t, pa.string()) if n == "text" else out.column(n) for n in b.schema.names]
-            yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(x, pa.int64()) for x in (k, a, z))], [*b.schema.names, "block", "a", "z"])
-
-    schema = T.StructType([*placed.schema.fields, *(T.StructField(n, T.LongType()) for n in ("block", "a", "z"))])
-    return placed.mapInArrow(run, schema)
-
-
 def takes(slots: DataFrame) -> DataFrame:
     """How often the mix takes each block whole, and the words of a cut take."""
     return slots.groupBy("sid", "block").agg(F.count_if(F.col("part").isNull()).alias("times"), F.coalesce(F.max("part"), F.lit(0)).alias("part"))
 
 
-def _sized(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+def _taken(placed: DataFrame, sources: list[dict], block: int, seed: int) -> DataFrame:
+    """placed's columns with block, a, z, times and part of each block that the mix takes some of."""
+    slots = takes(slot_blocks(placed.sparkSession, sources, seed))
+    return block_parts(placed, block).join(slots.hint("merge"), ["sid", "block"])
+
+
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def mix_digest(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, seed: int = _SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
     need(docs, "doc_id", "text", "source")
-    spark = docs.sparkSession
-    sized = staged(_sized(docs.select(F.col("doc_id").cast("long"), "text", "source")).drop("text"), "sizes")
+    sized = staged(docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long"), "source", _size().alias("size"), F.xxhash64("text").alias("_t")), "sizes")
     sources = sources_of(sized, weights, share, most, block, seed)
-    got = block_parts(offsets(sized, sources), block).join(takes(slot_blocks(spark, sources, seed)).hint("merge"), ["sid", "block"], "left")
-    words = F.coalesce(F.col("times") * (F.col("z") - F.col("a")) + F.greatest(F.least("z", "part") - F.col("a"), F.lit(0)), F.lit(0))
-    some = got.groupBy("sid", "start", "doc_id", "size", "source_size", "target").agg(F.sum(words).alias("taken"))
-    dim = spark.createDataFrame([(s["source"], s["source_size"], s["target"]) for s in sources], "_source string, source_size long, target double")
-    none = sized.where("size = 0").join(dim, F.col("source").eqNullSafe(F.col("_source")))
-    columns = ["doc_id", "size", "source_size", "target", "taken"]
-    return some.select(columns).unionByName(none.withColumn("taken", F.lit(0).cast("long")).select(columns))
+    got = _taken(offsets(sized, sources).select("_row", "size", "sid", "start"), sources, block, seed)
+    words = F.col("times") * (F.col("z") - F.col("a")) + F.greatest(F.least("z", "part") - F.col("a"), F.lit(0))
+    some = got.groupBy("_row").agg(F.sum(words).alias("taken"))
+    dim = docs.sparkSession.createDataFrame([(s["source"], s["source_size"], s["target"]) for s in sources], "_source string, source_size long, target double")
+    out = sized.join(some, "_row", "left").join(dim, F.col("source").eqNullSafe(F.col("_source")))
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, seed: int = _SEED) -> DataFrame:
-    """The mix itself as documents: a row for each take of a document's part of a block, with docs' columns; text is that part, n_chars its length."""
+    """The mix itself as documents: a row for each take of a document's part of a block, with docs' columns; text is that part (its words joined by one space), n_chars its length."""
     need(docs, "doc_id", "text", "source")
     others = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
-    sized = _sized(docs.select("doc_id", "text", "source", F.struct(F.lit(0).alias("_"), *others).alias("_rest")))
-    sources = sources_of(sized.select("source", "size"), weights, share, most, block, seed)
-    slots = takes(slot_blocks(docs.sparkSession, sources, seed))
-    got = block_texts(offsets(sized, sources), block).join(slots.hint("merge"), ["sid", "block"])
-    whole = got.where("times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    words = F.slice(F.split("text", " "), 1, (F.least("z", "part") - F.col("a")).cast("int"))
-    out = whole.drop("_copy").unionByName(got.where("part > a").withColumn("text", F.array_join(words, " ")))
+    kept = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text", "source", F.struct(F.lit(0).alias("_"), *others).alias("_rest"), _size().alias("size"), F.xxhash64("text").alias("_t"))
+    kept = staged(kept, "texts")
+    sized = kept.select("_row", "doc_id", "source", "size", "_t")
+    sources = sources_of(sized, weights, share, most, block, seed)
+    got = _taken(offsets(sized, sources).select("_row", "size", "sid", "start"), sources, block, seed)
+    # words first..first + n of a document, `times` over; first..first + part once
+    first = F.greatest(F.col("block") * block - F.col("start"), F.lit(0))
+    cut = F.struct(first.alias("first"), (F.col("z") - F.col("a")).alias("n"), "times", F.greatest(F.least("z", "part") - F.col("a"), F.lit(0)).alias("part"))
+    cuts = got.groupBy("_row").agg(F.collect_list(cut).alias("_cuts"))  # of one document: no more than its blocks
+    joined = kept.drop("size", "_t").join(cuts.hint("merge"), "_row").drop("_row")
+    counted = "n_chars" in others
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, texts, held = [], [], 0
+            for i, (text, cuts) in enumerate(zip(b.column("text"), b.column("_cuts").to_pylist())):
+                words = text.as_py().encode().split()
+                for c in cuts:
+                    whole = b" ".join(words[c["first"] : c["first"] + c["n"]])
+                    made = [whole] * c["times"] + ([b" ".join(words[c["first"] : c["first"] + c["part"]])] if c["part"] else [])
+                    texts += made
+                    rows += [i] * len(made)
+                    held += len(whole) * len(made)
+                    if held > 4 << 20:
+                        yield cut_rows(b, rows, texts)
+                        rows, texts, held = [], [], 0
+            yield cut_rows(b, rows, texts)
+
+    def cut_rows(b: pa.RecordBatch, rows: list[int], texts: list[bytes]) -> pa.RecordBatch:
+        kept = b.select(["doc_id", "source", "_rest"]).take(pa.array(rows, pa.int64()))
+        return pa.RecordBatch.from_arrays([*kept.columns, pa.array([t.decode() for t in texts], pa.string())], ["doc_id", "source", "_rest", "text"])
+
+    schema = T.StructType([joined.schema[c] for c in ("doc_id", "source", "_rest")] + [T.StructField("text", T.StringType())])
+    out = joined.mapInArrow(lean(run), schema)
     out = out.select("doc_id", "text", "source", *(F.col("_rest")[c].alias(c) for c in others))
-    if "n_chars" in docs.columns:
+    if counted:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
