@@ -13,8 +13,8 @@ from __future__ import annotations
 import numpy as np
 import regex
 
-#: Entries that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 1_000_000
+#: Pieces in each of the two generations that a worker remembers: the older one goes when the younger one is full.
+REMEMBERED = 100_000
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -44,6 +44,7 @@ class Encoder:
         self.high = regex.compile("[\u0300-\U0010ffff]").search
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.width = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         # the byte-level alphabet: printable bytes stand for themselves, the others for U+0100 on
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
@@ -59,9 +60,10 @@ class Encoder:
 
     def encode(self, text: str | None, end: int | None = None) -> np.ndarray:
         """Ids of the whole text (null: empty) without special tokens, then end if given."""
-        text, known = text or "", self.known
-        if len(known) > REMEMBERED:
-            known.clear()
+        text = text or ""
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older.get
         if not text or not self.high(text) and not self.marks(text):
             pieces, learn = self.pieces(text.lower()), self._piece
         else:  # a leading space keeps these apart from the pieces
@@ -70,7 +72,7 @@ class Encoder:
         if None in ids:
             for i, p in enumerate(pieces):
                 if ids[i] is None:
-                    ids[i] = known[p] = known.get(p) or learn(p)
+                    ids[i] = known[p] = known.get(p) or older(p) or learn(p)
         if end is not None:
             ids.append(self.width(end).tobytes())
         return np.frombuffer(b"".join(ids), self.width)
