@@ -160,6 +160,14 @@ def parse_hex(text: str) -> tuple[int, int, int]:
         raise HexError(f"not hex digits: {digits!r}") from None
 
 
+def parse_hex_field(text: str, now: tuple[int, int, int]) -> tuple[int, int, int]:
+    """A colour typed into a field: blanks and any number of leading # are dropped; what is no colour leaves the one there is."""
+    try:
+        return parse_hex(text.strip().lstrip("#"))
+    except HexError:
+        return now
+
+
 def value(r="r", g="g", b="b") -> Column:
     """HSV value in 0..1."""
     return F.greatest(col(r), col(g), col(b)) / F.lit(255.0)
@@ -182,27 +190,39 @@ def falloff(t: Column, kind: str) -> Column:
     return {"linear": lambda: t, "quadratic": lambda: t * t, "smooth": lambda: t * t * (3.0 - 2.0 * t)}[kind]()
 
 
+#: How dark shades of the plain names are called, where not "dark" and the name.
+DARK_NAMES = {"yellow": "olive", "cyan": "teal"}
+PLAIN_NAMES = ("red", "green", "blue", "yellow", "cyan", "magenta", "purple")
+
+
+def _named(r, g, b, high, low, third, pick):
+    """The decision tree over channels, for Columns or whole numbers; pick(cases, other) takes the first case that holds."""
+    base = pick([
+        ((r == high) & (g >= b) & (g > third(r, 2)), "yellow"), ((r == high) & (g >= b) & (b > third(r, 1)), "magenta"), (r == high, "red"),
+        ((g == high) & (r >= b) & (r > third(g, 2)), "yellow"), (g == high, "green"),
+        (r > third(b, 2), "purple"), (g > third(b, 2), "cyan"),
+    ], "blue")
+    gray = pick([(high < 96, "darkgray"), (high > 180, "lightgray")], "gray")
+    dark = pick([(base == n, DARK_NAMES.get(n, f"dark{n}")) for n in PLAIN_NAMES], "")
+    return pick([(high < 32, "black"), (low > 224, "white"), (high - low < 20, gray), ((base == "red") & (high > 200) & (low > 80), "pink"), (high < 110, dark)], base)
+
+
 def color_name(r="r", g="g", b="b") -> Column:
     """One of 20 short names, by a decision tree on integers."""
     r, g, b = col(r).cast("int"), col(g).cast("int"), col(b).cast("int")
-    high, low = F.greatest(r, g, b), F.least(r, g, b)
-    part = lambda c, k: F.floor(c * k / 3)
-    base = (
-        F.when((r == high) & (g >= b), F.when(g > part(r, 2), "yellow").when(b > part(r, 1), "magenta").otherwise("red"))
-        .when(r == high, "red")
-        .when((g == high) & (r >= b), F.when(r > part(g, 2), "yellow").otherwise("green"))
-        .when(g == high, "green")
-        .otherwise(F.when(r > part(b, 2), "purple").when(g > part(b, 2), "cyan").otherwise("blue"))
-    )
-    darks = {"red": "darkred", "green": "darkgreen", "blue": "darkblue", "yellow": "olive", "cyan": "teal", "magenta": "darkmagenta", "purple": "darkpurple"}
-    dark = F.lit(None).cast("string")
-    for plain, name in darks.items():
-        dark = F.when(base == plain, name).otherwise(dark)
-    gray = F.when(high < 96, "darkgray").when(high > 180, "lightgray").otherwise("gray")
-    return (
-        F.when(high < 32, "black").when(low > 224, "white").when(high - low < 20, gray)
-        .when((base == "red") & (high > 200) & (low > 80), "pink").when(high < 110, dark).otherwise(base)
-    )
+
+    def pick(cases, other):
+        out = F.lit(other) if isinstance(other, str) else other
+        for when, value in reversed(cases):
+            out = F.when(when, value).otherwise(out)
+        return out
+
+    return _named(r, g, b, F.greatest(r, g, b), F.least(r, g, b), lambda c, k: F.floor(c * k / 3), pick)
+
+
+def name_of(rgb: tuple[int, int, int]) -> str:
+    """color_name of one colour, on the driver."""
+    return _named(*rgb, max(rgb), min(rgb), lambda c, k: c * k // 3, lambda cases, other: next((v for when, v in cases if when), other))
 
 
 #: The meshes on sale and the screen angles in order of print.

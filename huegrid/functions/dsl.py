@@ -111,11 +111,11 @@ class _Parser:
         return (got, *args)
 
 
-def parse(text: str):
-    """The expression tree: numbers, variable names, and tuples of an operator and its arguments."""
+def parse(text: str, whole: bool = True):
+    """The expression tree: numbers, variable names, and tuples of an operator and its arguments.  whole: text after it is an error, else it is ignored."""
     p = _Parser(text)
     tree = p.expr()
-    if p.at < len(p.found):
+    if whole and p.at < len(p.found):
         raise DslError("expected", p.found[p.at][0], f"expected the end, got {p.found[p.at][2]!r}")
     return tree
 
@@ -164,6 +164,6 @@ def compile_tree(tree, names: dict[str, Column]) -> Column:
     raise AssertionError(op)
 
 
-def compile_expr(text: str) -> Column:
-    """The value of an expression, clamped to 0..1."""
-    return clamp(compile_tree(parse(text), variables()), 0.0, 1.0)
+def compile_expr(text: str, whole: bool = False) -> Column:
+    """The value of an expression, clamped to 0..1.  Tokens after it are ignored, as saved projects may hold such, unless whole."""
+    return clamp(compile_tree(parse(text, whole), variables()), 0.0, 1.0)

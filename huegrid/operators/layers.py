@@ -61,15 +61,20 @@ def shadow_merge(masks: DataFrame, layers: DataFrame) -> DataFrame:
     return owned.select(*key, F.when(F.col("o").isNull(), 255).otherwise(0).alias("union_d"), F.coalesce("o.shadow", F.lit(255)).alias("shadow_d"))
 
 
-def composite(masks: DataFrame, layers: DataFrame, shirt: RGB = GARMENT) -> DataFrame:
-    """Visible layers painted over the shirt in print order, rounding after each: keys, x, y, r, g, b."""
-    inks = layers.where("visible").select("layer_idx", "print_index", F.col("r").alias("ir"), F.col("g").alias("ig"), F.col("b").alias("ib"))
-    key = _pixel(masks)
-    stack = masks.join(inks, "layer_idx").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("print_index", "layer_idx", "d", "ir", "ig", "ib"))).alias("s"))
+def composite(masks: DataFrame, layers: DataFrame, px: DataFrame, shirt: RGB = GARMENT) -> DataFrame:
+    """Layers that are visible and exported, painted over the shirt in print order, rounding after each: keys, x, y, r, g, b of every pixel of px.
+
+    A pixel that no mask covers shows the shirt.  layers is one job's list, small beside the masks.
+    """
+    inks = exportable(layers).select("layer_idx", "print_index", F.col("r").alias("ir"), F.col("g").alias("ig"), F.col("b").alias("ib"))
+    key = _pixel(px)
+    stack = masks.join(inks, "layer_idx").groupBy(*_pixel(masks)).agg(F.array_sort(F.collect_list(F.struct("print_index", "layer_idx", "d", "ir", "ig", "ib"))).alias("s"))
     alpha = lambda s: 1.0 - s["d"] / 255.0
     over = lambda v, ink, s: F.round(v * (1.0 - alpha(s)) + ink * alpha(s))
-    fold = F.aggregate("s", F.struct(*(F.lit(float(v)).alias(c) for v, c in zip(shirt, "rgb"))), lambda p, s: F.struct(*(over(p[c], s[f"i{c}"], s).alias(c) for c in "rgb")))
-    return stack.select(*key, fold.alias("p")).select(*key, *(F.col(f"p.{c}").cast("int").alias(c) for c in "rgb"))
+    bare = F.struct(*(F.lit(float(v)).alias(c) for v, c in zip(shirt, "rgb")))
+    fold = F.aggregate("s", bare, lambda p, s: F.struct(*(over(p[c], s[f"i{c}"], s).alias(c) for c in "rgb")))
+    out = px.select(*key).join(stack, _pixel(masks), "left").select(*key, F.coalesce(fold, bare).alias("p"))
+    return out.select(*key, *(F.col(f"p.{c}").cast("int").alias(c) for c in "rgb"))
 
 
 def over_shirt(mask: DataFrame, ink: RGB, shirt: RGB = GARMENT) -> DataFrame:
@@ -91,7 +96,8 @@ def dropped(layers: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def exportable(layers: DataFrame) -> DataFrame:
-    return layers.where("visible and include_in_export")
+    """Layers that are visible and not left out of the export; without that column none is left out."""
+    return layers.where("visible and include_in_export" if "include_in_export" in layers.columns else "visible")
 
 
 def propagate_weights(targets: DataFrame, edits: DataFrame) -> DataFrame:
@@ -140,9 +146,32 @@ def lanczos_resize(mask: DataFrame, old: tuple[int, int], new: tuple[int, int],
 def brush(mask: DataFrame, dabs: DataFrame) -> DataFrame:
     """Dabs (seq, cx, cy, radius, ink) on a mask; the newest dab that covers a pixel sets it to 0 or 255.
 
-    A dab meets only the pixels of its box, so the join is on coordinates.
+    Dabs that name an image_id or layer_idx meet that image or layer alone.  A
+    dab meets only the pixels of its box, so the join is on coordinates.
     """
+    on = [*(c for c in ("image_id", "layer_idx") if c in mask.columns and c in dabs.columns), "x", "y"]
     reach = dabs.withColumn("x", F.explode(F.sequence(F.col("cx") - F.col("radius"), F.col("cx") + F.col("radius")))).withColumn("y", F.explode(F.sequence(F.col("cy") - F.col("radius"), F.col("cy") + F.col("radius"))))
     disk = reach.where("(x - cx) * (x - cx) + (y - cy) * (y - cy) <= radius * radius")
-    newest = disk.groupBy("x", "y").agg(F.max_by(F.when(F.col("ink"), 0).otherwise(255), "seq").alias("_new"))
-    return mask.join(newest, ["x", "y"], "left").withColumn("d", F.coalesce("_new", "d")).select(mask.columns)
+    newest = disk.groupBy(*on).agg(F.max_by(F.when(F.col("ink"), 0).otherwise(255), "seq").alias("_new"))
+    return mask.join(newest, on, "left").withColumn("d", F.coalesce("_new", "d")).select(mask.columns)
+
+
+def resize_source(px: DataFrame, old: tuple[int, int], width_inches: float | None, dpi: int) -> tuple[DataFrame, tuple[int, int]]:
+    """An image (r, g, b) at the width that a film of so many inches has, the height in proportion, and its size; as it is without a width or at that width."""
+    wide = int(width_inches * dpi + 0.5) if width_inches else 0
+    if not wide or wide == old[0] or not old[0]:
+        return px, old
+    new = (wide, max(1, int(old[1] * wide / old[0] + 0.5)))
+    key, out = _pixel(px), None
+    for c in "rgb":
+        one = lanczos_resize(px.select(*key, F.col(c).alias("d")), old, new).withColumnRenamed("d", c)
+        out = one if out is None else out.join(one, key)
+    i = (F.col("y") * new[0] + F.col("x")).cast("long").alias("i")
+    return out.select(*(c for c in key if c == "image_id"), i, "x", "y", "r", "g", "b"), new
+
+
+def of_size(masks: DataFrame, size: tuple[int, int]) -> DataFrame:
+    """The layers (of each image) whose masks have this size; others are left out whole."""
+    keys = [c for c in ("image_id", "layer_idx") if c in masks.columns]
+    found = masks.groupBy(*keys).agg((F.max("x") + 1).alias("_w"), (F.max("y") + 1).alias("_h")).where((F.col("_w") == size[0]) & (F.col("_h") == size[1]))
+    return masks.join(F.broadcast(found.select(*keys)), keys, "left_semi") if keys else masks.join(F.broadcast(found.select("_w")), F.lit(True), "left_semi")

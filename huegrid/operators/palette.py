@@ -11,13 +11,13 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import color as C
 from .extract import RGB, nearest
 
-SAMPLE, ROUNDS, STILL = 80_000, 15, 0.5
+SAMPLE, ROUNDS, STILL, CHROMA_BINS = 80_000, 15, 0.5, 4096
 
 
 @dataclass(frozen=True)
@@ -52,12 +52,23 @@ def histogram_stats(px: DataFrame, *keys: str) -> DataFrame:
 
 
 def p95_chroma(px: DataFrame, width: int, height: int) -> DataFrame:
-    """Element floor(0.95 n) of the ascending chromas on a grid of every min(width, height) div 100 pixels."""
+    """Element floor(0.95 n) of the ascending chromas on a grid of every min(width, height) div 100 pixels.
+
+    Chromas are counted in BINS bins; the element is then looked for among the counted values of its bin alone.
+    """
     step = max(min(width, height) // 100, 1)
-    # at most about 100 x 100 x (long side / short side) samples of one image
     c = C.with_lab(px.where((F.col("x") % step == 0) & (F.col("y") % step == 0))).select(C.chroma().alias("chroma"))
-    ranked = c.agg(F.array_sort(F.collect_list("chroma")).alias("a"))
-    return ranked.select(F.element_at("a", (F.floor(F.size("a") * 0.95) + 1).cast("int")).alias("p95"))
+    c = c.withColumn("bin", F.least(F.floor(F.col("chroma") * (CHROMA_BINS / 256)), F.lit(CHROMA_BINS)))
+    counts = sorted((r["bin"], r["count"]) for r in c.groupBy("bin").count().collect())  # at most CHROMA_BINS + 1 rows
+    rank = math.floor(sum(n for _, n in counts) * 0.95)
+    at = None
+    for at, n in counts:
+        if rank < n:
+            break
+        rank -= n
+    values = c.where(F.col("bin") == F.lit(at)).groupBy("chroma").count()
+    upto = values.select("chroma", F.sum("count").over(Window.orderBy("chroma")).alias("upto"))  # the distinct values of one bin
+    return upto.where(F.col("upto") > rank).agg(F.min("chroma").alias("p95"))
 
 
 def coverage_fraction(df: DataFrame, *keys: str) -> DataFrame:

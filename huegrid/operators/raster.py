@@ -1,22 +1,22 @@
 """Dithers and halftones over (keys, x, y, d).
 
 Ordered dithers look a threshold up by coordinates modulo a tile.  The
-halftone is computed backwards: each supersampled pixel asks the 3 x 3 nearest
-cells of the rotated screen whether their dot covers it, so there is no
-cell-by-pixel join.  Floyd-Steinberg is a recurrence and takes one task an
-image.
+halftone finds the cells of the rotated screen at their centre pixels, and each
+cell draws its dot into the supersampled pixels of its box; a pixel's inked
+parts are one bit set.  White noise is linear over bits and needs no order.
+Floyd-Steinberg is a recurrence and takes one task an image.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.color import shape_curve
 from .extract import bayer_matrix, keys_of
@@ -142,10 +142,45 @@ def white_noise_states(ordinals: np.ndarray) -> np.ndarray:
     return state
 
 
+#: Ordinals that one row of white_noise_masks serves.
+STRIDE = 4096
+
+
+def white_noise_masks(block: int) -> list[int]:
+    """For the low 8 bits of the state after STRIDE * block more steps: the bits of a state whose parity each is."""
+    images, at = np.left_shift(np.uint32(1), np.arange(32, dtype=np.uint32)), block
+    for step in _jumps()[12:]:  # STRIDE is 2^12
+        if not at:
+            break
+        if at & 1:
+            images = _advance(images, step)
+        at >>= 1
+    return [int(((images >> np.uint32(bit) & np.uint32(1)).astype(np.uint64) << np.arange(32, dtype=np.uint64)).sum()) for bit in range(8)]
+
+
 def white_noise(df: DataFrame, width: int) -> DataFrame:
-    """Thresholds follow the scan order of an image of the given width."""
-    threshold = F.pandas_udf(lambda n: pd.Series((white_noise_states(n.to_numpy()) & np.uint32(255)).astype(np.int32)), T.IntegerType(), F.PandasUDFType.SCALAR)
-    return df.withColumn("d", _cut(threshold((F.col("y") * width + F.col("x")).cast("long"))))
+    """Thresholds follow the scan order of an image of the given width.
+
+    Ordinal n is n div STRIDE blocks of steps after the state of n mod STRIDE:
+    a literal list has those states, and the blocks that occur bring eight
+    masks each, whose parities with the state are the threshold's bits.
+    """
+    n = (F.col("y") * width + F.col("x")).cast("long")
+    states = F.array(*(F.lit(int(v)) for v in white_noise_states(np.arange(STRIDE))))
+    blocks = df.select(F.expr(f"(y * {width} + x) div {STRIDE}").cast("long").alias("_block")).distinct()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"_block": f["_block"], "_masks": [white_noise_masks(int(b)) for b in f["_block"]]})
+
+    masks = blocks.mapInPandas(run, "_block long, _masks array<long>")
+    placed = df.withColumns({"_block": F.floor(n / STRIDE).cast("long"), "_state": F.element_at(states, (F.pmod(n, F.lit(STRIDE)) + 1).cast("int"))})
+    joined = placed.join(masks, "_block")
+    bit = lambda k: F.shiftleft(F.bit_count(F.col("_state").bitwiseAND(F.col("_masks")[k])).bitwiseAND(F.lit(1)), k)
+    threshold = bit(0)
+    for k in range(1, 8):
+        threshold = threshold + bit(k)
+    return joined.withColumn("d", _cut(threshold)).select(df.columns)
 
 
 def floyd_steinberg(df: DataFrame) -> DataFrame:
@@ -188,22 +223,21 @@ def halftone(df: DataFrame, width: int, height: int, lpi: float = 55.0, angle_de
     big, half = cell * s, cell * s / 2
     sin, cos = math.sin(math.radians(angle_deg)), math.cos(math.radians(angle_deg))
     cx, cy = width * s / 2, height * s / 2
-    means = box_mean(df, max(int(cell * 0.5), 1)).select(*keys, F.col("x").alias("_sx"), F.col("y").alias("_sy"), F.col("d").alias("_avg"))
-
-    sub = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for j in range(s) for i in range(s))))
-    px = df.select(*keys, "x", "y", sub.alias("o")).select(*keys, "x", "y", (F.col("x") * s + F.col("o.i")).alias("px"), (F.col("y") * s + F.col("o.j")).alias("py"))
-    lx = (F.col("px") + 0.5 - cx) * cos + (F.col("py") + 0.5 - cy) * sin
-    ly = -(F.col("px") + 0.5 - cx) * sin + (F.col("py") + 0.5 - cy) * cos
-    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for j in (-1, 0, 1) for i in (-1, 0, 1))))
-    px = px.withColumns({"_ci": F.floor(lx / big), "_cj": F.floor(ly / big)}).select("*", around.alias("c"))
-    px = px.withColumns({"_ux": (F.col("_ci") + F.col("c.i") + 0.5) * big, "_uy": (F.col("_cj") + F.col("c.j") + 0.5) * big})
-    px = px.withColumns({"_dx": cx + F.col("_ux") * cos - F.col("_uy") * sin, "_dy": cy + F.col("_ux") * sin + F.col("_uy") * cos})
-    # only cells whose clip box holds the pixel go on
-    low = lambda c: F.greatest(F.floor(c - half), F.lit(0))
-    px = px.where((F.col("px") >= low(F.col("_dx"))) & (F.col("px") <= F.ceil(F.col("_dx") + half)) & (F.col("py") >= low(F.col("_dy"))) & (F.col("py") <= F.ceil(F.col("_dy") + half)))
-    px = px.withColumns({"_sx": (F.col("_dx") / s).cast("long"), "_sy": (F.col("_dy") / s).cast("long")})
-    px = px.join(means.where(F.col("_avg") < NEAR_WHITE), [*keys, "_sx", "_sy"]).withColumn("_c", shape_curve(1.0 - F.col("_avg") / 255.0, curve)).where(F.col("_c") > LEAST_COVERAGE)
 
+    # the cells whose centre lies in a pixel: a pixel's middle is at most a few cells away
+    means = box_mean(df, max(int(cell * 0.5), 1)).where(F.col("d") < NEAR_WHITE).select(*keys, F.col("x").cast("long").alias("_sx"), F.col("y").cast("long").alias("_sy"), F.col("d").alias("_avg"))
+    mx, my = (F.col("_sx") + 0.5) * s - cx, (F.col("_sy") + 0.5) * s - cy
+    reach = range(-1, 2) if cell >= 2 else range(-2, 3)
+    near = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for j in reach for i in reach)))
+    cells = means.withColumns({"_ci": F.floor((mx * cos + my * sin) / big), "_cj": F.floor((my * cos - mx * sin) / big)}).select("*", near.alias("c"))
+    cells = cells.withColumns({"_ux": (F.col("_ci") + F.col("c.i") + 0.5) * big, "_uy": (F.col("_cj") + F.col("c.j") + 0.5) * big})
+    cells = cells.withColumns({"_dx": cx + F.col("_ux") * cos - F.col("_uy") * sin, "_dy": cy + F.col("_ux") * sin + F.col("_uy") * cos})
+    cells = cells.where(((F.col("_dx") / s).cast("long") == F.col("_sx")) & ((F.col("_dy") / s).cast("long") == F.col("_sy")))
+    cells = cells.withColumn("_c", shape_curve(1.0 - F.col("_avg") / 255.0, curve)).where(F.col("_c") > LEAST_COVERAGE)
+
+    # their boxes, and what of them the dot inks
+    span = lambda c, most: F.explode(F.sequence(F.greatest(F.floor(c - half), F.lit(0)), F.greatest(F.least(F.ceil(c + half), F.lit(most - 1)), F.greatest(F.floor(c - half), F.lit(0)))))
+    px = cells.select(*keys, "_c", "_dx", "_dy", span(F.col("_dx"), width * s).alias("px")).select("*", span(F.col("_dy"), height * s).alias("py"))
     dx, dy = F.col("px") + 0.5 - F.col("_dx"), F.col("py") + 0.5 - F.col("_dy")
     ux, uy = dx * cos + dy * sin, -dx * sin + dy * cos
     r = half * F.sqrt(4.0 * F.col("_c") / math.pi)
@@ -213,7 +247,10 @@ def halftone(df: DataFrame, width: int, height: int, lpi: float = 55.0, angle_de
         "ellipse": lambda: (ux / r) * (ux / r) + (uy / (0.6 * r)) * (uy / (0.6 * r)) <= 1.0,
         "line": lambda: (F.abs(uy) <= half * F.col("_c") * 2.0) & (F.abs(ux) <= half),
     }[dot]()
-    inked = px.where(inside).select(*keys, "x", "y", "px", "py").distinct().groupBy(*keys, "x", "y").agg(F.count("*").alias("_n"))
+    kinds = dict(df.dtypes)
+    at = lambda c, name: F.floor(F.col(c) / s).cast(kinds[name]).alias(name)
+    part = F.expr(f"shiftleft(1L, cast(pmod(py, {s}) * {s} + pmod(px, {s}) as int))")
+    inked = px.where(inside).groupBy(*keys, at("px", "x"), at("py", "y")).agg(F.bit_count(F.bit_or(part)).alias("_n"))
     out = df.join(inked, [*keys, "x", "y"], "left")
     clear = s * s - F.coalesce("_n", F.lit(0))
     return out.withColumn("d", F.floor(clear * 255 / F.lit(s * s)).cast("int")).select(df.columns)

@@ -213,7 +213,7 @@ ORACLES |= {
 hz AS (SELECT p.x, p.y, sum(w_ * q.d) AS d FROM m p, tap, dim JOIN m q ON q.y = p.y AND q.x = least(greatest(p.x + k, 0), w - 1) GROUP BY 1, 2),
 vt AS (SELECT p.x, p.y, sum(w_ * q.d) AS d FROM hz p, tap, dim JOIN hz q ON q.x = p.x AND q.y = least(greatest(p.y + k, 0), h - 1) GROUP BY 1, 2) SELECT x, y, {_byte('d')} AS d FROM vt""",
     "box_mean_2": f"WITH {GRAY} SELECT p.x, p.y, CAST(sum(q.d) // count(*) AS BIGINT) AS d FROM m p JOIN m q ON q.x BETWEEN p.x - 2 AND p.x + 2 AND q.y BETWEEN p.y - 2 AND p.y + 2 GROUP BY 1, 2",
-    "downsample_3": f"WITH {GRAY} SELECT x // 3 AS x, y // 3 AS y, CAST(sum(d) // 9 AS BIGINT) AS d FROM m WHERE x < 99 GROUP BY 1, 2",
+    "downsample_3": f"WITH {GRAY} SELECT x // 3 AS x, y // 3 AS y, CAST(sum(d) // count(*) AS BIGINT) AS d FROM m GROUP BY 1, 2",
     "offsets_max": f"WITH {GRAY} SELECT p.x, p.y, max(q.d) AS d FROM m p, (VALUES (0, 0), (2, 0), (0, -1)) o(dx, dy) JOIN m q ON q.x = p.x + dx AND q.y = p.y + dy GROUP BY 1, 2",
 }
 
@@ -327,22 +327,22 @@ ORACLES |= {
     "shadow_merge": f"""WITH {MASKS},{_lab('layer', 'll')}, sel AS (SELECT layer_idx, l, row_number() OVER (ORDER BY l DESC, layer_idx) AS rk, max(l) OVER () AS kl FROM ll WHERE layer_idx IN (1, 2, 4)),
 sh AS (SELECT layer_idx, rk, 255 - {_byte('255 * least(greatest((kl - l) / greatest(kl, 1), 0), 1)')} AS shadow FROM sel), own AS (SELECT x, y, min(rk) FILTER (d < 128) AS rk FROM masks JOIN sh USING (layer_idx) GROUP BY 1, 2)
 SELECT x, y, CAST(CASE WHEN own.rk IS NULL THEN 255 ELSE 0 END AS BIGINT) AS union_d, coalesce(shadow, 255) AS shadow_d FROM own LEFT JOIN sh USING (rk)""",
-    "composite": f"""WITH RECURSIVE {MASKS}, st AS (SELECT x, y, d, r, g, b, row_number() OVER (PARTITION BY x, y ORDER BY print_index, layer_idx) AS n FROM masks JOIN layer USING (layer_idx) WHERE visible),
+    "composite": f"""WITH RECURSIVE {MASKS}, st AS (SELECT x, y, d, r, g, b, row_number() OVER (PARTITION BY x, y ORDER BY print_index, layer_idx) AS n FROM masks JOIN layer USING (layer_idx) WHERE visible AND layer_idx <> 2 AND (x >= 10 OR y >= 10)),
 s(x, y, n, r, g, b) AS (SELECT x, y, 0::BIGINT, 24e0, 24e0, 28e0 FROM px UNION ALL SELECT s.x, s.y, k.n, {STEP('r')}, {STEP('g')}, {STEP('b')} FROM s JOIN st k ON k.x = s.x AND k.y = s.y AND k.n = s.n + 1)
-SELECT x, y, CAST(r AS BIGINT) AS r, CAST(g AS BIGINT) AS g, CAST(b AS BIGINT) AS b FROM s WHERE n = 5""",
+SELECT x, y, CAST(r AS BIGINT) AS r, CAST(g AS BIGINT) AS g, CAST(b AS BIGINT) AS b FROM s QUALIFY row_number() OVER (PARTITION BY x, y ORDER BY n DESC) = 1""",
     "single_over_shirt": f"WITH {GRAY} SELECT x, y, " + ", ".join(f"{_byte(f'{s} * (d / 255e0) + {i} * (1 - d / 255e0)')} AS {c}" for c, s, i in zip("rgb", (24, 24, 28), (250, 60, 10))) + " FROM m",
-    "knockout": f"WITH {GRAY} SELECT x, y, CASE WHEN (x + y) % 7 <> 0 AND x < 4 THEN 255 ELSE d END AS d FROM m",
+    "knockout": f"WITH {GRAY} SELECT x, y, CASE WHEN x < 4 THEN 255 ELSE d END AS d FROM m",
     "reindex": f"WITH {LAYER} SELECT CAST(layer_idx AS BIGINT) AS layer_idx, row_number() OVER (ORDER BY layer_idx) - 1 AS print_index FROM layer WHERE layer_idx <> 3",
     "visible_layers": f"WITH {LAYER} SELECT CAST(layer_idx AS BIGINT) AS layer_idx, CAST(print_index AS BIGINT) AS print_index FROM layer WHERE visible AND layer_idx <> 2",
     "weight_propagation": "WITH e AS (SELECT (user_id % 8) % 3 AS pos, arg_max(value, event_id) AS w FROM events GROUP BY 1) SELECT CAST(l AS BIGINT) AS layer_idx, CAST(p AS BIGINT) AS pos, coalesce(w, 0e0) AS weight FROM range(3) a(l), range(4) b(p) LEFT JOIN e ON e.pos = p",
     "nearest_resize": f"WITH {GRAY}, {DIM}, n AS (SELECT nx, ny, nx * w // (w * 3 // 2) AS x, ny * h // (h // 2) AS y FROM dim, range(150) a(nx), range(100000) c(ny) WHERE ny < h // 2) SELECT nx AS x, ny AS y, d FROM n JOIN m USING (x, y)",
-    "brush_dabs": f"WITH {GRAY}, db AS (SELECT event_id AS seq, event_id * 7 % 100 AS cx, event_id % 15 AS cy, event_id % 2 = 0 AS ink FROM events WHERE event_id < 40), hit AS (SELECT x, y, arg_max(CASE WHEN ink THEN 0 ELSE 255 END, seq) AS v FROM m JOIN db ON (x - cx) * (x - cx) + (y - cy) * (y - cy) <= 25 GROUP BY 1, 2) SELECT x, y, CAST(coalesce(v, d) AS BIGINT) AS d FROM m LEFT JOIN hit USING (x, y)",
-    "flood_fill": f"""WITH RECURSIVE {PX}, crop AS (SELECT * FROM px WHERE y < 60),{_lab('crop', 'cl')}, e AS (SELECT max(y) AS hy FROM crop),
-f AS (SELECT r, g, b FROM crop WHERE y = 0 UNION ALL SELECT r, g, b FROM crop, e WHERE y = hy UNION ALL SELECT r, g, b FROM crop WHERE x = 0 UNION ALL SELECT r, g, b FROM crop WHERE x = 99),
+    "brush_dabs": f"WITH {GRAY}, {DIM}, db AS (SELECT event_id AS seq, event_id * 7 % 100 AS cx, event_id % h AS cy, event_id % 2 = 0 AS ink FROM events, dim), hit AS (SELECT cx + dx AS x, cy + dy AS y, arg_max(CASE WHEN ink THEN 0 ELSE 255 END, seq) AS v FROM db, range(-5, 6) a(dx), range(-5, 6) b(dy) WHERE dx * dx + dy * dy <= 25 GROUP BY 1, 2) SELECT x, y, CAST(coalesce(v, d) AS BIGINT) AS d FROM m LEFT JOIN hit USING (x, y)",
+    "flood_fill": f"""WITH RECURSIVE {PX},{_lab('px', 'cl')}, e AS (SELECT max(y) AS hy FROM px),
+f AS (SELECT r, g, b FROM px WHERE y = 0 UNION ALL SELECT r, g, b FROM px, e WHERE y = hy UNION ALL SELECT r, g, b FROM px WHERE x = 0 UNION ALL SELECT r, g, b FROM px WHERE x = 99),
 md AS (SELECT r, g, b FROM f GROUP BY 1, 2, 3 ORDER BY count(*) DESC, r, g, b LIMIT 1),{_lab('md', 'mdl')},
 near AS (SELECT x, y FROM cl, (SELECT l AS ml, a AS ma, b_ AS mb FROM mdl) q WHERE sqrt(pow(l - ml, 2) + pow(a - ma, 2) + pow(b_ - mb, 2)) < 12),
-bg(x, y) AS (SELECT near.x, near.y FROM near, e WHERE x = 0 OR x = 99 OR y = 0 OR y = hy UNION SELECT near.x, near.y FROM bg JOIN near ON abs(near.x - bg.x) + abs(near.y - bg.y) = 1)
-SELECT crop.x, crop.y, bg.x IS NULL AS is_fg FROM crop LEFT JOIN bg ON bg.x = crop.x AND bg.y = crop.y""",
+bg(x, y) AS (SELECT near.x, near.y FROM near, e WHERE x = 0 OR x = 99 OR y = 0 OR y = hy UNION SELECT near.x, near.y FROM (SELECT x + dx AS x, y + dy AS y FROM bg, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) o(dx, dy)) n JOIN near ON near.x = n.x AND near.y = n.y)
+SELECT px.x, px.y, bg.x IS NULL AS is_fg FROM px LEFT JOIN bg ON bg.x = px.x AND bg.y = px.y""",
     "edit_stream_latest": "SELECT event_id // 1000 AS generation, user_id % 8 AS layer_idx, arg_max(value, event_id) AS param, max(event_id) AS seq, count(*) AS edits FROM events GROUP BY 1, 2",
     "edit_stream_current": "SELECT event_id // 1000 AS generation, user_id % 8 AS layer_idx, arg_max(value, event_id) AS param, max(event_id) AS seq, count(*) AS edits FROM events WHERE event_id // 1000 = (SELECT max(event_id // 1000) FROM events) GROUP BY 1, 2",
 }

@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 
 from ..functions import color as C
+from ..functions.color import name_of
 from ..functions.tone import CURVES
 from ..operators import palette as P
 from .layer import BLACK, WHITE, Halftone, Layer, MaskShape, RGB, Tone, reindexed
@@ -40,28 +41,6 @@ def _dots(angle: float = -1.0, lpi: float = 0) -> dict:
     return dict(render_mode="halftone", halftone=Halftone(lpi, angle, "round"))
 
 
-def name_of(rgb: RGB) -> str:
-    """color.color_name for one colour, on the driver: the same tree."""
-    r, g, b = rgb
-    high, low = max(rgb), min(rgb)
-    if high < 32:
-        return "black"
-    if low > 224:
-        return "white"
-    if high - low < 20:
-        return "darkgray" if high < 96 else "lightgray" if high > 180 else "gray"
-    if r == high:
-        base = ("yellow" if g > r * 2 // 3 else "magenta" if b > r // 3 else "red") if g >= b else "red"
-    elif g == high:
-        base = "yellow" if r >= b and r > g * 2 // 3 else "green"
-    else:
-        base = "purple" if r > b * 2 // 3 else "cyan" if g > b * 2 // 3 else "blue"
-    if base == "red" and high > 200 and low > 80:
-        return "pink"
-    dark = {"yellow": "olive", "cyan": "teal"}.get(base, f"dark{base}")
-    return dark if high < 110 else base
-
-
 def _spot(px: DataFrame, max_colors: int, least: float, hues: bool) -> list[Layer]:
     found = P.snap_extremes(P.auto_palette(px, max_colors, least)[0])
     found = P.print_order(P.consolidate_by_hue(found) if hues else found)

@@ -296,11 +296,10 @@ def palette_full(spark, sf_dir):
 @query
 def palette_snap(spark, sf_dir):
     """Pure black and white for nearly black and white entries, over part colours."""
-    p = X.table(spark, sf_dir, "part").select("p_partkey", *((F.col("p_partkey") * m % 256).alias(c) for c, m in zip("rgb", (1, 1, 1))))
-    lab = C.with_lab(p)
-    pure = C.chroma() < 10
-    snapped = F.when(pure & (F.col("l") < 15), 0).when(pure & (F.col("l") > 92), 255)
-    return lab.select("p_partkey", *(F.coalesce(snapped, F.col(c)).alias(c) for c in "rgb"))
+    p = X.table(spark, sf_dir, "part").select("p_partkey", *((F.col("p_partkey") % 256).alias(c) for c in "rgb"))
+    grays = [(v, v, v) for v in range(256)]
+    snapped = spark.createDataFrame([(a[0], *b.rgb) for a, b in zip(grays, P.snap_extremes([P.Entry(c, 0.0) for c in grays]))], "v long, r2 long, g2 long, b2 long")
+    return p.join(F.broadcast(snapped), F.col("r") == F.col("v")).select("p_partkey", F.col("r2").alias("r"), F.col("g2").alias("g"), F.col("b2").alias("b"))
 
 
 @query
@@ -331,7 +330,10 @@ def shadow_merge(spark, sf_dir):
 
 @query
 def composite(spark, sf_dir):
-    return L.composite(X.masks(X.px(spark, sf_dir)), X.layers(spark))
+    """Layer 5 is hidden and layer 2 left out of the export; the masks leave a corner bare, where the shirt shows."""
+    image = X.px(spark, sf_dir)
+    layers = X.layers(spark).withColumn("include_in_export", F.col("layer_idx") != 2)
+    return L.composite(X.masks(image).where("x >= 10 or y >= 10"), layers, image)
 
 
 @query
