@@ -42,9 +42,9 @@ def desaturate(px: DataFrame) -> DataFrame:
 def alpha_mask(px: DataFrame) -> DataFrame | None:
     """x, y, is_fg from alpha; None if the image is opaque."""
     keys = keys_of(px)
-    if px.where("a < 255").isEmpty():
+    if px.where("alpha < 255").isEmpty():
         return None
-    return px.select(*keys, "x", "y", (F.col("a") >= 128).alias("is_fg"))
+    return px.select(*keys, "x", "y", (F.col("alpha") >= 128).alias("is_fg"))
 
 
 #: Rows of a band, whose runs one task joins.
@@ -118,7 +118,7 @@ def flood_background(px: DataFrame, tolerance: float = 12.0) -> DataFrame:
 
 def detect_foreground(px: DataFrame, remove: bool = True, tolerance: float = 12.0) -> DataFrame | None:
     """Alpha if there is any, else the flood fill if wanted, else no mask."""
-    mask = alpha_mask(px) if "a" in px.columns else None
+    mask = alpha_mask(px) if "alpha" in px.columns else None
     return mask if mask is not None else flood_background(px, tolerance) if remove else None
 
 

@@ -25,15 +25,18 @@ def union_min(masks: DataFrame) -> DataFrame:
     return masks.groupBy(*_pixel(masks)).agg(F.min("d").alias("d"))
 
 
-def composite_union(masks: DataFrame, layers: DataFrame, px: DataFrame, own: int | None = None) -> DataFrame:
+def composite_union(masks: DataFrame, layers: DataFrame, px: DataFrame, own: int | None = None, size: tuple[int, int] | None = None) -> DataFrame:
     """The union over other layers that are neither underbases nor near-black inks; none where the source is near-black.
 
+    With a size, layers whose masks have another are left out.
+
     layers is one job's list of plates, small beside the masks; Spark broadcasts it by its size.
     """
     sharing = layers.where((F.col("kind") != "underbase") & ~((F.col("r") < 30) & (F.col("g") < 30) & (F.col("b") < 30)))
     if own is not None:
         sharing = sharing.where(F.col("layer_idx") != own)
     key = _pixel(px)
+    masks = of_size(masks, size) if size else masks
     union = union_min(masks.join(sharing.select("layer_idx"), "layer_idx", "left_semi"))
     out = px.select(*key, F.greatest("r", "g", "b").alias("_m")).join(union, key, "left")
     return out.select(*key, F.when(F.col("_m") < 50, 255).otherwise(F.coalesce("d", F.lit(255))).cast("int").alias("d"))
@@ -45,6 +48,11 @@ def same_ink(layers: DataFrame) -> bool:
     return r["n"] >= 2 and r["inks"] == 1
 
 
+def lightest(layers: DataFrame) -> int:
+    """The layer with the lightest ink, the first of equals."""
+    return C.with_lab(layers).orderBy(F.desc("l"), "layer_idx").first()["layer_idx"]
+
+
 def shadow_merge(masks: DataFrame, layers: DataFrame) -> DataFrame:
     """keys, x, y, union_d, shadow_d.
 
@@ -61,11 +69,13 @@ def shadow_merge(masks: DataFrame, layers: DataFrame) -> DataFrame:
     return owned.select(*key, F.when(F.col("o").isNull(), 255).otherwise(0).alias("union_d"), F.coalesce("o.shadow", F.lit(255)).alias("shadow_d"))
 
 
-def composite(masks: DataFrame, layers: DataFrame, px: DataFrame, shirt: RGB = GARMENT) -> DataFrame:
+def composite(masks: DataFrame, layers: DataFrame, px: DataFrame, shirt: RGB = GARMENT, size: tuple[int, int] | None = None) -> DataFrame:
     """Layers that are visible and exported, painted over the shirt in print order, rounding after each: keys, x, y, r, g, b of every pixel of px.
 
-    A pixel that no mask covers shows the shirt.  layers is one job's list, small beside the masks.
+    A pixel that no mask covers shows the shirt.  With a size, layers whose masks have another are left out.  layers is
+    one job's list, small beside the masks.
     """
+    masks = of_size(masks, size) if size else masks
     inks = exportable(layers).select("layer_idx", "print_index", F.col("r").alias("ir"), F.col("g").alias("ig"), F.col("b").alias("ib"))
     key = _pixel(px)
     stack = masks.join(inks, "layer_idx").groupBy(*_pixel(masks)).agg(F.array_sort(F.collect_list(F.struct("print_index", "layer_idx", "d", "ir", "ig", "ib"))).alias("s"))
@@ -170,6 +180,13 @@ def resize_source(px: DataFrame, old: tuple[int, int], width_inches: float | Non
     return out.select(*(c for c in key if c == "image_id"), i, "x", "y", "r", "g", "b"), new
 
 
+def preview_size(masks: DataFrame) -> tuple[int, int]:
+    """The size of the first layer's mask; (1, 1) if there is none."""
+    first = masks.groupBy("layer_idx") if "layer_idx" in masks.columns else masks.groupBy(F.lit(0).alias("layer_idx"))
+    found = first.agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h")).orderBy("layer_idx").first()
+    return (found["w"], found["h"]) if found else (1, 1)
+
+
 def of_size(masks: DataFrame, size: tuple[int, int]) -> DataFrame:
     """The layers (of each image) whose masks have this size; others are left out whole."""
     keys = [c for c in ("image_id", "layer_idx") if c in masks.columns]

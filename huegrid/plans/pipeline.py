@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .._stage import checkpointed
 from ..functions import color as C
 from ..functions import tone
 from ..operators import extract as E
@@ -93,31 +94,39 @@ def _extract_together(src: DataFrame, group: list[tuple[int, Layer]]) -> DataFra
 
 
 def separate(px: DataFrame, layers: list[Layer], size: tuple[int, int], job: Job = Job(), fg: DataFrame | None = None, clamp: int = foreground.NEAR_BLACK, processed: bool = True, only_visible: bool = False) -> DataFrame:
-    """All plates of a job: layer_idx, x, y, d.  Layers that union others run after those."""
+    """All plates of a job: layer_idx, x, y, d.  Layers that union others run after those, whose previews are then written once."""
     src = foreground.clamp_near_black(px, clamp) if clamp else px
     plan = [(i, x) for i, x in enumerate(layers) if not only_visible or (x.visible and x.include_in_export)]
-    plates, previews = [], []
+    unions = [(i, x) for i, x in plan if x.extractor["kind"] == "composite_union"]
+    previews, first = [], []
     for group in _groups([(i, x) for i, x in plan if x.extractor["kind"] != "composite_union"]):
         i, x = group[0]
         if len(group) > 1:
-            preview, final = process_layer(src, x, size, job, fg, extracted=_extract_together(src, group))
+            preview = shape(_extract_together(src, group), x, fg)
         else:
-            preview, final = (p.withColumn("layer_idx", F.lit(i)) for p in process_layer(src, x, size, job, fg))
-        previews.append(preview)
-        plates.append(final if processed else preview)
-    for i, x in plan:
-        if x.extractor["kind"] == "composite_union":
-            if previews:
-                masks = previews[0]
-                for p in previews[1:]:
-                    masks = masks.unionByName(p)
-                rows = px.sparkSession.createDataFrame(layer_rows(layers), LAYER_SCHEMA)
-                union = L.composite_union(masks, rows, src, own=i)
-            else:
-                union = E.extract(src, x.extractor)
-            preview, final = process_layer(src, x, size, job, fg, extracted=union)
-            plates.append((final if processed else preview).withColumn("layer_idx", F.lit(i)))
-    out = plates[0]
-    for p in plates[1:]:
+            preview = shape(E.extract(src, x.extractor), x, fg).withColumn("layer_idx", F.lit(i))
+        previews.append((group, preview))
+    if unions and previews:  # the unions and the plates both read the previews
+        columns = previews[0][1].columns
+        masks = checkpointed(_together([p.select(columns) for _, p in previews]))
+        previews = [(group, masks.where(F.col("layer_idx").isin([i for i, _ in group]))) for group, _ in previews]
+    for group, preview in previews:
+        i, x = group[0]
+        final = preview if not processed else render(preview, x, size, job, fg) if len(group) > 1 else render(preview.drop("layer_idx"), x, size, job, fg).withColumn("layer_idx", F.lit(i))
+        first.append(final)
+    for i, x in unions:
+        if previews:
+            rows = px.sparkSession.createDataFrame(layer_rows(layers), LAYER_SCHEMA)
+            union = L.composite_union(masks, rows, src, own=i)
+        else:
+            union = E.extract(src, x.extractor)
+        preview, final = process_layer(src, x, size, job, fg, extracted=union)
+        first.append((final if processed else preview).withColumn("layer_idx", F.lit(i)))
+    return _together(first)
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
         out = out.unionByName(p)
     return out

@@ -214,8 +214,8 @@ def test_flood_fill_keeps_an_enclosed_interior(spark):
 
 def test_alpha_mask(spark):
     px = pixels(spark, [[(1, 1, 1)] * 2])
-    assert G.alpha_mask(px.withColumn("a", F.lit(255))) is None
-    got = G.alpha_mask(px.withColumn("a", F.col("x") * 200)).orderBy("x").collect()
+    assert G.alpha_mask(px.withColumn("alpha", F.lit(255))) is None
+    got = G.alpha_mask(px.withColumn("alpha", F.col("x") * 200)).orderBy("x").collect()
     assert [r["is_fg"] for r in got] == [False, True]
 
 

@@ -70,7 +70,7 @@ def test_png_round_trip_and_resolution(spark, tmp_path):
     (tmp_path / "in" / "a.png").write_bytes(images.encode_png(rgb))
     for read in (images.read_png, images.read_images):
         f = read(spark, f"file://{tmp_path}/in").orderBy("i").toPandas()
-        assert (f[["r", "g", "b"]].to_numpy().reshape(4, 3, 3) == rgb).all() and (f["a"] == 255).all(), read
+        assert (f[["r", "g", "b"]].to_numpy().reshape(4, 3, 3) == rgb).all() and (f["alpha"] == 255).all(), read
     with pytest.raises(ValueError):
         images.decode_png(b"GIF89a")
 
