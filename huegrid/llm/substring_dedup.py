@@ -15,8 +15,9 @@ automaton to every document would cost shards times documents.
 
 Before that, segments whose anchor occurs once are dropped, since their
 windows cannot repeat.  Anchors with more than HOT occurrences would make one
-unbounded shard; their windows are counted, with partial sums before the
-shuffle, by 128-bit hashes instead.  Documents with the same word sequence are
+unbounded shard; their windows are counted by 128-bit hashes instead.  Windows
+that repeat within a batch are settled there, and only one row of each is left
+to count, so a common passage moves once a batch.  Documents with the same word sequence are
 one class whose windows weigh as many as the class has documents.
 
 With a given reference table (`remove_reference_spans`), its automata are
@@ -107,19 +108,43 @@ def _found(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(lean(run), _FOUND)
 
 
-_CUT = "key long, hot boolean, start int, anchor long, data binary, h1 long, h2 long, mult long"
+#: kind 0: the words of a segment of a cold anchor, in data; 1: windows to count by h1 and h2 (key null: only to be counted); 2: a span start..z that repeats.
+_CUT = "kind int, key long, start int, z int, anchor long, data binary, h1 long, h2 long, mult long"
+_CUT_KINDS = dict(kind=pa.int32(), key=pa.int64(), start=pa.int32(), z=pa.int32(), anchor=pa.int64(), data=pa.binary(), h1=pa.int64(), h2=pa.int64(), mult=pa.int64())
 
 
-def _cut(needed: DataFrame, docs: DataFrame, window: int) -> DataFrame:
-    """The words of segments; for hot anchors, the two hashes of every window."""
+def _cut_rows(n: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in _CUT_KINDS.items()], list(_CUT_KINDS))
+
+
+def _settled(key: np.ndarray, at: np.ndarray, one: np.ndarray, two: np.ndarray, mult: np.ndarray, window: int) -> Iterator[pa.RecordBatch]:
+    """The windows of hot anchors in a batch: those that repeat here as spans, with one row of each left to count; the others to count."""
+    order = np.lexsort((two, one))
+    same = np.append(False, (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1]))
+    group = np.cumsum(~same) - 1
+    again = np.bincount(group, mult[order]) > 1
+    found = np.zeros(len(order), bool)
+    found[order] = again[group]
+    first = order[np.flatnonzero(~same)[again]]
+    yield _cut_rows(len(first), kind=np.ones(len(first), np.int32), h1=one[first].astype(np.int64), h2=two[first].astype(np.int64), mult=np.full(len(first), 2))
+    rest = np.flatnonzero(~found)
+    yield _cut_rows(len(rest), kind=np.ones(len(rest), np.int32), key=key[rest], start=at[rest].astype(np.int32), h1=one[rest].astype(np.int64), h2=two[rest].astype(np.int64), mult=mult[rest])
+    key, at = key[found], at[found]
+    order = np.lexsort((at, key))
+    key, at = key[order], at[order]
+    new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (np.diff(at) > window))) if len(key) else np.zeros(0, int)
+    last = np.append(new[1:], len(key))[: len(new)] - 1
+    yield _cut_rows(len(new), kind=np.full(len(new), 2, np.int32), key=key[new], start=at[new].astype(np.int32), z=(at[last] + window).astype(np.int32))
 
-    names = ["key", "hot", "start", "anchor", "data", "h1", "h2", "mult"]
-    kinds = (pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+
+def _cut(needed: DataFrame, docs: DataFrame, window: int) -> DataFrame:
+    """The words of segments; for hot anchors, the two hashes of every window that does not repeat in its batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            hot = []
             for i, j, data, offsets in text_chunks(b.column("text"), 1 << 20):
-                words, cold, hot = Words(data, offsets), [], []
+                words, cold = Words(data, offsets), []
                 keys, mults, wanted = (b.column(c).slice(i, j - i).to_pylist() for c in ("key", "mult", "wanted"))
                 for k, (key, mult, some) in enumerate(zip(keys, mults, wanted)):
                     h = words.hashes[words.first[k] : words.first[k + 1]]
@@ -128,18 +153,16 @@ def _cut(needed: DataFrame, docs: DataFrame, window: int) -> DataFrame:
                     one = two = None
                     for s in some:
                         if not s["hot"]:
-                            cold.append((key, False, s["start"], s["anchor"], h[s["start"] : s["start"] + s["n"] + window - 1].tobytes(), None, None, mult))
+                            cold.append((key, s["start"], s["anchor"], h[s["start"] : s["start"] + s["n"] + window - 1].tobytes(), mult))
                             continue
                         if one is None:
                             one, two = ngrams(h, window), ngrams(mix(h + _U(99)), window)
                         at = np.arange(s["start"], s["start"] + s["n"])
                         hot.append((np.full(len(at), key), at, one[at], two[at], np.full(len(at), mult)))
                 if cold:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cold), kinds)], names)
-                if hot:
-                    key, at, one, two, mult = (np.concatenate(c) for c in zip(*hot))
-                    n = len(key)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.ones(n, bool)), pa.array(at.astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(one.astype(np.int64)), pa.array(two.astype(np.int64)), pa.array(mult)], names)
+                    yield _cut_rows(len(cold), kind=[0] * len(cold), **dict(zip(("key", "start", "anchor", "data", "mult"), zip(*cold))))
+            if hot:
+                yield from _settled(*(np.concatenate(c) for c in zip(*hot)), window)
 
     one = docs.join(needed, ["doc_id", "t"]).dropDuplicates(["doc_id", "t"])  # of equal rows
     return one.select("key", "mult", "wanted", "text").mapInArrow(lean(run), _CUT)
@@ -225,11 +248,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, passed: list[str] | No
     shards = max(1, -(-size // SHARD_WORDS))
 
     cut = staged(_cut(needed, docs, window), "cut")
-    cold = cut.where("not hot").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    cold = cut.where("kind = 0").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     spans = cold.select("shard", "key", "start", "data", "mult").groupBy("shard").applyInPandas(_shard_spans(window), "key long, a int, z int")
-    hot = cut.where("hot").select("key", "start", "h1", "h2", "mult")
+    hot = cut.where("kind = 1").select("key", "start", "h1", "h2", "mult")
     again = staged(hot.groupBy("h1", "h2").agg(F.sum("mult").alias("total")).where("total > 1").select("h1", "h2"), "again")
-    more = hot.join(again, ["h1", "h2"]).select("key", F.col("start").alias("a"), (F.col("start") + window).alias("z"))
+    more = hot.where("key is not null").join(again, ["h1", "h2"]).select("key", F.col("start").alias("a"), (F.col("start") + window).alias("z"))
+    more = more.unionByName(cut.where("kind = 2").select("key", F.col("start").alias("a"), "z"))
     covered = spans.unionByName(more).groupBy("key").agg(F.collect_set(F.struct("a", "z")).alias("spans"))
     covered = staged(covered, "covered")
     discard(classes, counts, needed, cut, again)
