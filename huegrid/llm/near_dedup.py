@@ -90,7 +90,7 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """(token, node) of each class's prefix."""
+    """(token, node, n_shingles) of each class's prefix."""
     tokens = F.transform("sig", lambda v, k: F.shiftleft(k.cast("long"), 32).bitwiseOR(v.cast("long")))
     total = classes.count() * COORDINATES
     often = max(SMALL_LIST, total // MOST_FREQUENT)
@@ -109,9 +109,10 @@ def _postings(classes: DataFrame) -> DataFrame:
                 at = np.minimum(np.searchsorted(frequent, t), len(frequent) - 1)
                 rank |= (frequent[at] == t).astype(np.uint64) << _U(63)
             first = np.take_along_axis(t, np.argsort(rank, axis=1, kind="stable")[:, :_PREFIX], 1)
-            yield pa.RecordBatch.from_arrays([pa.array(first.ravel()), pa.array(np.repeat(b.column("node").to_numpy(), _PREFIX))], ["token", "node"])
+            each = lambda c: pa.array(np.repeat(b.column(c).to_numpy(), _PREFIX))
+            yield pa.RecordBatch.from_arrays([pa.array(first.ravel()), each("node"), each("n_shingles")], ["token", "node", "n_shingles"])
 
-    return classes.select("node", "sig").mapInArrow(lean(run), "token long, node long")
+    return classes.select("node", "n_shingles", "sig").mapInArrow(lean(run), "token long, node long, n_shingles long")
 
 
 def _matching(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -221,13 +222,13 @@ def _stray_links(members: DataFrame, classes: DataFrame, texts: DataFrame) -> Da
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data = [np.array(v, np.int32).tobytes() for v in b.column("sig").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("n_shingles"), pa.array(data, pa.binary())], ["node", "n_shingles", "data"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "n_shingles", "low", "high")), pa.array(data, pa.binary())], ["node", "n_shingles", "low", "high", "data"])
 
     members = members.withColumn("coordinate", F.shiftright("token", 32).cast("int"))
     bit = lambda a, z: F.coalesce(F.bit_or(F.when(F.col("coordinate").between(a, z), F.expr(f"shiftleft(1L, coordinate - {a})"))), F.lit(0))
     own = members.groupBy("node").agg(bit(0, 47).cast("long").alias("low"), bit(48, 95).cast("long").alias("high"))
-    packed = classes.join(own, "node").select("node", "n_shingles", "sig").mapInArrow(pack, "node long, n_shingles long, data binary")
-    m = members.join(staged(packed.join(own, "node").join(texts, "node"), "packed"), "node")
+    packed = classes.join(own, "node").select("node", "n_shingles", "low", "high", "sig").mapInArrow(lean(pack), "node long, n_shingles long, low long, high long, data binary")
+    m = members.join(staged(packed.join(texts, "node"), "packed"), "node")
     m = m.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("stray", F.col("rnode") != F.col("main"))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
     m = m.withColumn("p", F.explode(pair)).select("*", "p.i", "p.j").drop("p", "main", "blocks")
@@ -258,24 +259,24 @@ def _labelled(docs: DataFrame) -> DataFrame:
     lists = staged(lists.select("token", "m", F.col("p.node").alias("pivot")), "lists")
     small = postings.join(lists.where(F.col("m") <= SMALL_LIST), "token").select("token", "node")
     pairs = small.select("token", F.col("node").alias("a")).join(small.select("token", F.col("node").alias("b")), "token").where("a < b").select("a", "b")
-    long = staged(postings.join(lists.where(F.col("m") > SMALL_LIST), "token").select("token", "node", "pivot"), "long")
+    long = staged(postings.join(lists.where(F.col("m") > SMALL_LIST), "token").select("token", "node", "n_shingles", "pivot"), "long")
     pairs = pairs.unionByName(long.where("node != pivot").select(*_ordered("node", "pivot"))).distinct()
     candidates = staged(_matching(pairs, classes), "candidates")
     discard(postings, lists)
 
     # whole texts of the classes that have a candidate or are in a long list; one document stands for its class
-    ends = candidates.select(F.explode(F.array("a", "b")).alias("node")).unionByName(long.select("node")).distinct()
+    ends = candidates.select(F.col("a").alias("node")).unionByName(candidates.select(F.col("b").alias("node"))).unionByName(long.select("node")).distinct()
     texts = staged(_texts_of(docs, classes.join(ends, "node", "left_semi")), "texts")
 
     # first the best candidate of each class
-    by = candidates.select(F.explode(F.array(F.struct(F.col("a").alias("node"), "matches", "a", "b"), F.struct(F.col("b").alias("node"), "matches", "a", "b"))).alias("e")).select("e.*")
-    best = by.groupBy("node").agg(F.max(F.struct("matches", "a", "b")).alias("e")).select("e.a", "e.b").distinct()
+    of = lambda c: candidates.select(F.col(c).alias("node"), F.struct("matches", "a", "b").alias("e"))
+    best = of("a").unionByName(of("b")).groupBy("node").agg(F.max("e").alias("e")).select("e.a", "e.b").distinct()
     links = staged(_confirmed(best, texts), "confirmed")
     roots = components(links)
 
     # then whatever still joins two components
     label = lambda df, c: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
-    apart = label(long, "node").join(classes.select("node", "n_shingles"), "node").select("token", "node", "rnode", "n_shingles")
+    apart = label(long, "node").select("token", "node", "rnode", "n_shingles")
     counts = apart.groupBy("token", "rnode").agg(F.count("*").alias("count"), F.sum("n_shingles").alias("w"))
     counts = counts.groupBy("token").agg(F.count("*").alias("n"), F.sum("count").alias("m"), F.sum("w").alias("w"), F.max(F.struct("count", "rnode")).alias("top")).where("n > 1")
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int")
