@@ -14,10 +14,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .._stage import checkpointed
 from ..functions import color as C
 from .extract import RGB, nearest
 
-SAMPLE, ROUNDS, STILL, CHROMA_BINS = 80_000, 15, 0.5, 4096
+SAMPLE, ROUNDS, STILL, CHROMA_BINS, NINE = 80_000, 15, 0.5, 4096, 1e9
 
 
 @dataclass(frozen=True)
@@ -58,7 +59,8 @@ def p95_chroma(px: DataFrame, width: int, height: int) -> DataFrame:
     """
     step = max(min(width, height) // 100, 1)
     c = C.with_lab(px.where((F.col("x") % step == 0) & (F.col("y") % step == 0))).select(C.chroma().alias("chroma"))
-    c = c.withColumn("bin", F.least(F.floor(F.col("chroma") * (CHROMA_BINS / 256)), F.lit(CHROMA_BINS)))
+    # written once: both passes read it, and a filter on bin would otherwise repeat the colour maths in one huge expression
+    c = checkpointed(c.withColumn("bin", F.least(F.floor(F.col("chroma") * (CHROMA_BINS / 256)), F.lit(CHROMA_BINS))))
     counts = sorted((r["bin"], r["count"]) for r in c.groupBy("bin").count().collect())  # at most CHROMA_BINS + 1 rows
     rank = math.floor(sum(n for _, n in counts) * 0.95)
     at = None
@@ -123,16 +125,17 @@ def consolidate_by_hue(palette: list[Entry], hue_tolerance: float = 10.0, gray_c
 
 
 def _distances(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    """CIE94 of each point to each centre, whose chroma scales."""
+    """CIE94 of each point to each centre, whose chroma scales, in units of its ninth place, so that ties do not hang on the last bits."""
     cp, cc = np.hypot(points[:, 1], points[:, 2])[:, None], np.hypot(centers[:, 1], centers[:, 2])[None, :]
     dl, dc = points[:, 0, None] - centers[None, :, 0], cp - cc
     dh2 = np.maximum((points[:, 1, None] - centers[None, :, 1]) ** 2 + (points[:, 2, None] - centers[None, :, 2]) ** 2 - dc**2, 0)
-    return np.sqrt((dl / 2) ** 2 + (dc / (1 + 0.048 * cc)) ** 2 + dh2 / (1 + 0.014 * cc) ** 2)
+    return np.floor(np.sqrt((dl / 2) ** 2 + (dc / (1 + 0.048 * cc)) ** 2 + dh2 / (1 + 0.014 * cc) ** 2) * NINE + 0.5)
 
 
 def _ranges(box: np.ndarray) -> np.ndarray:
+    """Extents along L (half weight), a and b, to nine places, so that ties do not hang on the last bits."""
     span = box.max(axis=0) - box.min(axis=0)
-    return span * (0.5, 1.0, 1.0)
+    return (span * (0.5, 1.0, 1.0)).round(9)
 
 
 def median_cut(points: np.ndarray, boxes: int) -> np.ndarray:
@@ -171,7 +174,7 @@ def refine(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
 
 def assignment(lab: DataFrame, centers: list[tuple[float, float, float]]) -> DataFrame:
     """lab with k, the index of the nearest centre, the lowest among equals."""
-    return lab.withColumn("k", nearest([C.delta_e94("l", "a", "b_", *map(float, c)) for c in centers])["i"])
+    return lab.withColumn("k", nearest([F.floor(C.delta_e94("l", "a", "b_", *map(float, c)) * NINE + 0.5) for c in centers])["i"])
 
 
 def kmeans_step(lab: DataFrame, centers: list[tuple[float, float, float]]) -> DataFrame:
@@ -186,7 +189,7 @@ def auto_palette(px: DataFrame, max_colors: int, min_coverage: float) -> tuple[l
         return [], []
     stride = max(-(-total // SAMPLE), 1)
     sample = C.with_lab(px.where(F.col("i") % stride == 0)).select("i", "l", "a", "b_").toPandas().sort_values("i")
-    points = sample[["l", "a", "b_"]].to_numpy(float)
+    points = sample[["l", "a", "b_"]].to_numpy(float).round(9) + 0.0  # grays are equal along a and b
     centers = [tuple(c) for c in refine(points, median_cut(points, max(2 * max_colors, 4))).tolist()]
     counts = {r["k"]: r["count"] for r in assignment(C.with_lab(px), centers).groupBy("k").count().collect()}  # a row a centre
     found = [Entry(C.rgb_of(c), counts.get(k, 0) / total) for k, c in enumerate(centers)]

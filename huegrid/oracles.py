@@ -1,7 +1,7 @@
 """The queries of huegrid.queries in DuckDB SQL, written apart from the DataFrame code.
 
-Neighbourhoods are joins instead of windows, the halftone draws its dots
-forward from the cells, the flood fill is a recursive query.
+Neighbourhoods are joins instead of windows; the flood fill, error diffusion
+(a row a step), median cut and k-means are recursive queries.
 """
 
 from __future__ import annotations
@@ -315,6 +315,160 @@ ORACLES |= {
     "requantized": f"WITH {LAB}, {_colors(BASE, 't')}, e AS (SELECT i, x, y, idx, row_number() OVER (PARTITION BY i ORDER BY {_de94('l', 'a', 'b_', 'tl', 'ta', 'tb')}, idx) AS rn FROM lab, t) SELECT i, x, y, CAST(v.r AS BIGINT) AS r, CAST(v.g AS BIGINT) AS g, CAST(v.b AS BIGINT) AS b FROM e JOIN t_v v USING (idx) WHERE rn = 1",
 }
 
+# error diffusion, resampling, whole palettes and the jobs that need them
+
+_STEP = "{'v': %s, 'c': 0e0, 'q': []::DOUBLE[], 'o': []::BIGINT[]}"
+_DIFFUSED = f"""line AS MATERIALIZED (SELECT y, list(d::DOUBLE ORDER BY x) AS d FROM m GROUP BY y),
+fs(y, e, o) AS (SELECT -1::BIGINT, list_transform(range(w), lambda k: 0e0), []::BIGINT[] FROM dim
+UNION ALL SELECT y, CASE WHEN y % 2 = 0 THEN r.q ELSE list_reverse(r.q) END, CASE WHEN y % 2 = 0 THEN r.o ELSE list_reverse(r.o) END FROM (
+  SELECT y, list_reduce(CASE WHEN y % 2 = 0 THEN s ELSE list_reverse(s) END,
+    lambda a, p: {{'v': p.v, 'c': (p.v + a.c - CASE WHEN p.v + a.c < 128 THEN 0e0 ELSE 255e0 END) * 7 / 16, 'q': list_append(a.q, p.v + a.c - CASE WHEN p.v + a.c < 128 THEN 0e0 ELSE 255e0 END), 'o': list_append(a.o, CASE WHEN p.v + a.c < 128 THEN 0 ELSE 255 END)}}, {_STEP % '0e0'}) AS r FROM (
+    SELECT line.y, list_transform(range(1, len(line.d) + 1), lambda k: {_STEP % "line.d[k] + CASE WHEN k - step BETWEEN 1 AND len(e) THEN e[k - step] / 16 ELSE 0 END + e[k] * 5 / 16 + CASE WHEN k + step BETWEEN 1 AND len(e) THEN e[k + step] * 3 / 16 ELSE 0 END"}) AS s
+    FROM (SELECT *, CASE WHEN (fs.y) % 2 = 0 THEN 1 ELSE -1 END AS step FROM fs) fs JOIN line ON line.y = fs.y + 1)))"""
+
+
+def _index_fs(lab: str, targets: str) -> str:
+    """idx of every pixel of `lab` diffused over the colours of `targets` (idx, tl, ta, tb)"""
+    zero = "{'l': 0e0, 'a': 0e0, 'b': 0e0}"
+    blank = f"{{'v': %s, 'c': {zero}, 'q': []::STRUCT(l DOUBLE, a DOUBLE, b DOUBLE)[], 'o': []::BIGINT[]}}"
+    dist = "list_transform(ts, lambda t: pow((v.l - t.l) / 2e0, 2) + pow((sqrt(v.a * v.a + v.b * v.b) - t.c) / (1 + 0.048e0 * t.c), 2) + greatest(pow(v.a - t.a, 2) + pow(v.b - t.b, 2) - pow(sqrt(v.a * v.a + v.b * v.b) - t.c, 2), 0) / pow(1 + 0.014e0 * t.c, 2))"
+    part = lambda c: f"line.p[k].{c} + CASE WHEN k - step BETWEEN 1 AND len(e) THEN e[k - step].{c} / 16 ELSE 0 END + e[k].{c} * 5 / 16 + CASE WHEN k + step BETWEEN 1 AND len(e) THEN e[k + step].{c} * 3 / 16 ELSE 0 END"
+    return f"""ts AS MATERIALIZED (SELECT list({{'l': tl, 'a': ta, 'b': tb, 'c': sqrt(ta * ta + tb * tb)}} ORDER BY idx) AS ts FROM {targets}),
+line AS MATERIALIZED (SELECT y, list({{'l': l, 'a': a, 'b': b_}} ORDER BY x) AS p FROM {lab} GROUP BY y),
+fs(y, e, o) AS (SELECT -1::BIGINT, list_transform(range(w), lambda k: {zero}), []::BIGINT[] FROM dim
+UNION ALL SELECT y, CASE WHEN y % 2 = 0 THEN r.q ELSE list_reverse(r.q) END, CASE WHEN y % 2 = 0 THEN r.o ELSE list_reverse(r.o) END FROM (
+  SELECT y, list_reduce(CASE WHEN y % 2 = 0 THEN s ELSE list_reverse(s) END, lambda z, p:
+    list_transform([{{'l': p.v.l + z.c.l, 'a': p.v.a + z.c.a, 'b': p.v.b + z.c.b}}], lambda v:
+    list_transform([list_position({dist}, list_min({dist}))], lambda k:
+    list_transform([{{'l': v.l - ts[k].l, 'a': v.a - ts[k].a, 'b': v.b - ts[k].b}}], lambda q:
+    {{'v': p.v, 'c': {{'l': q.l * 7 / 16, 'a': q.a * 7 / 16, 'b': q.b * 7 / 16}}, 'q': list_append(z.q, q), 'o': list_append(z.o, (k - 1)::BIGINT)}})[1])[1])[1], {blank % zero}) AS r FROM (
+    SELECT line.y, ts, list_transform(range(1, len(line.p) + 1), lambda k: {blank % ("{'l': " + part('l') + ", 'a': " + part('a') + ", 'b': " + part('b') + "}")}) AS s
+    FROM (SELECT *, CASE WHEN fs.y % 2 = 0 THEN 1 ELSE -1 END AS step FROM fs) fs JOIN line ON line.y = fs.y + 1, ts)))"""
+
+
+ORACLES["floyd_steinberg"] = f"WITH RECURSIVE {GRAY}, {DIM}, {_DIFFUSED} SELECT unnest(range(len(o))) AS x, y, unnest(o) AS d FROM fs WHERE y >= 0"
+ORACLES["index_floyd_steinberg"] = f"WITH RECURSIVE {LAB}, {DIM}, {_colors(TARGETS, 't')}, {_index_fs('lab', 't')} SELECT unnest(range(len(o))) AS x, y, unnest(o) AS idx FROM fs WHERE y >= 0"
+
+
+def _lanczos_taps(out: str, a: str, b: str) -> str:
+    return f"""{out}_s AS (SELECT n, k, (k + 0.5e0 - (n + 0.5e0) * ({a} / CAST({b} AS DOUBLE))) / greatest({a} / CAST({b} AS DOUBLE), 1) AS t FROM dim, range(100000) n_(n), range(100000) k_(k)
+  WHERE n < {b} AND k < {a} AND abs((k + 0.5e0 - (n + 0.5e0) * ({a} / CAST({b} AS DOUBLE))) / greatest({a} / CAST({b} AS DOUBLE), 1)) < 3),
+{out}_w AS (SELECT n, k, CASE WHEN t = 0 THEN 1e0 ELSE 3 * sin(pi() * t) * sin(pi() * t / 3) / pow(pi() * t, 2) END AS v FROM {out}_s), {out} AS (SELECT n, k, v / sum(v) OVER (PARTITION BY n) AS v FROM {out}_w)"""
+
+
+ORACLES["lanczos_resize"] = f"""WITH {GRAY}, {DIM}, {_lanczos_taps('tx', 'w', '(w // 2)')}, {_lanczos_taps('ty', 'h', '(h // 3)')},
+hz AS (SELECT n AS x, y, sum(d * v) AS d FROM m JOIN tx ON k = x GROUP BY 1, 2) SELECT x, n AS y, {_byte('sum(d * v)')} AS d FROM hz JOIN ty ON k = y GROUP BY 1, 2"""
+
+
+def _palette(source: str, colors: int, least: float, out="pal") -> str:
+    """The palette of a pixel relation (x, y, r, g, b, l, a, b_, i): idx, r, g, b, coverage by descending coverage."""
+    boxes = max(2 * colors, 4)
+    near = lambda l, a, b: f"(floor({_de94(l, a, b, 'c.l', 'c.a', 'c.b_')} * 1e9 + 0.5e0), c.k)"
+    return f"""
+{out}_s AS MATERIALIZED (SELECT i, round(l, 9) + 0e0 AS l, round(a, 9) + 0e0 AS a, round(b_, 9) + 0e0 AS b_ FROM {source}, (SELECT greatest((count(*) + 79999) // 80000, 1) AS stride FROM {source}) WHERE i % stride = 0),
+{out}_mc(step, i, l, a, b_, box, r) AS (SELECT 0, i, l, a, b_, 0, i FROM {out}_s UNION ALL
+SELECT step + 1, i, l, a, b_, CASE WHEN box <> pick THEN box WHEN rn <= n // 2 THEN 2 * step + 2 ELSE 2 * step + 3 END, CASE WHEN box = pick THEN rn ELSE r END FROM (
+  SELECT *, first_value(box) OVER (ORDER BY wide DESC, box DESC) AS pick, max(wide) OVER () AS widest, row_number() OVER (PARTITION BY box ORDER BY CASE WHEN ra >= rl AND ra >= rb THEN a WHEN rb >= rl THEN b_ ELSE l END, r) AS rn FROM (
+    SELECT *, greatest(rl, ra, rb) AS wide FROM (
+      SELECT *, count(*) OVER q AS n, round((max(l) OVER q - min(l) OVER q) * 0.5e0, 9) AS rl, round(max(a) OVER q - min(a) OVER q, 9) AS ra, round(max(b_) OVER q - min(b_) OVER q, 9) AS rb FROM {out}_mc WINDOW q AS (PARTITION BY box)))) WHERE step < {boxes - 1} AND widest >= 1),
+{out}_seed AS MATERIALIZED (SELECT row_number() OVER (ORDER BY box) - 1 AS k, l, a, b_ FROM (SELECT box, avg(l) AS l, avg(a) AS a, avg(b_) AS b_ FROM {out}_mc WHERE step = (SELECT max(step) FROM {out}_mc) GROUP BY box)),
+{out}_km(step, moved, cs) AS (SELECT 0, 1e9, list({{'k': k, 'l': l, 'a': a, 'b_': b_}} ORDER BY k) FROM {out}_seed UNION ALL
+SELECT any_value(step) + 1, sum(d), list({{'k': k, 'l': nl, 'a': na, 'b_': nb}} ORDER BY k) FROM (
+  SELECT step, o.k, coalesce(ml, o.l) AS nl, coalesce(ma, o.a) AS na, coalesce(mb, o.b_) AS nb, {_de94('o.l', 'o.a', 'o.b_', 'coalesce(ml, o.l)', 'coalesce(ma, o.a)', 'coalesce(mb, o.b_)')} AS d FROM (
+    SELECT step, o, ml, ma, mb FROM (SELECT step, unnest(cs) AS o FROM {out}_km WHERE step < 15 AND moved >= 0.5) LEFT JOIN (
+      SELECT k, avg(l) AS ml, avg(a) AS ma, avg(b_) AS mb FROM (SELECT p.l, p.a, p.b_, arg_min(c.k, {near('p.l', 'p.a', 'p.b_')}) AS k FROM {out}_s p, (SELECT unnest(cs) AS c FROM {out}_km) GROUP BY p.i, p.l, p.a, p.b_) GROUP BY k) ON o.k = k)) HAVING count(*) > 0),
+{out}_c AS MATERIALIZED (SELECT o.k AS k, o.l AS l, o.a AS a, o.b_ AS b_ FROM (SELECT unnest(cs) AS o FROM {out}_km WHERE step = (SELECT max(step) FROM {out}_km))),
+{out}_n AS (SELECT k, count(*) AS n FROM (SELECT arg_min(c.k, {near('p.l', 'p.a', 'p.b_')}) AS k FROM {source} p, {out}_c c GROUP BY p.i) GROUP BY k),
+{out}_m AS (SELECT k, l, a, b_, n / (sum(n) OVER ())::DOUBLE AS coverage FROM {out}_c JOIN {out}_n USING (k)),{_to_rgb(out + '_m').replace('u1', out + '_u1').replace('u2', out + '_u2').replace('u3', out + '_u3')},
+{out} AS (SELECT row_number() OVER (ORDER BY coverage DESC, k) - 1 AS idx, r2 AS r, g2 AS g, b2 AS b, coverage FROM {out}_u3 WHERE coverage >= {least} QUALIFY row_number() OVER (ORDER BY coverage DESC, k) <= {colors})"""
+
+
+ORACLES["palette_full"] = f"WITH RECURSIVE {LAB}, {_palette('lab', 8, 0.002)} SELECT idx, r, g, b, round(coverage, 4) AS coverage FROM pal"
+
+
+def _snapped(pal: str, out: str) -> str:
+    """pal with nearly black and nearly white entries pure."""
+    pure = lambda c: f"CASE WHEN sqrt(a * a + b_ * b_) < 10 AND l < 15 THEN 0 WHEN sqrt(a * a + b_ * b_) < 10 AND l > 92 THEN 255 ELSE {c} END AS {c}"
+    return f"{_lab(pal, out + '_l').lstrip()}, {out} AS (SELECT idx, {', '.join(map(pure, 'rgb'))} FROM {out}_l)"
+
+
+def _inks(rows: str, out: str) -> str:
+    """idx, tl, ta, tb of a relation idx, r, g, b"""
+    return f"{_lab(rows, out + '_k').lstrip()}, {out} AS (SELECT idx, r, g, b, l AS tl, a AS ta, b_ AS tb FROM {out}_k)"
+
+
+def _blurred_plates(source: str, out: str, sigma: float) -> str:
+    """Plates (k, x, y, d) blurred, then cut at 128."""
+    r = math.ceil(2 * sigma)
+    w = [math.exp(-k * k / (2 * sigma * sigma)) for k in range(-r, r + 1)]
+    taps = ", ".join(f"({k - r}, {v / sum(w)!r}::DOUBLE)" for k, v in enumerate(w))
+    return f"""{out}_t(o, w_) AS (VALUES {taps}),
+{out}_h AS (SELECT p.k, p.x, p.y, sum(w_ * q.d) AS d FROM {source} p, {out}_t, dim JOIN {source} q ON q.k = p.k AND q.y = p.y AND q.x = least(greatest(p.x + o, 0), w - 1) GROUP BY ALL),
+{out}_v AS (SELECT p.k, p.x, p.y, sum(w_ * q.d) AS d FROM {out}_h p, {out}_t, dim JOIN {out}_h q ON q.k = p.k AND q.x = p.x AND q.y = least(greatest(p.y + o, 0), h - 1) GROUP BY ALL),
+{out} AS (SELECT k, x, y, CASE WHEN {_byte('d')} < 128 THEN 0 ELSE 255 END AS d FROM {out}_v)"""
+
+
+def _covered(plates: str) -> str:
+    return f"SELECT CAST(k AS BIGINT) AS layer_idx, round(avg(CASE WHEN d < 128 THEN 1e0 ELSE 0e0 END), 6) AS coverage FROM {plates} GROUP BY k"
+
+
+def _index_job(assigned: str) -> str:
+    return f"WITH RECURSIVE {SOURCE},{_lab('px', 'plab')}, {_palette('plab', 16, 0.002)}, {_snapped('pal', 'sn')}, {_inks('sn', 't')}, {assigned}, plates AS MATERIALIZED (SELECT t.idx AS k, x, y, CASE WHEN given.idx = t.idx THEN 0 ELSE 255 END AS d FROM given, t), {_blurred_plates('plates', 'cut', 1.5)} {_covered('cut')}"
+
+
+ORACLES["full_index_bayer"] = _index_job(f"sh AS (SELECT x, y, l + ({B8_LIST}[y % 8 * 8 + x % 8 + 1] - 31.5e0) / 31.5e0 * 8 AS l, a, b_ FROM lab), given AS (SELECT x, y, arg_min(idx, ({_de94('l', 'a', 'b_', 'tl', 'ta', 'tb')}, idx)) AS idx FROM sh, t GROUP BY x, y)")
+ORACLES["full_index_fs"] = _index_job(f"{_index_fs('lab', 't')}, given AS MATERIALIZED (SELECT unnest(range(len(o))) AS x, y, unnest(o) AS idx FROM fs WHERE y >= 0)")
+
+
+def _spot_job(colors: int, least: float) -> str:
+    return f"""WITH RECURSIVE {SOURCE},{_lab('px', 'plab')}, {_palette('plab', colors, least)}, {_snapped('pal', 'sn')}, {_lab('sn', 'so').lstrip()},
+pr AS (SELECT row_number() OVER (ORDER BY CASE WHEN r = 255 AND g = 255 AND b = 255 THEN -1 WHEN r = 0 AND g = 0 AND b = 0 THEN 1000 ELSE 100 - l END, idx) - 1 AS idx, r, g, b FROM so), {_inks('pr', 't')},
+e AS MATERIALIZED (SELECT x, y, idx, {_de94('l', 'a', 'b_', 'tl', 'ta', 'tb')} AS dist FROM lab, t),
+q AS (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY dist, idx) AS rn, min(dist) OVER (PARTITION BY x, y ORDER BY dist, idx ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS after, min(dist) OVER (PARTITION BY x, y) AS best FROM e),
+s AS (SELECT x, y, idx, CAST(trunc(least(greatest(128 - (CASE WHEN rn = 1 THEN after ELSE best END - dist) * (128 / 6e0) + CASE WHEN rn = 1 THEN -0.5e0 ELSE 0.5e0 END, 0), 255)) AS BIGINT) AS d FROM q),
+own AS (SELECT p.idx AS k, min(o.idx) AS idx FROM t p JOIN t o ON o.r = p.r AND o.g = p.g AND o.b = p.b GROUP BY 1), plates AS MATERIALIZED (SELECT k, x, y, d FROM own JOIN s USING (idx)), {_blurred_plates('plates', 'cut', 3.5)} {_covered('cut')}"""
+
+
+ORACLES["full_spot"] = _spot_job(16, 0.002)
+ORACLES["full_cel_shaded"] = _spot_job(14, 0.0015)
+
+_TURNS = ", ".join(f"({k}, {math.sin(math.radians(v))!r}::DOUBLE, {math.cos(math.radians(v))!r}::DOUBLE)" for k, v in enumerate(ANGLES))
+
+
+def _screens(mask: str, out: str, lpi: float) -> str:
+    """Round dots of plates (k, x, y, d), each at the angle of its place in print; as _screen, for any number of plates."""
+    return f"""{out}_a(ai, sn_, cs_) AS (VALUES {_TURNS}), {out}_p AS (SELECT DISTINCT k, sn_, cs_ FROM {mask} JOIN {out}_a ON ai = k % {len(ANGLES)}),
+{out}_g AS (SELECT w, h, greatest(greatest(greatest(w, h) / 13e0, 72) / {lpi}e0, 1) AS cell FROM dim),
+{out}_g2 AS (SELECT *, cell * 3 AS big, cell * 1.5e0 AS half, w * 1.5e0 AS cx, h * 1.5e0 AS cy, greatest(CAST(floor(cell * 0.5e0) AS BIGINT), 1) AS hs FROM {out}_g),
+{out}_n AS (SELECT *, unnest(range(-CAST(ceil(greatest(w, h) * 3 / big) AS BIGINT) - 2, CAST(ceil(greatest(w, h) * 3 / big) AS BIGINT) + 3)) AS ci FROM {out}_g2),
+{out}_cells AS (SELECT k, sn_, cs_, n.*, q.ci AS cj, cx + (n.ci + 0.5e0) * big * cs_ - (q.ci + 0.5e0) * big * sn_ AS sx, cy + (n.ci + 0.5e0) * big * sn_ + (q.ci + 0.5e0) * big * cs_ AS sy FROM {out}_p, {out}_n n, (SELECT ci FROM {out}_n) q),
+{out}_cat AS (SELECT *, CAST(trunc(sx / 3) AS BIGINT) AS px0, CAST(trunc(sy / 3) AS BIGINT) AS py0 FROM {out}_cells),
+{out}_box AS (SELECT p.k, p.x, p.y, sum(q.d) // count(*) AS av FROM {out}_g2, {mask} p JOIN {mask} q ON q.k = p.k AND q.x BETWEEN p.x - hs AND p.x + hs AND q.y BETWEEN p.y - hs AND p.y + hs GROUP BY ALL),
+{out}_d2 AS (SELECT cat.*, 1 - av / 255e0 AS c, half * sqrt(4 * (1 - av / 255e0) / pi()) AS rr FROM {out}_cat cat JOIN {out}_box b ON b.k = cat.k AND b.x = px0 AND b.y = py0 WHERE av < 248 AND 1 - av / 255e0 > 0.01),
+{out}_ys AS (SELECT *, unnest(range(greatest(CAST(floor(sy - half) AS BIGINT), 0), least(CAST(ceil(sy + half) AS BIGINT), h * 3 - 1) + 1)) AS py FROM {out}_d2),
+{out}_xs AS (SELECT *, unnest(range(greatest(CAST(floor(sx - half) AS BIGINT), 0), least(CAST(ceil(sx + half) AS BIGINT), w * 3 - 1) + 1)) AS px_ FROM {out}_ys),
+{out}_lo AS (SELECT *, (px_ + 0.5e0 - sx) * cs_ + (py + 0.5e0 - sy) * sn_ AS ux, -(px_ + 0.5e0 - sx) * sn_ + (py + 0.5e0 - sy) * cs_ AS uy FROM {out}_xs),
+{out}_ink AS (SELECT k, px_ // 3 AS x, py // 3 AS y, count(DISTINCT (px_, py)) AS n FROM {out}_lo WHERE ux * ux + uy * uy <= rr * rr GROUP BY 1, 2, 3),
+{out} AS (SELECT m.k, m.x, m.y, CAST((9 - coalesce(n, 0)) * 255 // 9 AS BIGINT) AS d FROM {mask} m LEFT JOIN {out}_ink ink ON ink.k = m.k AND ink.x = m.x AND ink.y = m.y)"""
+
+
+def _sim_job(dark: bool) -> str:
+    first = int(dark)
+    head = f"""WITH RECURSIVE {SOURCE},{_lab('px', 'plab')}, {_palette('plab', 16, 0.003)}, {_inks('pal', 'pk')},
+t AS (SELECT row_number() OVER (ORDER BY tl DESC, idx) - 1 + {first} AS k, r, g, b, tl, ta, tb FROM pk WHERE sqrt(ta * ta + tb * tb) > 8), nt AS (SELECT count(*) + {first} AS n FROM t),
+far AS (SELECT k, x, y, least(greatest({_de94('l', 'a', 'b_', 'tl', 'ta', 'tb')} / 40, 0), 1) AS f FROM lab, t), ranged AS (SELECT k, x, y, {_byte('255 * (f * f * (3 - 2 * f))')} AS d FROM far),
+plates AS MATERIALIZED (SELECT k, x, y, {_curve(CURVES['sim_process'], 'd')} AS d FROM ranged UNION ALL SELECT n, x, y, {DARK} FROM src, nt UNION ALL SELECT n + 1, x, y, {HIGH} FROM src, nt), {_screens('plates', 'dots', 65)}"""
+    if not dark:
+        return f"{head} {_covered('dots')}"
+    return f"""{head}, tap(k, w_) AS (VALUES {TAPS}),
+u AS (SELECT x, y, min(d) AS d FROM plates, nt WHERE k <> n AND k NOT IN (SELECT k FROM t WHERE r < 30 AND g < 30 AND b < 30) GROUP BY 1, 2),
+ug AS (SELECT u.x, u.y, CASE WHEN {TOP} < 50 THEN 255 ELSE u.d END AS v FROM u JOIN src ON src.x = u.x AND src.y = u.y), uc AS (SELECT x, y, {_curve(CURVES["underbase_composite"], "v")} AS d FROM ug), {_blurred('uc', 'ub')},
+{_disk('ub', 'c1', 2, 'max')}, {_disk('c1', 'c2', 2, 'max')}, {_disk('c2', 'c3', 2, 'min')}, {_disk('c3', 'c4', 2, 'min')}, {_disk('c4', 'c5', 2, 'max')} {_covered('dots')} UNION ALL {_covered('(SELECT 0 AS k, d FROM c5)')}"""
+
+
+ORACLES["full_simprocess_light"] = _sim_job(False)
+ORACLES["full_simprocess_dark"] = _sim_job(True)
+
 # layers
 
 LAYER = "layer(layer_idx, kind, r, g, b, visible, print_index) AS (VALUES " + ", ".join(f"({i}, '{k}', {c[0]}, {c[1]}, {c[2]}, {str(v).lower()}, {p})" for i, k, c, v, p in LAYERS) + ")"
