@@ -502,3 +502,35 @@ SELECT px.x, px.y, bg.x IS NULL AS is_fg FROM px LEFT JOIN bg ON bg.x = px.x AND
 }
 T8 = "[" + ", ".join(str(int((v * 256 + 128) // 64)) for v in B8.ravel()) + "]"
 ORACLES["black_plate_blocks"] = f"WITH {PX}, t AS (SELECT x, y, {_curve(CURVES['black_plate'], TOP)} AS d FROM px) SELECT x // 80 AS bx, y // 80 AS by, round(avg(CASE WHEN d > {T8}[y % 8 * 8 + x % 8 + 1] THEN 0e0 ELSE 1e0 END), 6) AS coverage FROM t GROUP BY 1, 2"
+
+# masks, furniture and names
+
+_BG = "(x + y) % 11 <> 0 AND x < 30"
+_ALPHA = "(x * 5 + y * 3) % 256 >= 128"
+ORACLES |= {
+    "mask_source": f"WITH {PX} SELECT i, x, y, " + ", ".join(f"CASE WHEN {_BG} THEN {v} ELSE {c} END AS {c}" for c, v in zip("rgb", (9, 8, 7))) + " FROM px",
+    "alpha_mask": f"WITH {PX} SELECT x, y, {_ALPHA} AS is_fg FROM px",
+    "foreground_choice": ORACLES["flood_fill"].replace("SELECT px.x, px.y, bg.x IS NULL AS is_fg FROM px", "SELECT 'fill' AS choice, bg.x IS NULL AS is_fg, count(*) AS n, CAST(sum(px.x * 7 + px.y) AS BIGINT) AS sum FROM px") + f" GROUP BY 1, 2 UNION ALL SELECT 'alpha', {_ALPHA}, count(*), CAST(sum(x * 7 + y) AS BIGINT) FROM px GROUP BY 1, 2",
+    "safety_knockout": f"WITH {PX} SELECT x, y, CAST(CASE WHEN x < 50 THEN 255 WHEN CASE WHEN {LUMA} < 128 THEN 0 ELSE 255 END > {T8}[y % 8 * 8 + x % 8 + 1] THEN 255 ELSE 0 END AS BIGINT) AS d FROM px",
+    "film_border": f"""WITH {GRAY}, {DIM}, sheet AS (SELECT x, y FROM dim, range(1000) a(x), range(100000) b(y) WHERE x < w + 6 AND y < h + 11)
+SELECT s.x, s.y, CAST(CASE WHEN (s.x IN (3, w + 2) AND s.y BETWEEN 3 AND h + 2) OR (s.y IN (3, h + 2) AND s.x BETWEEN 3 AND w + 2) THEN 0 ELSE coalesce(d, 255) END AS BIGINT) AS d FROM sheet s, dim LEFT JOIN m ON m.x = s.x - 3 AND m.y = s.y - 3""",
+    "blank_paint": f"WITH {PX} SELECT CAST(l AS BIGINT) AS layer_idx, x, y, 255::BIGINT AS d FROM px, range(2) r(l)",
+    "same_ink": f"WITH {LAYER}, pick(choice, l) AS (VALUES (0, [1, 5]), (1, [1, 2]), (2, [1]), (3, [1, 2, 5]), (4, [0, 1, 2, 3, 4, 5])) SELECT CAST(choice AS BIGINT) AS choice, count(DISTINCT (r, g, b)) = 1 AND count(*) >= 2 AS same FROM pick JOIN layer ON list_contains(l, layer_idx) GROUP BY choice",
+}
+_CROSS = " OR ".join(f"(x - {cx} BETWEEN -1 AND 0 AND abs(y - {cy}) <= 7) OR (y - {cy} BETWEEN -1 AND 0 AND abs(x - {cx}) <= 7) OR pow(x - {cx}, 2) + pow(y - {cy}, 2) <= 9" for cx in ("12", "(w - 13)") for cy in ("12", "(h - 13)"))
+ORACLES["registration_marks"] = f"WITH {GRAY}, {DIM} SELECT x, y, CASE WHEN {_CROSS} THEN 0 ELSE d END AS d FROM m, dim"
+_SHOWN = ("solid", "halftone", "FM", "Bayer", "noise", "blue noise")
+ORACLES["captions"] = f"""WITH {LAYER}, made AS (SELECT *, kind || ' & ' || layer_idx || '/' || r AS name, [{", ".join(f"'{m}'" for m in _SHOWN)}][layer_idx + 1] AS mode FROM layer)
+SELECT CAST(layer_idx AS BIGINT) AS layer_idx, printf('%02d  %s  #%02X%02X%02X  %s', layer_idx + 1, name, r, g, b, mode) || CASE WHEN layer_idx = 1 THEN '  41lpi' ELSE '' END AS caption,
+printf('%02d_%s_%02x%02x%02x.png', print_index, regexp_replace(name, '[^A-Za-z0-9_-]', '_', 'g'), r, g, b) AS film FROM made"""
+ORACLES["print_order"] = f"""WITH RECURSIVE {LAB}, {_palette('lab', 16, 0.002)}, {_snapped('pal', 'sn')}, {_lab('sn', 'so').lstrip()}
+SELECT row_number() OVER (ORDER BY CASE WHEN so.r = 255 AND so.g = 255 AND so.b = 255 THEN -1 WHEN so.r = 0 AND so.g = 0 AND so.b = 0 THEN 1000 ELSE 100 - l END, idx) - 1 AS idx, so.r, so.g, so.b, round(coverage, 4) AS coverage FROM so JOIN pal USING (idx)"""
+# entries join the first group with a member like them: one entry a step
+ORACLES["hue_groups"] = f"""WITH RECURSIVE {LAB}, {_palette('lab', 16, 0.002)}, {_lab('pal', 'pl').lstrip()},
+hue AS MATERIALIZED (SELECT idx, r, g, b, coverage, l, {HUE} AS h, sqrt(a * a + b_ * b_) < 6 AS gray FROM pl),
+near AS MATERIALIZED (SELECT p.idx AS i, q.idx AS j FROM hue p JOIN hue q ON q.idx < p.idx AND CASE WHEN p.gray OR q.gray THEN p.gray AND q.gray AND abs(p.l - q.l) < 10 ELSE least(abs(p.h - q.h), 360 - abs(p.h - q.h)) < 10 END),
+walk(i, home) AS (SELECT -1::BIGINT, MAP {{}}::MAP(BIGINT, BIGINT) UNION ALL
+SELECT i + 1, map_concat(home, MAP {{i + 1: coalesce((SELECT min(home[j]) FROM near WHERE near.i = walk.i + 1), i + 1)}}) FROM walk WHERE i + 1 < (SELECT count(*) FROM hue)),
+own AS (SELECT unnest(map_keys(home)) AS idx, unnest(map_values(home)) AS home FROM walk WHERE i = (SELECT max(i) FROM walk)),
+out AS (SELECT home, sum(coverage) AS coverage, {", ".join(f"CAST(floor(sum({c} * coverage) / greatest(sum(coverage), 1e-6) + 0.5e0) AS BIGINT) AS {c}" for c in "rgb")} FROM (SELECT home, hue.* FROM own JOIN hue USING (idx)) GROUP BY home)
+SELECT row_number() OVER (ORDER BY coverage DESC, home) - 1 AS idx, r, g, b, round(coverage, 4) AS coverage FROM out"""

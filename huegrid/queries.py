@@ -17,6 +17,8 @@ from .operators import neighborhood as M
 from .operators import palette as P
 from .operators import raster as R
 from .plans import pipeline, workflows
+from .plans.layer import Halftone, Layer
+from .sources import images
 from .streaming import edits as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,7 +125,7 @@ def hex_round_trip(spark, sf_dir):
 
 @query
 def sanitize_names(spark, sf_dir):
-    return X.table(spark, sf_dir, "part").select("p_partkey", F.regexp_replace("p_name", "[^A-Za-z0-9_-]", "_").alias("file"))
+    return X.table(spark, sf_dir, "part").select("p_partkey", images.sanitized("p_name").alias("file"))
 
 
 @query
@@ -394,6 +396,97 @@ def flood_fill(spark, sf_dir):
     return G.flood_background(X.px(spark, sf_dir), 12.0)
 
 
+@query
+def mask_source(spark, sf_dir):
+    """Background pixels in one colour; the mask lacks every 11th pixel, which stays."""
+    image = X.px(spark, sf_dir)
+    fg = image.where("(x + y) % 11 <> 0").select("x", "y", (F.col("x") >= 30).alias("is_fg"))
+    return G.mask_source(image, fg, (9, 8, 7))
+
+
+def _with_alpha(image):
+    return image.withColumn("alpha", (F.col("x") * 5 + F.col("y") * 3) % 256)
+
+
+@query
+def alpha_mask(spark, sf_dir):
+    return G.alpha_mask(_with_alpha(X.px(spark, sf_dir)))
+
+
+@query
+def foreground_choice(spark, sf_dir):
+    """Alpha counts where there is any, else the flood fill if wanted, else nothing."""
+    image = X.px(spark, sf_dir)
+    opaque = image.withColumn("alpha", F.lit(255))
+    by_alpha = G.detect_foreground(_with_alpha(image), remove=False).withColumn("choice", F.lit("alpha"))
+    by_fill = G.detect_foreground(opaque, remove=True).withColumn("choice", F.lit("fill"))
+    assert G.detect_foreground(opaque, remove=False) is None
+    return by_alpha.unionByName(by_fill).groupBy("choice", "is_fg").agg(F.count("*").alias("n"), F.sum(F.col("x") * 7 + F.col("y")).alias("sum"))
+
+
+@query
+def safety_knockout(spark, sf_dir):
+    """A blurred, spread plate, knocked out before and after it is rendered."""
+    image = X.px(spark, sf_dir)
+    layer = Layer((20, 20, 20), "k", extractor={"kind": "luminance_threshold", "threshold": 128}, render_mode="bayer")
+    return pipeline.process_layer(image, layer, X.size(spark, sf_dir), fg=image.select("x", "y", (F.col("x") >= 50).alias("is_fg")))[1]
+
+
+# film furniture and names
+
+
+@query
+def registration_marks(spark, sf_dir):
+    return images.registration_marks(X.gray(X.px(spark, sf_dir)), X.size(spark, sf_dir), offset=12, arm=7, thickness=2)
+
+
+@query
+def film_border(spark, sf_dir):
+    return images.film_border(X.gray(X.px(spark, sf_dir)), X.size(spark, sf_dir), margin=3, caption=5)[0]
+
+
+_MODES = ("solid", "halftone", "fm_floyd_steinberg", "bayer", "white_noise", "blue_noise", "index_fs", "index_bayer")
+
+
+def _film_layers() -> list[Layer]:
+    return [Layer(ink, f"{k} & {i}/{ink[0]}", k, render_mode=_MODES[i], halftone=Halftone(40.5 * (i % 2), 15.0 * i - 20), print_index=p) for i, k, ink, _, p in X.LAYERS]
+
+
+@query
+def captions(spark, sf_dir):
+    return spark.createDataFrame([(i, images.format_caption(x, i, 52.5), images.film_name(x)) for i, x in enumerate(_film_layers())], "layer_idx int, caption string, film string")
+
+
+@query
+def blank_paint(spark, sf_dir):
+    """A paint layer without a buffer, and one whose buffer has the wrong size."""
+    image = X.px(spark, sf_dir)
+    none = E.extract(image, {"kind": "manual_paint"}).withColumn("layer_idx", F.lit(0))
+    return none.unionByName(E.extract(image, {"kind": "manual_paint", "width": 3, "height": 2, "pixels": bytes(5)}).withColumn("layer_idx", F.lit(1)))
+
+
+@query
+def same_ink(spark, sf_dir):
+    """Whether the layers of each choice share an ink."""
+    layers = X.layers(spark)
+    picks = ((1, 5), (1, 2), (1,), (1, 2, 5), tuple(i for i, *_ in X.LAYERS))
+    return spark.createDataFrame([(k, L.same_ink(layers.where(F.col("layer_idx").isin(list(p))))) for k, p in enumerate(picks)], "choice int, same boolean")
+
+
+@query
+def print_order(spark, sf_dir):
+    """A palette with pure extremes in its order of print."""
+    found = P.print_order(P.snap_extremes(P.auto_palette(X.px(spark, sf_dir), 16, 0.002)[0]))
+    return spark.createDataFrame([(i, *e.rgb, round(e.coverage, 4)) for i, e in enumerate(found)], "idx int, r int, g int, b int, coverage double")
+
+
+@query
+def hue_groups(spark, sf_dir):
+    """A palette whose entries of one hue are joined."""
+    found = P.consolidate_by_hue(P.auto_palette(X.px(spark, sf_dir), 16, 0.002)[0])
+    return spark.createDataFrame([(i, *e.rgb, round(e.coverage, 4)) for i, e in enumerate(found)], "idx int, r int, g int, b int, coverage double")
+
+
 # edit streams
 
 

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.layer import Layer
@@ -277,6 +277,11 @@ def sanitize(name: str) -> str:
     return "".join(c if c.isascii() and (c.isalnum() or c in "-_") else "_" for c in name)
 
 
+def sanitized(name: Column | str) -> Column:
+    """sanitize of a column."""
+    return F.regexp_replace(name, "[^A-Za-z0-9_-]", "_")
+
+
 def film_name(layer: Layer) -> str:
     return f"{layer.print_index:02}_{sanitize(layer.name)}_{'%02x%02x%02x' % layer.ink}.png"
 
