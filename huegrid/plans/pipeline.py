@@ -108,7 +108,7 @@ def separate(px: DataFrame, layers: list[Layer], size: tuple[int, int], job: Job
         previews.append((group, preview))
     if unions and previews:  # the unions and the plates both read the previews
         columns = previews[0][1].columns
-        masks = checkpointed(_together([p.select(columns) for _, p in previews]))
+        masks = checkpointed(together([p.select(columns) for _, p in previews]))
         previews = [(group, masks.where(F.col("layer_idx").isin([i for i, _ in group]))) for group, _ in previews]
     for group, preview in previews:
         i, x = group[0]
@@ -122,10 +122,10 @@ def separate(px: DataFrame, layers: list[Layer], size: tuple[int, int], job: Job
             union = E.extract(src, x.extractor)
         preview, final = process_layer(src, x, size, job, fg, extracted=union)
         first.append((final if processed else preview).withColumn("layer_idx", F.lit(i)))
-    return _together(first)
+    return together(first)
 
 
-def _together(parts: list[DataFrame]) -> DataFrame:
+def together(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

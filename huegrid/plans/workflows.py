@@ -41,8 +41,17 @@ def _dots(angle: float = -1.0, lpi: float = 0) -> dict:
     return dict(render_mode="halftone", halftone=Halftone(lpi, angle, "round"))
 
 
-def _spot(px: DataFrame, max_colors: int, least: float, hues: bool) -> list[Layer]:
-    found = P.snap_extremes(P.auto_palette(px, max_colors, least)[0])
+def palette_of(workflow: str, o: Options = Options()) -> tuple[int, float] | None:
+    """Colours and least coverage of the palette that a workflow starts from; None if it needs none."""
+    #: Fixed values.
+    return {
+        "spot": (o.max_colors, 0.002), "cel_shaded": (14, 0.0015), "simprocess_light": (o.max_colors, 0.003), "simprocess_dark": (o.max_colors, 0.003),
+        "index_fs": (o.max_colors, 0.002), "index_bayer": (o.max_colors, 0.002),
+    }.get(workflow)
+
+
+def _spot(found: list[P.Entry], hues: bool) -> list[Layer]:
+    found = P.snap_extremes(found)
     found = P.print_order(P.consolidate_by_hue(found) if hues else found)
     targets = [e.rgb for e in found]
     return [
@@ -60,8 +69,7 @@ def _highlight(name: str) -> Layer:
     return Layer(WHITE, name, "highlight", extractor={"kind": "gcr_black", "strength": 1.0, "invert_input": True}, tone=_curve("highlight_white"), **_dots())
 
 
-def _sim(px: DataFrame, o: Options, dark: bool) -> list[Layer]:
-    found = P.auto_palette(px, o.max_colors, 0.003)[0]
+def _sim(found: list[P.Entry], o: Options, dark: bool) -> list[Layer]:
     found = P.consolidate_by_hue(found) if o.consolidate_hues else found
     labs = {e.rgb: C.lab_of(e.rgb) for e in found}
     colored = sorted((e.rgb for e in found if (labs[e.rgb][1] ** 2 + labs[e.rgb][2] ** 2) ** 0.5 > 8), key=lambda c: -labs[c][0])
@@ -76,8 +84,8 @@ def _cmyk(o: Options, dark: bool) -> list[Layer]:
     return reindexed([_underbase("white underbase")] * dark + [*plates, _highlight("white highlight")])
 
 
-def _index(px: DataFrame, o: Options, dither: str) -> list[Layer]:
-    palette = [e.rgb for e in P.snap_extremes(P.auto_palette(px, o.max_colors, 0.002)[0])]
+def _index(found: list[P.Entry], dither: str) -> list[Layer]:
+    palette = [e.rgb for e in P.snap_extremes(found)]
     return [Layer(c, f"{i + 1:02} {name_of(c)}", "color", print_index=i, extractor={"kind": "index_assignment", "palette": palette, "index": i, "dither": dither}) for i, c in enumerate(palette)]
 
 
@@ -89,15 +97,18 @@ def _calc(ink: RGB, name: str, expr: str, angle: float, index: int = 0, lpi: flo
     return Layer(ink, name, "color", extractor={"kind": "channel_calc", "expr": expr}, print_index=index, **_dots(angle, lpi))
 
 
-def plan(workflow: str, px: DataFrame, o: Options = Options()) -> list[Layer]:
-    """The layers of a workflow over an image (i, x, y, r, g, b)."""
+def plan(workflow: str, px: DataFrame, o: Options = Options(), palette: list[P.Entry] | None = None) -> list[Layer]:
+    """The layers of a workflow over an image (i, x, y, r, g, b).  A palette, by descending coverage, is taken as the image's own."""
+    needed = palette_of(workflow, o)
+    if needed and palette is None:
+        palette = P.auto_palette(px, *needed)[0]
     match workflow:
         case "spot":
-            return _spot(px, o.max_colors, 0.002, o.consolidate_hues)
+            return _spot(palette, o.consolidate_hues)
         case "cel_shaded":
-            return _spot(px, 14, 0.0015, False)
+            return _spot(palette, False)
         case "simprocess_light" | "simprocess_dark":
-            return _sim(px, o, workflow.endswith("dark"))
+            return _sim(palette, o, workflow.endswith("dark"))
         case "cmyk_process_light" | "cmyk_process_dark":
             return _cmyk(o, workflow.endswith("dark"))
         case "single_halftone":
@@ -117,7 +128,7 @@ def plan(workflow: str, px: DataFrame, o: Options = Options()) -> list[Layer]:
                 _calc(o.tritone_shadow, "shadow", "clip((0.3 - L) * 3.3, 0, 1)", 45.0, 2),
             ]
         case "index_fs" | "index_bayer":
-            return _index(px, o, workflow.removeprefix("index_"))
+            return _index(palette, workflow.removeprefix("index_"))
     raise ValueError(f"unknown workflow {workflow!r}; there are {', '.join(LABELS)}")
 
 
