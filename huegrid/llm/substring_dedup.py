@@ -280,10 +280,15 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def remove_reference_spans(docs: DataFrame, reference: list[str], window: int = WINDOW, most_words: int = SHARD_WORDS) -> DataFrame:
     """docs with the maximal spans of at least window words that occur in the reference taken out of text.
 
-    reference: texts of a bounded list; shards of at most most_words words (a longer text is a shard of its own).
+    reference: texts of a bounded list; shards of at most most_words words.  Longer texts are cut into pieces that
+    overlap by window - 1 words, so each broadcast is bounded and every window lies in a piece.
     """
     need(docs, "text")
-    spark, rest = docs.sparkSession, [t.encode().split() for t in reference if t]
+    if most_words < window:
+        raise ValueError("a shard must hold a window")
+    spark, step = docs.sparkSession, most_words - window + 1
+    texts = [t.encode().split() for t in reference if t]
+    rest = [t[a : a + most_words] for t in texts for a in range(0, max(1, len(t) - window + 1), step)]
     found = docs.withColumn("_spans", F.lit(b""))
     while rest:
         automaton, n = SuffixAutomaton(), 0
