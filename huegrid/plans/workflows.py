@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
@@ -19,6 +19,20 @@ LABELS = {
 }
 
 
+#: Fixed values of the workflows: names, inks, angles, expressions, curves and bounds.
+PALETTE_LEAST = {"spot": 0.002, "cel_shaded": 0.0015, "simprocess_light": 0.003, "simprocess_dark": 0.003, "index_fs": 0.002, "index_bayer": 0.002}
+CEL_COLORS, SPOT_BLUR, LEAST_CHROMA = 14, 3.5, 8
+UNDERBASE = {"curve": "underbase_composite", "choke": 2, "noise_open": 2, "holes_close": 2}
+HIGHLIGHT = {"curve": "highlight_white", "strength": 1.0}
+BLACK_PLATE = {"curve": "black_plate", "strength": 1.0}
+PROCESS_CURVE, SIM_CURVE = "cmyk_channel", "sim_process"
+PROCESS_PLATES = (("cyan", (0, 200, 255), 15.0), ("magenta", (220, 0, 180), 75.0), ("yellow", (255, 230, 0), 0.0), ("black", BLACK, 45.0))
+DUOTONE_ANGLES = (15.0, 75.0)
+SINGLE = ("black halftone", "1 - L", 22.5, 45)
+TRITONE = (("highlight", "clip((L - 0.7) * 3.3, 0, 1)", 15.0), ("mid", "clip(1 - abs(L - 0.5) * 3.3, 0, 1)", 75.0), ("shadow", "clip((0.3 - L) * 3.3, 0, 1)", 45.0))
+BLACK_THRESHOLD = 128
+
+
 @dataclass(frozen=True)
 class Options:
     max_colors: int = 16
@@ -43,11 +57,9 @@ def _dots(angle: float = -1.0, lpi: float = 0) -> dict:
 
 def palette_of(workflow: str, o: Options = Options()) -> tuple[int, float] | None:
     """Colours and least coverage of the palette that a workflow starts from; None if it needs none."""
-    #: Fixed values.
-    return {
-        "spot": (o.max_colors, 0.002), "cel_shaded": (14, 0.0015), "simprocess_light": (o.max_colors, 0.003), "simprocess_dark": (o.max_colors, 0.003),
-        "index_fs": (o.max_colors, 0.002), "index_bayer": (o.max_colors, 0.002),
-    }.get(workflow)
+    if workflow not in PALETTE_LEAST:
+        return None
+    return (CEL_COLORS if workflow == "cel_shaded" else o.max_colors), PALETTE_LEAST[workflow]
 
 
 def _spot(found: list[P.Entry], hues: bool) -> list[Layer]:
@@ -55,32 +67,39 @@ def _spot(found: list[P.Entry], hues: bool) -> list[Layer]:
     found = P.print_order(P.consolidate_by_hue(found) if hues else found)
     targets = [e.rgb for e in found]
     return [
-        Layer(rgb, f"{i + 1:02} {name_of(rgb)}", "spot", print_index=i, mask=MaskShape(solid_blur=3.5),
+        Layer(rgb, f"{i + 1:02} {name_of(rgb)}", "spot", print_index=i, mask=MaskShape(solid_blur=SPOT_BLUR),
               extractor={"kind": "spot_aa", "ink": rgb, "targets": targets, "others": [], "target_weights": [0.0] * len(targets)})
         for i, rgb in enumerate(targets)
     ]
 
 
+def _light(angle: float = -1.0) -> dict:
+    return dict(extractor={"kind": "gcr_black", "strength": HIGHLIGHT["strength"], "invert_input": True}, tone=_curve(HIGHLIGHT["curve"]), **_dots(angle))
+
+
+def _dark(angle: float = -1.0) -> dict:
+    return dict(extractor={"kind": "gcr_black", "strength": BLACK_PLATE["strength"], "invert_input": False}, tone=_curve(BLACK_PLATE["curve"]), **_dots(angle))
+
+
 def _underbase(name: str) -> Layer:
-    return Layer(WHITE, name, "underbase", extractor={"kind": "composite_union"}, tone=_curve("underbase_composite", 2), mask=MaskShape(noise_open=2, holes_close=2))
+    return Layer(WHITE, name, "underbase", extractor={"kind": "composite_union"}, tone=_curve(UNDERBASE["curve"], UNDERBASE["choke"]), mask=MaskShape(noise_open=UNDERBASE["noise_open"], holes_close=UNDERBASE["holes_close"]))
 
 
 def _highlight(name: str) -> Layer:
-    return Layer(WHITE, name, "highlight", extractor={"kind": "gcr_black", "strength": 1.0, "invert_input": True}, tone=_curve("highlight_white"), **_dots())
+    return Layer(WHITE, name, "highlight", **_light())
 
 
 def _sim(found: list[P.Entry], o: Options, dark: bool) -> list[Layer]:
     found = P.consolidate_by_hue(found) if o.consolidate_hues else found
     labs = {e.rgb: C.lab_of(e.rgb) for e in found}
-    colored = sorted((e.rgb for e in found if (labs[e.rgb][1] ** 2 + labs[e.rgb][2] ** 2) ** 0.5 > 8), key=lambda c: -labs[c][0])
-    plates = [Layer(c, f"color {name_of(c)}", "color", extractor={"kind": "color_range", "target": c, "fuzziness": o.fuzziness, "falloff": "smooth"}, tone=_curve("sim_process"), **_dots()) for c in colored]
-    black = Layer(BLACK, "black plate", "color", extractor={"kind": "gcr_black", "strength": 1.0, "invert_input": False}, tone=_curve("black_plate"), **_dots())
+    colored = sorted((e.rgb for e in found if (labs[e.rgb][1] ** 2 + labs[e.rgb][2] ** 2) ** 0.5 > LEAST_CHROMA), key=lambda c: -labs[c][0])
+    plates = [Layer(c, f"color {name_of(c)}", "color", extractor={"kind": "color_range", "target": c, "fuzziness": o.fuzziness, "falloff": "smooth"}, tone=_curve(SIM_CURVE), **_dots()) for c in colored]
+    black = Layer(BLACK, "black plate", "color", **_dark())
     return reindexed([_underbase("underbase")] * dark + [*plates, black, _highlight("highlight white")])
 
 
 def _cmyk(o: Options, dark: bool) -> list[Layer]:
-    inks = (("cyan", (0, 200, 255), 15.0), ("magenta", (220, 0, 180), 75.0), ("yellow", (255, 230, 0), 0.0), ("black", BLACK, 45.0))
-    plates = [Layer(ink, n, "color", extractor={"kind": "cmyk_channel", "channel": n, "gcr_strength": o.gcr_strength}, tone=_curve("cmyk_channel"), **_dots(angle)) for n, ink, angle in inks]
+    plates = [Layer(ink, n, "color", extractor={"kind": "cmyk_channel", "channel": n, "gcr_strength": o.gcr_strength}, tone=_curve(PROCESS_CURVE), **_dots(angle)) for n, ink, angle in PROCESS_PLATES]
     return reindexed([_underbase("white underbase")] * dark + [*plates, _highlight("white highlight")])
 
 
@@ -112,21 +131,18 @@ def plan(workflow: str, px: DataFrame, o: Options = Options(), palette: list[P.E
         case "cmyk_process_light" | "cmyk_process_dark":
             return _cmyk(o, workflow.endswith("dark"))
         case "single_halftone":
-            return [_calc(BLACK, "black halftone", "1 - L", 22.5, lpi=45)]
+            name, expr, angle, lpi = SINGLE
+            return [_calc(BLACK, name, expr, angle, lpi=lpi)]
         case "black_only":
-            return _threshold("black", 128)
+            return _threshold("black", BLACK_THRESHOLD)
         case "stencil":
             return _threshold("stencil", o.stencil_threshold)
         case "duotone":
-            light = Layer(o.duotone_light, "light tone", "color", extractor={"kind": "gcr_black", "strength": 1.0, "invert_input": True}, tone=_curve("highlight_white"), **_dots(15.0))
-            dark = Layer(o.duotone_dark, "dark tone", "color", extractor={"kind": "gcr_black", "strength": 1.0, "invert_input": False}, tone=_curve("black_plate"), **_dots(75.0))
-            return [light, replace(dark, print_index=1)]
+            light, dark = DUOTONE_ANGLES
+            return [Layer(o.duotone_light, "light tone", "color", **_light(light)), Layer(o.duotone_dark, "dark tone", "color", print_index=1, **_dark(dark))]
         case "tritone":
-            return [
-                _calc(o.tritone_highlight, "highlight", "clip((L - 0.7) * 3.3, 0, 1)", 15.0, 0),
-                _calc(o.tritone_mid, "mid", "clip(1 - abs(L - 0.5) * 3.3, 0, 1)", 75.0, 1),
-                _calc(o.tritone_shadow, "shadow", "clip((0.3 - L) * 3.3, 0, 1)", 45.0, 2),
-            ]
+            inks = (o.tritone_highlight, o.tritone_mid, o.tritone_shadow)
+            return [_calc(ink, name, expr, angle, i) for i, (ink, (name, expr, angle)) in enumerate(zip(inks, TRITONE))]
         case "index_fs" | "index_bayer":
             return _index(palette, workflow.removeprefix("index_"))
     raise ValueError(f"unknown workflow {workflow!r}; there are {', '.join(LABELS)}")
