@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from huegrid.llm import common, components, cotraining, language_id, mixing, near_dedup, stats, substring_dedup, token_files, tokens
+from huegrid.llm import common, components, cotraining, language_id, mixing, near_dedup, packing, stats, substring_dedup, token_files, tokens
 
 TEXTS = "doc_id long, text string"
 
@@ -140,3 +140,9 @@ def test_a_checkpoint_folder_is_demanded_off_one_machine(spark, monkeypatch):
     fake = type("s", (), {"sparkContext": Elsewhere, "conf": type("c", (), {"get": staticmethod(lambda k, d: None)})()})()
     with pytest.raises(RuntimeError):
         _stage.checkpoint_dir(fake)
+
+
+def test_sequences_of_a_whole_table(spark):
+    got = packing.pack_documents(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text"), tokens.default_path()).select("length", "sequence_id").toPandas()
+    least = max(-(-got["length"].sum() // 2048), (got["length"] > 1024).sum())
+    assert got["sequence_id"].nunique() <= 1.002 * least and got.groupby("sequence_id")["length"].sum().max() <= 2048

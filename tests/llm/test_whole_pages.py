@@ -82,3 +82,12 @@ def test_a_page_written_by_hand():
       <footer><p>&copy; 2024 The Daily River. All rights reserved.</p></footer><script>track()</script></body></html>"""
     want = ["Old bridge opens again", "The bridge over the river was closed for nine years. On Sunday it opened again, and the whole town walked across it.", "Its stones were numbered, taken down and put back one by one — 4,212 in all.", "The mayor said that the next bridge would take less time."]
     assert main_text(page, trained()).split("\n\n") == want
+
+
+def test_a_news_page_written_by_hand():
+    page = """<html><body><div class="top-bar"><span>Tuesday</span><a href="/login">Log in</a></div><div class="advertisement"><p>Buy one, get one free at the shoe store this week only.</p></div>
+      <div class="story-body"><h1>Council votes for new tram line</h1><p>The city council voted on Monday to build a second tram line from the harbour to the university.</p>
+      <div class="ad-slot"><p>Advertisement: the best coffee in town.</p></div><p>Work is to begin next spring and will take four years, officials said.</p><blockquote>It will change how people move through this city.</blockquote></div>
+      <div class="related-stories"><h3>Read more</h3><ul><li><a href=1>Tram fares to rise</a></li></ul></div><div class="newsletter-signup"><p>Get the news in your inbox every morning.</p><form><input><button>Sign up</button></form></div></body></html>"""
+    want = ["Council votes for new tram line", "The city council voted on Monday to build a second tram line from the harbour to the university.", "Work is to begin next spring and will take four years, officials said.", "It will change how people move through this city."]
+    assert main_text(page, trained()).split("\n\n") == want
