@@ -13,7 +13,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .._stage import checkpoint_dir
 
@@ -142,6 +143,11 @@ def need(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"missing columns: {missing}")
 
 
+def packed(columns: list[str]) -> Column:
+    """The columns as one struct, which has a field even if there are none."""
+    return F.struct(*(F.col(f"`{c}`") for c in columns)) if columns else F.struct(F.lit(0).alias("_"))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64 on uint64 arrays."""
     h = h ^ (h >> _U(30))

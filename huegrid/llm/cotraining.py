@@ -209,6 +209,13 @@ def _surest(views: DataFrame, labels: DataFrame) -> Surest:
     return find
 
 
+def without_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without the documents that the classifier rejects; columns under the names of its scores are docs' own."""
+    own = {c: f"_own_{c}" for c in docs.columns if c.startswith("quality_")}
+    kept = classify(docs.withColumnsRenamed(own), labels).where("quality_kept")
+    return kept.select(*(F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns))
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, labelled: int = LABELLED, passed: list[str] | None = None) -> DataFrame:
     """docs (or its columns in passed) with quality_text, quality_meta, quality_score (probabilities) and quality_kept."""
     need(docs, *_NEEDED)

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, mix, need, staged
+from .common import lean, mix, need, packed, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MOST, BLOCK = (5, 2, 1), 1.5, 2, 256
@@ -241,7 +241,7 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most:
     """The mix itself as documents: a row for each take of a document's part of a block, with docs' columns; text is that part (its words joined by one space), n_chars its length."""
     need(docs, "doc_id", "text", "source")
     others = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
-    kept = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text", "source", F.struct(F.lit(0).alias("_"), *others).alias("_rest"), _size().alias("size"), F.xxhash64("text").alias("_t"))
+    kept = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text", "source", packed(others).alias("_rest"), _size().alias("size"), F.xxhash64("text").alias("_t"))
     kept = staged(kept, "texts")
     sized = kept.select("_row", "doc_id", "source", "size", "_t")
     sources = sources_of(sized, weights, share, most, block, seed)
@@ -275,7 +275,7 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most:
 
     schema = T.StructType([joined.schema[c] for c in ("doc_id", "source", "_rest")] + [T.StructField("text", T.StringType())])
     out = joined.mapInArrow(lean(run), schema)
-    out = out.select("doc_id", "text", "source", *(F.col("_rest")[c].alias(c) for c in others))
+    out = out.select("doc_id", "text", "source", *(F.col("_rest").getField(c).alias(c) for c in others))
     if counted:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

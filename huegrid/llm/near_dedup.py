@@ -307,10 +307,9 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     stands = F.col("c").isNull() | (F.col("doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("t") == F.col("c.t")))
     kept = _labelled(docs).where(stands).groupBy(F.col("doc_id").alias("_near_id"), F.col("t").alias("_near_t")).agg(F.count("*").alias("_near_n"))
     kept = staged(kept, "near")
-    own = F.xxhash64("text")
-    match = lambda k: F.col("doc_id").cast("long").eqNullSafe(F.col("_near_id")) & (own == F.col("_near_t"))
-    out = docs.join(kept.where("_near_n = 1"), match(kept), "left_semi")
+    match = docs["doc_id"].cast("long").eqNullSafe(kept["_near_id"]) & (F.xxhash64(docs["text"]) == kept["_near_t"])
+    out = docs.join(kept.where("_near_n = 1"), match, "left_semi")
     again = kept.where("_near_n > 1")
     if again.isEmpty():
         return out
-    return out.unionByName(docs.join(again, match(again), "left_semi").dropDuplicates(["doc_id", "text"]))
+    return out.unionByName(docs.join(again, match, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, discard, lean, mix, need, ngrams, staged, text_chunks
+from .common import Words, discard, lean, mix, need, ngrams, packed, staged, text_chunks
 from .suffix_automaton import SuffixAutomaton
 
 WINDOW, ANCHOR, HOT, SHARD_WORDS = 35, 12, 256, 50_000
@@ -268,10 +268,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, passed: list[str] | No
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with repeated passages taken out of text and n_chars following; texts without any stay as they are."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *others).alias("_rest"))
-    out = remove_repeats(packed, window, ["_rest"]).withColumn("_gone", F.col("n_removed") > 0)
+    whole = docs.select("doc_id", "text", packed(others).alias("_rest"))
+    out = remove_repeats(whole, window, ["_rest"]).withColumn("_gone", F.col("n_removed") > 0)
     text = F.when(F.col("_gone"), F.col("kept_text")).otherwise(F.col("text"))
-    columns = {c: F.col("_rest")[c] for c in others} | {"doc_id": F.col("doc_id"), "text": text}
+    columns = {c: F.col("_rest").getField(c) for c in others} | {"doc_id": F.col("doc_id"), "text": text}
     if "n_chars" in others:
         columns["n_chars"] = F.when(F.col("_gone"), F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
     return out.select(*(columns[c].alias(c) for c in docs.columns))

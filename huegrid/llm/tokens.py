@@ -1,20 +1,22 @@
-"""Encoding with a public tokenizer file, remembering the ids of pieces of text.
+"""Encoding with a public tokenizer file, remembering the ids of chunks of text.
 
 The pre-tokenizer of the word-level file never joins text across ASCII white
 space, and its normalizer works on each side of it alone, so the ids of a text
 are the ids of its chunks in turn.  Texts below U+0300 hold no combining marks;
-they are cut by the file's own split pattern, whose matches are encoded alone.
-Each distinct piece goes through the tokenizers library, once for as long as
+a chunk of theirs is lower-cased and cut by the file's own split pattern, whose
+matches are encoded alone.  Each distinct chunk is encoded once for as long as
 the bounded memory holds it.
 """
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import regex
 
-#: Pieces in each of the two generations that a worker remembers: the older one goes when the younger one is full.
-REMEMBERED = 100_000
+#: Chunks in each of the two generations that a worker remembers: the older one goes when the younger one is full.
+REMEMBERED = 250_000
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -43,20 +45,24 @@ class Encoder:
         self.marks = regex.compile("|".join(regex.escape(x["content"]) for x in spec["added_tokens"])).search
         self.high = regex.compile("[\u0300-\U0010ffff]").search
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.width = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.width, self.code = (np.uint16, "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else (np.uint32, "I")
         # the byte-level alphabet: printable bytes stand for themselves, the others for U+0100 on
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         self.alphabet = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
 
-    def _piece(self, piece: str) -> bytes:
-        """The ids of one match of the split pattern."""
-        found = self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))
-        return np.array([t.id for t in found], self.width).tobytes()
+    def _low(self, chunk: bytes) -> bytes:
+        """The ids of a lower-cased chunk below U+0300, match by match of the split pattern."""
+        tokenize, text = self.tokenizer.model.tokenize, chunk.decode()
+        if text.isascii() and text.isprintable():  # the byte-level alphabet is the same there
+            matches = [text] if text.isalpha() else self.pieces(text)
+        else:
+            matches = [p.encode().decode("latin-1").translate(self.alphabet) for p in self.pieces(text)]
+        return array(self.code, [t.id for p in matches for t in tokenize(p)]).tobytes()
 
-    def _chunk(self, chunk: str) -> bytes:
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.width).tobytes()
+    def _any(self, chunk: bytes) -> bytes:
+        return array(self.code, self.tokenizer.encode(chunk[1:].decode(), add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str | None, end: int | None = None) -> np.ndarray:
         """Ids of the whole text (null: empty) without special tokens, then end if given."""
@@ -64,15 +70,19 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older.get
-        if not text or not self.high(text) and not self.marks(text):
-            pieces, learn = self.pieces(text.lower()), self._piece
-        else:  # a leading space keeps these apart from the pieces
-            pieces, learn = [" " + c.decode() for c in text.encode().split()], self._chunk
-        ids = [known.get(p) for p in pieces]
+        if text.isascii() and "<" not in text or not self.high(text) and not self.marks(text):
+            chunks, learn = text.lower().encode().split(), self._low
+        else:  # a leading space keeps these apart from the others
+            chunks, learn = [b" " + c for c in text.encode().split()], self._any
+        ids = [known.get(c) for c in chunks]
         if None in ids:
-            for i, p in enumerate(pieces):
+            for i, c in enumerate(chunks):
                 if ids[i] is None:
-                    ids[i] = known[p] = known.get(p) or older(p) or learn(p)
+                    got = known.get(c)
+                    if got is None:
+                        got = older(c)
+                        known[c] = got = learn(c) if got is None else got
+                    ids[i] = got
         if end is not None:
             ids.append(self.width(end).tobytes())
         return np.frombuffer(b"".join(ids), self.width)

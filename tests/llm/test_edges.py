@@ -146,3 +146,15 @@ def test_sequences_of_a_whole_table(spark):
     got = packing.pack_documents(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text"), tokens.default_path()).select("length", "sequence_id").toPandas()
     least = max(-(-got["length"].sum() // 2048), (got["length"] > 1024).sum())
     assert got["sequence_id"].nunique() <= 1.002 * least and got.groupby("sequence_id")["length"].sum().max() <= 2048
+
+
+def test_columns_under_the_names_that_operators_use(spark):
+    names = ["_", "quality_kept", "quality_score", "_near_id", "_near_t", "_rest", "_row", "_t", "t", "size", "key", "mult", "sid", "a", "z", "spans", "n_words"]
+    rows = [(k, f"word{k} and some more of them {k}" if k else None, "en", f"s{k % 2}", 9) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    labels = spark.createDataFrame([(k, 1) for k in range(6)], "doc_id long, quality int")
+    for f in (lambda d: cotraining.without_rejected(d, labels), near_dedup.without_near_duplicates, substring_dedup.without_repeats, mixing.mix_documents):
+        out = f(docs)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(r[n] == f"{n}{r['doc_id']}" for r in got for n in names)
