@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from huegrid.llm.common import bounded_batches, scratch, staged, table
-from huegrid.llm.cotraining import classify
+from huegrid.llm.cotraining import without_rejected
 from huegrid.llm.mixing import mix_documents
 from huegrid.llm.near_dedup import without_near_duplicates
 from huegrid.llm.packing import pack_documents
@@ -30,7 +30,7 @@ from huegrid.llm.tokens import default_path
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier keeps."""
     bounded_batches(spark)
-    return classify(docs, table(spark, sf_dir, "labels")).where("quality_kept").select(docs.columns)
+    return without_rejected(docs, table(spark, sf_dir, "labels"))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
