@@ -534,3 +534,25 @@ SELECT i + 1, map_concat(home, MAP {{i + 1: coalesce((SELECT min(home[j]) FROM n
 own AS (SELECT unnest(map_keys(home)) AS idx, unnest(map_values(home)) AS home FROM walk WHERE i = (SELECT max(i) FROM walk)),
 out AS (SELECT home, sum(coverage) AS coverage, {", ".join(f"CAST(floor(sum({c} * coverage) / greatest(sum(coverage), 1e-6) + 0.5e0) AS BIGINT) AS {c}" for c in "rgb")} FROM (SELECT home, hue.* FROM own JOIN hue USING (idx)) GROUP BY home)
 SELECT row_number() OVER (ORDER BY coverage DESC, home) - 1 AS idx, r, g, b, round(coverage, 4) AS coverage FROM out"""
+# three cells a row of 60 with a strip of 24, 7 apart; layers 3 (not exported) and 5 (hidden) have none
+ORACLES["contact_sheet"] = f"""WITH {MASKS}, {DIM}, fit AS (SELECT *, greatest(1, CAST(trunc(w * least(60e0 / w, 60e0 / h)) AS BIGINT)) AS fw, greatest(1, CAST(trunc(h * least(60e0 / w, 60e0 / h)) AS BIGINT)) AS fh FROM dim),
+cell AS (SELECT layer_idx, r, g, b, 7 + k % 3 * 67 AS x0, 7 + k // 3 * 91 AS y0 FROM (SELECT *, row_number() OVER (ORDER BY layer_idx) - 1 AS k FROM layer WHERE visible AND layer_idx <> 3)),
+{_lanczos_taps('tx', 'w', 'fw').replace('FROM dim', 'FROM fit')}, {_lanczos_taps('ty', 'h', 'fh').replace('FROM dim', 'FROM fit')},
+hz AS (SELECT layer_idx, n AS x, y, sum(d * v) AS d FROM masks JOIN tx ON k = x GROUP BY 1, 2, 3), small AS (SELECT layer_idx, x, n AS y, {_byte('sum(d * v)')} AS d FROM hz JOIN ty ON k = y GROUP BY 1, 2, 3),
+shown AS (SELECT x + x0 + (60 - fw) // 2 AS x, y + y0 + (60 - fh) // 2 AS y, {", ".join(f"{_byte(f'{v} * (d / 255e0) + {c} * (1 - d / 255e0)')} AS {c}" for c, v in zip("rgb", (24, 24, 28)))} FROM small JOIN cell USING (layer_idx), fit),
+sheet AS (SELECT x, y, EXISTS (SELECT 1 FROM cell WHERE x BETWEEN x0 AND x0 + 59 AND y BETWEEN y0 AND y0 + 59) AS inside FROM range(3 * 60 + 4 * 7) a(x), range(2 * 84 + 3 * 7) b(y))
+SELECT s.x, s.y, {", ".join(f"CAST(coalesce(shown.{c}, CASE WHEN inside THEN {v} ELSE {u} END) AS BIGINT) AS {c}" for c, v, u in zip("rgb", (24, 24, 28), (20, 20, 24)))} FROM sheet s LEFT JOIN shown USING (x, y)"""
+_density("curve_edited", _curve([(0, 20), (179, 255), (180, 200), (255, 255)], TOP))
+_LISTS = (("bacd", 2), ("bacd", 2), ("bcd", 1), ("bc", 1), ("bcd", 1), ("bacd", 2), ("bcd", 1), ("bacd", 2), ("bacd", 2), ("abcd", 2))
+ORACLES["list_edits"] = "SELECT CAST(step AS BIGINT) AS step, CAST(pos AS BIGINT) AS pos, name, CAST(print_index AS BIGINT) AS print_index, CAST(selected AS BIGINT) AS selected FROM (VALUES " + ", ".join(f"({k}, {i}, '{n}', {0 if names == 'abcd' else i}, {at})" for k, (names, at) in enumerate(_LISTS) for i, n in enumerate(names)) + ") t(step, pos, name, print_index, selected)"
+_PLATES = [("cyan", 0, 200, 255, 15), ("magenta", 220, 0, 180, 75), ("yellow", 255, 230, 0, 0), ("black", 0, 0, 0, 45)]
+_PRESETS = [
+    *(("cmyk_process_light", n, "color", *ink, "halftone", 0, a) for n, *ink, a in _PLATES), ("cmyk_process_light", "white highlight", "highlight", 255, 255, 255, "halftone", 0, -1),
+    ("cmyk_process_dark", "white underbase", "underbase", 255, 255, 255, "solid", 0, -1), *(("cmyk_process_dark", n, "color", *ink, "halftone", 0, a) for n, *ink, a in _PLATES),
+    ("cmyk_process_dark", "white highlight", "highlight", 255, 255, 255, "halftone", 0, -1), ("single_halftone", "black halftone", "color", 0, 0, 0, "halftone", 45, 22.5),
+    ("black_only", "black", "color", 0, 0, 0, "solid", 0, -1), ("stencil", "stencil", "color", 0, 0, 0, "solid", 0, -1),
+    ("duotone", "light tone", "color", 240, 220, 200, "halftone", 0, 15), ("duotone", "dark tone", "color", 30, 40, 80, "halftone", 0, 75),
+    ("tritone", "highlight", "color", 240, 220, 200, "halftone", 0, 15), ("tritone", "mid", "color", 160, 80, 60, "halftone", 0, 75), ("tritone", "shadow", "color", 30, 20, 20, "halftone", 0, 45),
+]
+ORACLES["preset_layers"] = f"""WITH p(n, workflow, name, kind, r, g, b, mode, lpi, angle) AS (VALUES {", ".join(f"({n}, '{w}', '{name}', '{kind}', {r}, {g}, {b}, '{mode}', {lpi}, {angle}e0)" for n, (w, name, kind, r, g, b, mode, lpi, angle) in enumerate(_PRESETS))})
+SELECT workflow, row_number() OVER q - 1 AS pos, name, kind, CAST(r AS BIGINT) AS r, CAST(g AS BIGINT) AS g, CAST(b AS BIGINT) AS b, mode, CAST(lpi AS DOUBLE) AS lpi, CAST(angle AS DOUBLE) AS angle, row_number() OVER q - 1 AS print_index FROM p WINDOW q AS (PARTITION BY workflow ORDER BY n)"""

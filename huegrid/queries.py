@@ -17,7 +17,7 @@ from .operators import neighborhood as M
 from .operators import palette as P
 from .operators import raster as R
 from .plans import pipeline, workflows
-from .plans.layer import Halftone, Layer
+from .plans.layer import Halftone, History, Layer, deleted, moved
 from .sources import images
 from .streaming import edits as S
 
@@ -487,6 +487,50 @@ def hue_groups(spark, sf_dir):
     return spark.createDataFrame([(i, *e.rgb, round(e.coverage, 4)) for i, e in enumerate(found)], "idx int, r int, g int, b int, coverage double")
 
 
+@query
+def contact_sheet(spark, sf_dir):
+    """Previews in ink on the shirt, letterboxed in cells."""
+    image, size = X.px(spark, sf_dir), X.size(spark, sf_dir)
+    layers = [Layer(ink, k, k, visible=v, include_in_export=i != 3) for i, k, ink, v, _ in X.LAYERS]
+    return images.contact_sheet(X.masks(image), layers, size, columns=3, cell=60, padding=7)[0]
+
+
+# layer lists, curves and presets
+
+
+@query
+def curve_edited(spark, sf_dir):
+    """A curve after points were added, moved against their bounds and deleted."""
+    curve = tone.add_point([(0, 0), (255, 255)], 100, 40)
+    curve = tone.add_point(tone.add_point(curve, 98, 9), 180, 200)  # the first is too near another
+    curve = tone.move_point(tone.move_point(curve, 1, 250, 300), 0, 50, 20)
+    curve = tone.delete_point(tone.delete_point(tone.add_point(curve, 60, 90), 0), 1)
+    return X.px(spark, sf_dir).select("x", "y", tone.apply_curve(F.greatest("r", "g", "b"), curve).cast("long").alias("d"))
+
+
+@query
+def list_edits(spark, sf_dir):
+    """The layer list and selection after moves, deletions, undo and redo."""
+    layers, at, history, out = [Layer((0, 0, 0), n) for n in "abcd"], 2, History(), []
+    steps = [lambda: (moved(layers, 0, 1), at), lambda: (moved(layers, 3, 1), at), lambda: deleted(layers, 1, at), lambda: deleted(layers, 2, 2)]
+    for step in steps:
+        history.push(layers, at)
+        layers, at = step()
+        out.append((layers, at))
+    for go in (history.undo, history.undo, history.redo, history.undo, history.undo, history.undo):
+        layers, at = go((layers, at)) or (layers, at)
+        out.append((layers, at))
+    return spark.createDataFrame([(k, i, x.name, x.print_index, s) for k, (found, s) in enumerate(out) for i, x in enumerate(found)], "step int, pos int, name string, print_index int, selected int")
+
+
+@query
+def preset_layers(spark, sf_dir):
+    """The layers of the workflows that need no palette."""
+    planned = [(w, i, x) for w in workflows.LABELS if workflows.palette_of(w) is None for i, x in enumerate(workflows.plan(w, X.px(spark, sf_dir)))]
+    rows = [(w, i, x.name, x.kind, *x.ink, x.render_mode, float(x.halftone.lpi), float(x.halftone.angle_deg), x.print_index) for w, i, x in planned]
+    return spark.createDataFrame(rows, "workflow string, pos int, name string, kind string, r int, g int, b int, mode string, lpi double, angle double, print_index int")
+
+
 # edit streams
 
 
