@@ -556,3 +556,14 @@ _PRESETS = [
 ]
 ORACLES["preset_layers"] = f"""WITH p(n, workflow, name, kind, r, g, b, mode, lpi, angle) AS (VALUES {", ".join(f"({n}, '{w}', '{name}', '{kind}', {r}, {g}, {b}, '{mode}', {lpi}, {angle}e0)" for n, (w, name, kind, r, g, b, mode, lpi, angle) in enumerate(_PRESETS))})
 SELECT workflow, row_number() OVER q - 1 AS pos, name, kind, CAST(r AS BIGINT) AS r, CAST(g AS BIGINT) AS g, CAST(b AS BIGINT) AS b, mode, CAST(lpi AS DOUBLE) AS lpi, CAST(angle AS DOUBLE) AS angle, row_number() OVER q - 1 AS print_index FROM p WINDOW q AS (PARTITION BY workflow ORDER BY n)"""
+
+# files
+
+ORACLES["png_round_trip"] = f"WITH {PX} SELECT i, x, y, r, g, b, 255::BIGINT AS alpha FROM px"
+_FILM = lambda source: f"""SELECT count(*) FILTER (edge OR (inside AND (mark OR d < 128))) FROM (SELECT s.x, s.y, m.d, m.d IS NOT NULL AS inside, coalesce({_CROSS.replace("x -", "s.x - 3 -").replace("y -", "s.y - 3 -")}, false) AS mark,
+  (s.x IN (3, w + 2) AND s.y BETWEEN 3 AND h + 2) OR (s.y IN (3, h + 2) AND s.x BETWEEN 3 AND w + 2) AS edge FROM dim, range(1000) a(x), range(100000) b(y) CROSS JOIN LATERAL (SELECT a.x, b.y) s LEFT JOIN {source} m ON m.x = s.x - 3 AND m.y = s.y - 3 WHERE s.x < w + 6 AND s.y < h + 6)"""
+ORACLES["export_films"] = f"""WITH {SOURCE}, tap(k, w_) AS (VALUES {TAPS}), l0 AS (SELECT x, y, CASE WHEN {LUMA} < 128 THEN 0 ELSE 255 END AS d FROM src), {_blurred('l0', 'k0')}, k1 AS (SELECT x, y, CASE WHEN {TOP} > {T8}[y % 8 * 8 + x % 8 + 1] THEN 255 ELSE 0 END AS d FROM src)
+SELECT '02_the_stencil_000000.png' AS name, CAST(w + 6 AS BIGINT) AS w, CAST(h + 11 AS BIGINT) AS h, 7874::BIGINT AS per_metre, ({_FILM('k0')}) AS ink FROM dim UNION ALL SELECT '00_soft_c82828.png', w + 6, h + 11, 7874, ({_FILM('k1')}) FROM dim"""
+ORACLES["project_layers"] = """SELECT 1::BIGINT AS version, 'art.png' AS source, CAST(layer_idx AS BIGINT) AS layer_idx, name, kind, CAST(r AS BIGINT) AS r, CAST(g AS BIGINT) AS g, CAST(b AS BIGINT) AS b, visible, extractor, render_mode, CAST(layer_idx AS BIGINT) AS print_index
+FROM (VALUES (0, 'highlight', 'color', 240, 220, 200, true, 'channel_calc', 'halftone'), (1, 'mid', 'color', 160, 80, 60, true, 'channel_calc', 'halftone'), (2, 'shadow', 'color', 30, 20, 20, true, 'channel_calc', 'halftone'),
+(3, 'painted', 'shadow', 9, 8, 7, false, 'manual_paint', 'solid')) t(layer_idx, name, kind, r, g, b, visible, extractor, render_mode)"""

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as X
+from ._stage import checkpoint_dir
 from .functions import color as C
 from .functions import dsl, tone
 from .operators import extract as E
@@ -16,7 +20,7 @@ from .operators import layers as L
 from .operators import neighborhood as M
 from .operators import palette as P
 from .operators import raster as R
-from .plans import pipeline, workflows
+from .plans import export, pipeline, project, workflows
 from .plans.layer import Halftone, History, Layer, deleted, moved
 from .sources import images
 from .streaming import edits as S
@@ -495,6 +499,61 @@ def contact_sheet(spark, sf_dir):
     return images.contact_sheet(X.masks(image), layers, size, columns=3, cell=60, padding=7)[0]
 
 
+def _folder(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/huegrid/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def png_round_trip(spark, sf_dir):
+    """The image written as a PNG file and read again."""
+    width, height = X.size(spark, sf_dir)
+
+    def encode(t: pa.Table) -> pa.Table:
+        f = t.to_pandas()
+        sheet = np.zeros((height, width, 3), np.uint8)
+        sheet[f["y"], f["x"]] = f[["r", "g", "b"]]
+        return pa.table({"name": ["art.png"], "png": [images.encode_png(sheet, 300)]})
+
+    folder = _folder(spark, "art")
+    one = X.px(spark, sf_dir).select("x", "y", "r", "g", "b").groupBy(F.lit(0).alias("_")).applyInArrow(encode, "name string, png binary")
+    images.write_films(one, folder)
+    return images.open_image(spark, f"{folder}/art.png")[0].select("i", "x", "y", "r", "g", "b", "alpha")
+
+
+@query
+def export_films(spark, sf_dir):
+    """Films of a job with marks and borders as the files hold them: size, pixels a metre, and ink above the caption."""
+    image, size = X.px(spark, sf_dir), X.size(spark, sf_dir)
+    layers = [
+        Layer((0, 0, 0), "the stencil", extractor={"kind": "luminance_threshold", "threshold": 128}, print_index=2),
+        Layer((200, 40, 40), "soft", extractor={"kind": "gcr_black"}, render_mode="bayer"),
+        Layer((1, 2, 3), "hidden", visible=False),
+    ]
+    found = export.films(image, layers, size, export.Film(dpi=200, marks=export.Marks(12, 7, 2), border=export.Border(3, 5)))
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for name, png in zip(b.column("name").to_pylist(), b.column("png").to_pylist()):
+                sheet, at = images.decode_png(png)[..., 0], png.index(b"pHYs") + 4
+                rows.append((name, sheet.shape[1], sheet.shape[0], int.from_bytes(png[at : at + 4], "big"), int((sheet[: size[1] + 6] < 128).sum())))
+            columns = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), *[pa.int64()] * 4))], ["name", "w", "h", "per_metre", "ink"])
+
+    return found.mapInArrow(decode, "name string, w long, h long, per_metre long, ink long")
+
+
+@query
+def project_layers(spark, sf_dir):
+    """A project saved and read again, a row a layer."""
+    layers = workflows.plan("tritone", X.px(spark, sf_dir)) + [Layer((9, 8, 7), "painted", "shadow", visible=False, extractor={"kind": "manual_paint"}, print_index=3)]
+    folder = _folder(spark, "project")
+    text = project.Project(layers, "art.png").to_json().encode()
+    images.write_films(spark.createDataFrame([("project.json", bytearray(text))], "name string, png binary"), folder)
+    found = project.read_projects(spark, folder)
+    return found.select("version", "source", "layer_idx", "name", "kind", *(F.col("ink")[k].alias(c) for k, c in enumerate("rgb")), "visible", F.get_json_object("extractor", "$.kind").alias("extractor"), "render_mode", "print_index")
+
+
 # layer lists, curves and presets
 
 

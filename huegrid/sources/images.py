@@ -304,7 +304,7 @@ def write_films(films: DataFrame, folder: str) -> list[str]:
     from pyarrow import fs as pafs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, top = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
+        store, top = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
         store.create_dir(top, recursive=True)
         for b in batches:
             for name, png in zip(b.column("name").to_pylist(), b.column("png").to_pylist()):
