@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,11 +18,18 @@ from .layer import BLACK, LAYER_SCHEMA, Halftone, Layer, MaskShape, Tone, layer_
 
 
 def paint_of(mask: DataFrame, size: tuple[int, int]) -> dict:
-    """x, y, d of one mask as a paint extractor; pixels that it lacks hold no ink."""
-    sheet = np.full((size[1], size[0]), 255, np.uint8)
-    for part in mask.select("x", "y", "d").toLocalIterator():
-        sheet[part["y"], part["x"]] = part["d"]
-    return {"kind": "manual_paint", "width": size[0], "height": size[1], "pixels": sheet.tobytes()}
+    """x, y, d of one mask as a paint extractor; pixels that it lacks hold no ink.  Rows of pixels come to the driver as bytes."""
+    w, h = size
+
+    def line(t: pa.Table) -> pa.Table:
+        out = np.full(w, 255, np.uint8)
+        out[t.column("x").to_numpy()] = t.column("d").to_numpy()
+        return pa.table({"y": t.column("y").slice(0, 1).cast(pa.int32()), "line": [out.tobytes()]})
+
+    sheet = np.full((h, w), 255, np.uint8)
+    for r in mask.select("x", "y", "d").groupBy("y").applyInArrow(line, "y int, line binary").toArrow().to_pylist():
+        sheet[r["y"]] = np.frombuffer(r["line"], np.uint8)
+    return {"kind": "manual_paint", "width": w, "height": h, "pixels": sheet.tobytes()}
 
 
 def _chosen(layers: list[Layer], previews: DataFrame, ids: set[str], size: tuple[int, int]) -> tuple[list[int], DataFrame] | None:
