@@ -252,8 +252,8 @@ def brute_links(rows, threshold=0.9):
 
 
 def test_recall_with_long_keys(spark):
-    """Keys of 12 bits, as a million vectors have them, on the 2,000 of the table: the share of links found."""
-    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    """Keys of 12 bits, as a million vectors have them, on the 500 of the table: the share of links found."""
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     near = brute_links(df.select("vec_id", "embedding").toPandas().itertuples(index=False, name=None))
     _, tables = embedding_dedup.plan_bits(256 << 12)
     got = embedding_dedup.embedding_links(df, bits=12, tables=tables).agg(F.sum("n_links")).first()[0]
