@@ -223,9 +223,9 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, bits: int
     bits, tables = plan_bits(classes.count(), threshold) if bits is None else (bits, tables)
     coded = staged(_coded(classes, bits, tables, kind), "codes")
     posted = coded.select(*(c for c in coded.columns if c != "buckets"), F.posexplode("buckets").alias("t", "bucket"))
-    full = posted.groupBy("size", "t", "bucket").count().where(f"count > {BLOCK}").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
+    full = posted.groupBy("size", "t", "bucket").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
     full = staged(full, "full")
-    cut = posted.join(full, ["size", "t", "bucket"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut = posted.join(full, ["size", "t", "bucket"])  # a vector alone in its bucket has no pair there
     cut = cut.withColumn("block", F.pmod(F.xxhash64("node", "t"), F.col("blocks")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
     grouped = cut.select("*", F.explode(pair).alias("p")).select("size", "t", "bucket", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "block", "node", "mult", "code", "factors", "scale", "small")
