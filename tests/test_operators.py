@@ -203,6 +203,29 @@ def test_hues_and_extremes():
     assert [x.rgb for x in P.print_order([P.Entry((0, 0, 0), 1), P.Entry((9, 9, 90), 1), P.Entry((255, 255, 255), 1)])][0] == (255, 255, 255)
 
 
+@pytest.mark.parametrize("parts, want", [
+    # groups of 1,656,000 of 9,000,000 pixels each: in doubles, the parts of the yellow one add up to a last bit more
+    ([
+        ((252, 252, 252), 2376000), ((34, 124, 204), 1656000), ((26, 26, 26), 737060), ((246, 206, 46), 735440), ((207, 47, 47), 550180), ((244, 204, 44), 371080), ((202, 42, 42), 369280), ((21, 21, 21), 368860),
+        ((23, 23, 23), 367420), ((241, 201, 41), 364760), ((203, 43, 43), 185980), ((240, 200, 40), 184720), ((204, 44, 44), 184640), ((205, 45, 45), 183420), ((20, 20, 20), 182660), ((200, 40, 40), 182500),
+    ], [(0, 252, 252, 252, 0.264), (1, 244, 204, 44, 0.184), (2, 34, 124, 204, 0.184), (3, 24, 24, 24, 0.184), (4, 204, 44, 44, 0.184)]),
+    # a coverage of 0.24855
+    ([((38, 128, 208), 1656000), ((255, 255, 255), 1263260), ((3, 109, 195), 580950)], [(0, 29, 123, 205, 0.2486), (1, 255, 255, 255, 0.1404)]),
+])
+def test_hue_groups_add_and_round_as_their_sql(spark, monkeypatch, parts, want):
+    import duckdb
+
+    from huegrid import queries
+    from huegrid.oracles import ORACLES
+
+    monkeypatch.setattr(P, "auto_palette", lambda *_: ([P.Entry(c, n / 9_000_000) for c, n in parts], []))
+    assert [tuple(r) for r in queries.QUERIES["hue_groups"](spark, "/root/testdata/sf0.001").collect()] == want
+    # the SQL from the palette on
+    rows = ", ".join(f"({i}::BIGINT, {r}::BIGINT, {g}::BIGINT, {b}::BIGINT, {n} / 9e6)" for i, ((r, g, b), n) in enumerate(parts))
+    sql = ORACLES["hue_groups"]
+    assert sorted(duckdb.connect().sql(f"WITH RECURSIVE pal(idx, r, g, b, coverage) AS (VALUES {rows}), {sql[sql.index('pl_1 AS') :]}").fetchall()) == want
+
+
 def test_flood_fill_keeps_an_enclosed_interior(spark):
     w, k = (255, 255, 255), (10, 10, 10)
     rows = [[w] * 9 for _ in range(9)]
